@@ -5,7 +5,8 @@ from __future__ import annotations
 from kmerweave.llm.decontaminate import op3_decontamination
 from kmerweave.llm.licenses import op2_licenses
 from kmerweave.llm.packing import op1_packing
+from kmerweave.llm.toxicity import op8_toxicity
 from kmerweave.llm.urls import op4_url_filter
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_licenses, op3_decontamination, op4_url_filter)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_licenses, op3_decontamination, op4_url_filter, op8_toxicity)}
 ORACLES: dict[str, str] = {}
