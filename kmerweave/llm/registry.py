@@ -9,8 +9,9 @@ from kmerweave.llm.near_dedup import op6_near_dedup
 from kmerweave.llm.neighbors import op7_neighbors
 from kmerweave.llm.packing import op1_packing
 from kmerweave.llm.quality import op9_quality
+from kmerweave.llm.substrings import op10_substring_dedup
 from kmerweave.llm.toxicity import op8_toxicity
 from kmerweave.llm.urls import op4_url_filter
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_licenses, op3_decontamination, op4_url_filter, op5_language, op6_near_dedup, op7_neighbors, op8_toxicity, op9_quality)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_licenses, op3_decontamination, op4_url_filter, op5_language, op6_near_dedup, op7_neighbors, op8_toxicity, op9_quality, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
