@@ -86,7 +86,7 @@ def tables(items: list[tuple[int, str | None]], window: int) -> list[Patterns]:
     return [Patterns(n, patterns) for n, patterns in sorted(by_length.items())]
 
 
-def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars: int = 32_000_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars: int = 32_000_000, keep: list[str] | None = None) -> DataFrame:
     """Where the windows of benchmark items stand in documents.
 
     Takes documents (doc_id, text) and items (item_id, text); returns SCHEMA with a row for each document: its words,
@@ -98,6 +98,8 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars:
     ``max_item_chars`` characters; beyond that the items are dealt by a hash into blocks of that size, each has a scan of its
     own, and the scans' rows are merged by document, so no item is left out at any size.
 
+    With ``keep``, those columns of docs stand in place of doc_id and text_key.
+
     Null or empty text: no words and no hits. Null or wordless items: never found; null item_ids are left out.
     Repeated documents: one row each. Items that share a window all own it. Other columns are not read.
     """
@@ -105,7 +107,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars:
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // max_item_chars))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id") if keep is None else F.struct(*keep).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string"))
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,21 +133,22 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars:
                     hits = [[{"start": a, "stop": b} for a, b in merged(s)] for s in spans]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(hits, kind), pa.array([sorted(o) for o in owners], pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_words", "hits", "items"])
 
-        return rows.mapInArrow(run, SCHEMA)
+        return rows.mapInArrow(run, SCHEMA.replace("doc_id long", f"doc_id {rows.schema['doc_id'].dataType.simpleString()}", 1))
 
     scans = []
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         scans.append(scan(spark.sparkContext.broadcast(tables([tuple(r) for r in block.collect()], window))))
     if blocks == 1:
-        return scans[0]
+        return scans[0] if keep is None else scans[0].select("doc_id.*", "n_words", "hits", "items")
     every = scans[0]
     for s in scans[1:]:
         every = every.unionByName(s)
     # Equal rows of one document give equal scans, so they are counted, merged and given back.
     merged_rows = every.groupBy("doc_id", "text_key", "n_words").agg((F.count("*") / blocks).cast("int").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     union = "aggregate(hits, cast(array() as array<struct<start:bigint,stop:bigint>>), (acc, h) -> if(size(acc) > 0 and h.start <= element_at(acc, -1).stop, concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(h.stop, element_at(acc, -1).stop) as stop))), concat(acc, array(h)))) as hits"
-    return merged_rows.selectExpr("doc_id", "text_key", "n_words", union, "items", "explode(array_repeat(0, n)) as _").drop("_")
+    out = merged_rows.selectExpr("doc_id", "text_key", "n_words", union, "items", "explode(array_repeat(0, n)) as _").drop("_")
+    return out if keep is None else out.select("doc_id.*", "n_words", "hits", "items")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

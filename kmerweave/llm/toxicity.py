@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, session, table
 
+#: Columns of the result.
 SCHEMA = "doc_id long, score double, gain long, windows long"
 #: Words of a window, and of the step to the next: neighbours share a word, so a span of a word is never parted.
 WORDS, STEP = 16, 15
@@ -146,15 +147,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
     return Model([t for t, _ in rows], [y for _, y in rows])
 
 
-def rate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column ``toxicity`` (0 to 1) and its evidence: SCHEMA for (doc_id, text), one row for each.
+def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The toxicity of docs (doc_id, text), a row for each row: SCHEMA or, with ``keep``, those columns of docs and then score,
+    gain and windows.
 
     Whole texts are cut into windows of WORDS words; each is compressed against both dictionaries; the counts of
-    windows by saving make the score. One narrow pass. Null, empty or wordless text: no windows, the score of the
-    calibration there. Null doc_id and repeated rows: a row each. Other columns are not read.
+    windows by saving make the score (0 to 1). One narrow pass. Null, empty or wordless text: no windows, the score of
+    the calibration there. Null doc_id and repeated rows: a row each. Without ``keep`` other columns are not read.
     """
     session(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = "doc_id long" if keep is None else f"row {rows.schema['row'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -162,9 +166,10 @@ def rate(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part, data, at in chunks(batch):
                 x, best, total = m.features(data, at, packers)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(x)), pa.array(best), pa.array(total)], names=["doc_id", "score", "gain", "windows"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(x)), pa.array(best), pa.array(total)], names=[kind.split()[0], "score", "gain", "windows"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    out = rows.mapInArrow(run, f"{kind}, score double, gain long, windows long")
+    return out if keep is None else out.select("row.*", "score", "gain", "windows")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
