@@ -1,6 +1,278 @@
-"""Every query of the engine and its SQL."""
+"""Every query of the engine, over sequences derived from the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kmerweave.functions import dna
+from kmerweave.functions.scores import score_dim
+from kmerweave.operators import buckets, hashed
+from kmerweave.operators.superkmers import superkmers
+from kmerweave.plans import relational
+from kmerweave.sources.sequences import reads, texts, tile
+
+K, L = 31, 8
+
+
+def _scalar(make):
+    return lambda spark, sf: reads(spark, sf).select("seq_id", *make())
+
+
+def _lmers(make, l=L):
+    return lambda spark, sf: relational.lmers(reads(spark, sf), l).select("seq_id", "pos", *make())
+
+
+def _dim(family, mode, l, s=2):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        """Scores of the l-mers that the reads hold, with their counts."""
+        seen = relational.lmers(reads(spark, sf), l).groupBy("lmer").agg(F.count("*").alias("n"))
+        return seen.join(score_dim(spark, family, mode, l, s), "lmer")
+
+    return query
+
+
+def _cut(source=reads, k=K, l=L, **options):
+    return lambda spark, sf: superkmers(source(spark, sf), k, l, **options)
+
+
+def _hashed(fn, k=K, l=9, **options):
+    return lambda spark, sf: fn(reads(spark, sf), k, l, **options)
+
+
+def _counts(spark, sf):
+    return buckets.bucket_counts(superkmers(reads(spark, sf), K, L), K)
+
+
+def _stats(make):
+    return lambda spark, sf: make(_counts(spark, sf))
+
+
+def _fragments(spark, sf):
+    return texts(spark, sf, breaks=True).select("seq_id", F.explode(dna.fragments("seq", K)).alias("f")).select("seq_id", "f.offset", F.length("f.fragment").cast("bigint").alias("length"))
+
+
+def _windowed(mode):
+    def query(spark, sf):
+        return relational.superkmers(reads(spark, sf), score_dim(spark, "syncmer", mode, L), K, L, rightmost=mode == "classical")
+
+    return query
+
+
+def _kmers(spark, sf, mode):
+    seqs = reads(spark, sf)
+    return buckets.kmers_of(superkmers(seqs, K, L, mode=mode), seqs, K)
+
+
+def _with_tiles(spark, sf):
+    """Conflicts of minimizers among reads and overlapping tiles of them, both strands: none, as mspxor is context-free."""
+    tiles = tile(reads(spark, sf), (100,)).withColumn("seq_id", F.xxhash64("seq_id", "start", "strand")).select("seq_id", "seq")
+    return buckets.crossbucket(buckets.kmers_of(superkmers(tiles, K, L), tiles, K))
+
+
+def _tiling(spark, sf):
+    seqs = texts(spark, sf)
+    return buckets.tiling(superkmers(seqs, K, L, mode="sticky"), seqs, K)
+
+
+def _score_sum(spark, sf):
+    return _dim("syncmer", "mspxor", L)(spark, sf).agg(F.sum(F.col("n") * F.col("score")).cast("decimal(38,0)").cast("string").alias("total"))
+
+
+def _recount(spark, sf):
+    seqs = reads(spark, sf)
+    return buckets.count_kmers(superkmers(seqs, K, L), seqs, K)
+
+
+def _forms_differ(spark, sf):
+    """Superkmers that the Arrow form and the window form don't agree on: none."""
+    return buckets.symmetric_difference(_cut()(spark, sf), _windowed("mspxor")(spark, sf))
+
+
+def _verbose(spark, sf):
+    seqs = reads(spark, sf)
+    return buckets.verbose(hashed.quarantine(seqs, K, 9), seqs, 9)
+
+
+QUERIES = {
+    "revcomp": _scalar(lambda: [dna.revcomp("seq").alias("rc")]),
+    "revcomp_min": _scalar(lambda: [dna.is_revcomp_min("seq").alias("smaller")]),
+    "canonical_kmers": _scalar(lambda: [dna.canonical_kmer(F.substring("seq", 1, K)).alias("kmer")]),
+    "valid_bases": lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", dna.is_valid(F.substring(F.translate(F.lower("text"), "abcdefghij", "acgtacgtac"), 1, 1)).alias("valid")),
+    "encode_bases": _scalar(lambda: [dna.encode_base(F.substring("seq", 5, 1)).cast("bigint").alias("code"), dna.base_from_ascii(F.substring("seq", 5, 1)).cast("bigint").alias("bits")]),
+    "encode_lmers": _lmers(lambda: ["lmer"]),
+    "canonical_lmers": _lmers(lambda: [F.least("lmer", dna.revcomp_value(dna.decode_kmer("lmer", L), 0, L)).alias("canon")]),
+    "ry_patterns": _scalar(lambda: [dna.lmer_to_ry(F.substring("seq", 1, L)).alias("ry"), dna.ry_revcomp(dna.lmer_to_ry(F.substring("seq", 1, L)), L).alias("ry_rc")]),
+    "pack_words": _scalar(lambda: [F.posexplode(dna.pack_words("seq")).alias("i", "word")]),
+    "pack_words_rc": _scalar(lambda: [F.posexplode(dna.pack_words("seq", "reverse")).alias("i", "word")]),
+    "pack_bytes": _scalar(lambda: [F.posexplode(dna.pack_bytes("seq")).alias("i", "byte")]),
+    "packed_kmers": _scalar(lambda: [dna.get_kmer_value(dna.pack_words("seq"), 20, K).alias("value")]),
+    "split_n": _fragments,
+    "syncmers_open": lambda spark, sf: relational.syncmer_positions(reads(spark, sf), 15, 5, [3]),
+    "syncmers_closed": lambda spark, sf: relational.syncmer_positions(reads(spark, sf), 15, 5, [0, 10]),
+    "syncmers_sampled": lambda spark, sf: relational.downsample(relational.syncmer_positions(reads(spark, sf), 15, 5, [0, 10]), 0.25),
+    **{f"scores_{n}": _dim(f, m, l, s) for n, f, m, l, s in (("syncmer", "syncmer", "sticky", 8, 2), ("syncmer_l9", "syncmer", "sticky", 9, 2), ("msp", "syncmer", "msp", 8, 2), ("mspxor", "syncmer", "mspxor", 8, 2), ("mspxor_s3", "syncmer", "mspxor", 8, 3), ("uhs7", "uhs", "sticky", 7, 2), ("uhs8", "uhs", "sticky", 8, 2), ("uhs9", "uhs", "sticky", 9, 2), ("uhs11", "uhs", "sticky", 11, 2), ("uhs_mspxor", "uhs", "mspxor", 8, 2), ("kmc2", "kmc2", "sticky", 8, 2), ("lexicographic", "lexicographic", "sticky", 8, 2))},
+    **{f"superkmers_{m}": _cut(mode=m) for m in ("sticky", "classical", "msp", "mspxor")},
+    **{f"superkmers_{m}_forward": _cut(mode=m, canonical=False) for m in ("sticky", "classical", "msp", "mspxor")},
+    "superkmers_l9": _cut(l=9),
+    "superkmers_with_n": _cut(partial(texts, breaks=True), split_n=True),
+    "superkmers_windowed": _windowed("mspxor"),
+    "superkmers_forms_differ": _forms_differ,
+    **{f"uhs_{m}": _cut(family="uhs", mode=m) for m in ("sticky", "classical", "msp", "mspxor")},
+    "kmc2": _cut(family="kmc2", mode="sticky"),
+    **{f"lexicographic_l{l}": _cut(family="lexicographic", mode="sticky", l=l) for l in (8, 10, 12)},
+    **{f"syncmer_sticky_l{l}": _cut(mode="sticky", l=l) for l in (10, 12)},
+    "nthash_quarantine": _hashed(hashed.quarantine),
+    "nthash_verbose": _verbose,
+    "hash_minimizers": _hashed(hashed.hash_minimizers),
+    **{f"candidates_{m}": _hashed(hashed.candidate_syncmers, mode=m) for m in ("sticky", "classical", "msp", "mspxor")},
+    "naive_syncmers_right": _hashed(hashed.naive_syncmers),
+    "naive_syncmers_left": _hashed(hashed.naive_syncmers, rightmost=False),
+    **{f"multi_minimizers_{n}": _hashed(hashed.multi_minimizers, n_hashes=n) for n in (2, 4, 8)},
+    "bucket_counts": _counts,
+    "bucket_stats": _stats(buckets.bucket_stats),
+    "bucket_percentiles": _stats(buckets.percentiles),
+    "bucket_histogram": _stats(buckets.histogram),
+    "bucket_top20": _stats(buckets.top_buckets),
+    "kmers_of_superkmers": partial(_kmers, mode="mspxor"),
+    "tiling_check": _tiling,
+    "crossbucket_mspxor": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "mspxor")),
+    "crossbucket_sticky": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "sticky")),
+    "context_independence": _with_tiles,
+    "score_sum": _score_sum,
+    "kmer_counts": _recount,
+}
+
+# --- the same in DuckDB's SQL, written independently of the above ---
+
+READS = "reads as (select o_orderkey as seq_id, translate(" + " || ".join(f"md5(concat(o_orderkey, '-{i}'))" for i in range(5)) + ", '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from orders)"
+
+
+def _value(text: str, n: int, start: str = "0") -> str:
+    return "(" + " + ".join(f"instr('CGT', substr({text}, cast({start} as bigint) + {i + 1}, 1))::bigint * {4 ** (n - 1 - i)}" for i in range(n)) + ")"
+
+
+def _rc(v: str, n: int) -> str:
+    return "(" + " + ".join(f"(3 - (({v} >> {2 * i}) & 3)) * {4 ** (n - 1 - i)}" for i in range(n)) + ")"
+
+
+def _reverse(text: str) -> str:
+    return f"reverse(translate({text}, 'ACGTacgt', 'TGCAtgca'))"
+
+
+def _lmers_sql(l: int) -> str:
+    return f"lmers as (select seq_id, length(seq) as n, pos, {_value('seq', l, 'pos')} as lmer from (select seq_id, seq, unnest(range(0, length(seq) - {l - 1})) as pos from reads))"
+
+
+def _good(v: str, l: int, s: int) -> str:
+    parts = "[" + ", ".join(f"(({v} >> {2 * (l - s - i)}) & {4**s - 1})" for i in range(l - s + 1)) + "]"
+    return f"(case when {v} in (0, {4**l - 1}) then 1 when list_position({parts}, list_min({parts})) in (1, {l - s + 1}) then 0 else 1 end)"
+
+
+def _uhs(v: str, l: int) -> str:
+    from kmerweave.functions.scores import UHS_PATTERNS
+
+    ry = "(" + " + ".join(f"(({v} >> {2 * i}) & 1) * {2**i}" for i in range(l)) + ")"
+    back = "(" + " + ".join(f"(1 - (({v} >> {2 * i}) & 1)) * {2 ** (l - 1 - i)}" for i in range(l)) + ")"
+    among = "(" + ", ".join(UHS_PATTERNS[l].split()) + ")"
+    return f"(case when {v} in (0, {4**l - 1}) then 1 when {ry} in {among} or {back} in {among} then 0 else 1 end)"
+
+
+def _dims(l: int, score: str) -> str:
+    """dims(lmer, score, canon, is_rc); score speaks of v and c."""
+    return f"dims as (select v as lmer, cast({score} as bigint) as score, c as canon, c < v as is_rc from (select v, least(v, {_rc('v', l)}) as c from (select unnest(range({4**l})) as v)))"
+
+
+def _tie(base: str, tie: str) -> str:
+    return f"({base}) * 2147483648 + (({tie}) & 2147483647)"
+
+
+XOR = "xor(c, 2900733157)"
+SCORES = {
+    "syncmer": (8, _good("v", 8, 2)),
+    "syncmer_l9": (9, _good("v", 9, 2)),
+    "msp": (8, _tie(_good("c", 8, 2), "c")),
+    "mspxor": (8, _tie(_good("c", 8, 2), XOR)),
+    "mspxor_s3": (8, _tie(_good("c", 8, 3), XOR)),
+    "mspxor_l9": (9, _tie(_good("c", 9, 2), XOR)),
+    "uhs7": (7, _uhs("v", 7)),
+    "uhs8": (8, _uhs("v", 8)),
+    "uhs9": (9, _uhs("v", 9)),
+    "uhs11": (11, _uhs("v", 11)),
+    "uhs_mspxor": (8, _tie(_uhs("c", 8), XOR)),
+    "kmc2": (8, "c + case when c >> 14 = 0 or " + " or ".join(f"((c >> {2 * i}) & 15) in (0, 1)" for i in range(7)) + " then 65536 else 0 end"),
+    "lexicographic": (8, "case when v = 0 then 4294967295 else v end"),
+}
+
+
+def _with(*parts: str) -> str:
+    return "with " + ", ".join(parts) + " "
+
+
+def _superkmers_sql(name: str, rightmost: bool = False, canonical: bool = True) -> str:
+    l, score = SCORES[name]
+    w = K - l
+    tie = "2147483647 - pos" if rightmost else "pos"
+    back = "2147483647 - key % 2147483648" if rightmost else "key % 2147483648"
+    return (
+        _dims(l, score) + f", {_lmers_sql(l)}, "
+        f"keyed as (select seq_id, n, pos, min(score::hugeint * 2147483648 + {tie}) over (partition by seq_id order by pos rows between current row and {w} following) as key from lmers join dims using (lmer)), "
+        f"best as (select seq_id, n, pos, cast({back} as bigint) as p from keyed where pos <= n - {K}), "
+        "moved as (select *, lag(p) over (partition by seq_id order by pos) as was from best), "
+        f"runs as (select seq_id, n, pos, p, coalesce(lead(pos) over (partition by seq_id order by pos) + {K - 1}, n) as stop from moved where was is null or was <> p), "
+        f"sk as (select r.seq_id, r.pos::bigint as start, {'canon' if canonical else 'm.lmer'}::int as mint, (stop - r.pos)::int as size, (p - r.pos)::int as mpos, {'is_rc' if canonical else 'false'} as mint_is_rc from runs r join lmers m on m.seq_id = r.seq_id and m.pos = r.p join dims d on d.lmer = m.lmer)"
+    )
+
+
+_SK = READS + ", " + _superkmers_sql("mspxor")
+_COUNTS = _SK + f", counts as (select mint, sum(size - {K - 1})::bigint as kmers, count(*) as superkmers from sk group by mint)"
+_KMERS = _SK + f", kmers as (select seq_id, pos, substr(seq, pos + 1, {K}) as kmer, mint from (select seq_id, mint, unnest(range(start, start + size - {K - 1})) as pos from sk) join reads using (seq_id))"
+_SYNC = "select seq_id, pos::int as pos, kmer from (select seq_id, pos, substr(seq, pos + 1, 15) as kmer from (select seq_id, seq, unnest(range(0, length(seq) - 14)) as pos from reads)) where list_position({p}, list_min({p})) in ({t})"
+_PARTS = "[" + ", ".join(f"substr(kmer, {i + 1}, 5)" for i in range(11)) + "]"
+
+
+def _words(text: str) -> str:
+    v = " + ".join(f"instr('CGT', substr(t, 32 * i + {j + 1}, 1))::hugeint * {4 ** (31 - j)}" for j in range(32))
+    return f"select seq_id, i::int as i, cast(case when w >= 9223372036854775808 then w - 18446744073709551616 else w end as bigint) as word from (select seq_id, i, {v} as w from (select seq_id, {text} as t, unnest(range(0, (length(seq) + 31) // 32)) as i from reads))"
+
+
+_DOCS_N = "docs as (select doc_id as seq_id, regexp_replace(replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), chr(10), 'N'), '[^acgtN]', '', 'g') as seq from documents)"
+_R = _with(READS)
+
+ORACLES = {
+    "revcomp": _R + f"select seq_id, {_reverse('seq')} as rc from reads",
+    "revcomp_min": _R + f"select seq_id, seq < {_reverse('seq')} as smaller from reads",
+    "canonical_kmers": _R + f"select seq_id, least(substr(seq, 1, {K}), {_reverse(f'substr(seq, 1, {K})')}) as kmer from reads",
+    "valid_bases": "select doc_id, regexp_full_match(substr(translate(lower(text), 'abcdefghij', 'acgtacgtac'), 1, 1), '[ACGTacgt]*') as valid from documents",
+    "encode_bases": _R + "select seq_id, instr('CGT', substr(seq, 5, 1))::bigint as code, instr('CGT', substr(seq, 5, 1))::bigint as bits from reads",
+    "encode_lmers": _with(READS, _lmers_sql(L)) + "select seq_id, pos::int as pos, lmer from lmers",
+    "canonical_lmers": _with(READS, _lmers_sql(L)) + f"select seq_id, pos::int as pos, least(lmer, {_rc('lmer', L)}) as canon from lmers",
+    "ry_patterns": _R + "select seq_id, " + " + ".join(f"(substr(seq, {i + 1}, 1) in ('C', 'T'))::bigint * {2 ** (7 - i)}" for i in range(8)) + " as ry, " + " + ".join(f"(substr(seq, {i + 1}, 1) in ('A', 'G'))::bigint * {2**i}" for i in range(8)) + " as ry_rc from reads",
+    "pack_words": _R + _words("seq"),
+    "pack_words_rc": _R + _words(_reverse("seq")),
+    "pack_bytes": _R + "select seq_id, i::int as i, (" + " + ".join(f"instr('CGT', substr(seq, 4 * i + {j + 1}, 1)) * {4**j}" for j in range(4)) + ")::int as byte from (select seq_id, seq, unnest(range(0, (length(seq) + 3) // 4)) as i from reads)",
+    "packed_kmers": _R + f"select seq_id, {_value('seq', K, '20')} as value from reads",
+    "split_n": _with(_DOCS_N, "parts as (select seq_id, i, length(list_extract(p, i)) as len, sum(length(list_extract(p, i)) + 1) over (partition by seq_id order by i) - length(list_extract(p, i)) - 1 as o from (select seq_id, p, unnest(range(1, length(p) + 1)) as i from (select seq_id, string_split_regex(seq, '[Nn]') as p from docs)))") + f'select seq_id, o::bigint as "offset", len::bigint as length from parts where len >= {K}',
+    "syncmers_open": _R + _SYNC.format(p=_PARTS, t="4"),
+    "syncmers_closed": _R + _SYNC.format(p=_PARTS, t="1, 11"),
+    **{f"scores_{n}": _with(READS, _lmers_sql(SCORES[n][0]), _dims(*SCORES[n])) + "select lmer, count(*) as n, any_value(score) as score, any_value(canon) as canon, any_value(is_rc) as is_rc from lmers join dims using (lmer) group by lmer" for n in SCORES if n != "mspxor_l9"},
+    **{n: _with(READS, _superkmers_sql(*a)) + "select * from sk" for n, a in {
+        "superkmers_classical": ("syncmer", True), "superkmers_msp": ("msp",), "superkmers_mspxor": ("mspxor",), "superkmers_windowed": ("mspxor",), "superkmers_l9": ("mspxor_l9",),
+        "superkmers_classical_forward": ("syncmer", True, False), "superkmers_msp_forward": ("msp", False, False), "superkmers_mspxor_forward": ("mspxor", False, False),
+        "uhs_classical": ("uhs8", True), "uhs_msp": ("uhs8",), "uhs_mspxor": ("uhs_mspxor",),
+    }.items()},
+    "bucket_counts": _with(_COUNTS) + "select * from counts",
+    "bucket_stats": _with(_COUNTS) + "select count(*) as minimizers, sum(kmers)::bigint as kmers, sum(superkmers)::bigint as superkmers, avg(kmers) as mean, min(kmers) as least, max(kmers) as most, max(kmers) / avg(kmers) as most_by_mean from counts",
+    "bucket_percentiles": _with(_COUNTS) + "select p::int as p, kmers from (select kmers, row_number() over (order by kmers) - 1 as i, count(*) over () as n from counts) join (select unnest([1, 5, 25, 50, 75, 90, 95, 99]) as p) on i = n * p // 100",
+    "bucket_histogram": _with(_COUNTS) + "select bin::int as bin, (1::bigint << (bin - 1)::int) as low, (1::bigint << bin::int) - 1 as high, count(*) as minimizers, sum(kmers)::bigint as kmers, sum(kmers) * 100.0::double / sum(sum(kmers)) over () as percent from (select *, length(format('{:b}', kmers)) as bin from counts) group by bin",
+    "bucket_top20": _with(_COUNTS) + "select * from counts order by kmers desc, mint limit 20",
+    "kmers_of_superkmers": _with(_KMERS) + "select * from kmers",
+    "tiling_check": "with docs as (select doc_id as seq_id, length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as n from documents) " + f"select seq_id, (n - {K - 1})::bigint as kmers, (n - {K - 1})::bigint as covered, true as tiles from docs where n >= {K}",
+    "crossbucket_mspxor": _with(_KMERS) + f"select least(kmer, {_reverse('kmer')}) as kmer, count(distinct mint) as mints from kmers group by 1 having count(distinct mint) > 1",
+    "context_independence": _R + "select seq as kmer, 0::bigint as mints from reads where false",
+    "superkmers_forms_differ": "select 0::bigint as seq_id, 0::bigint as start, 0::int as mint, 0::int as size, 0::int as mpos, true as mint_is_rc, '' as side where false",
+    "score_sum": _with(READS, _lmers_sql(L), _dims(*SCORES["mspxor"])) + "select sum(score)::varchar as total from lmers join dims using (lmer)",
+    "kmer_counts": _R + f"select least(kmer, {_reverse('kmer')}) as kmer, count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1",
+}
