@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerweave.llm import decontaminate, near_dedup, packing, substrings, toxicity
+from kmerweave.llm.common import shared_folder
 
 #: A document goes when its toxicity score is at least this.
 TOXIC = 0.7
@@ -65,9 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet beside the checkpoints and read again."""
-    sc = spark.sparkContext
-    near_dedup.durable(spark.range(1))  # sees to it that a checkpoint folder is set
-    folder = f"{sc._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -168,4 +168,4 @@ def n_hit():
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"), "hits")
+    return found.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit() > 0).alias("contaminated"))

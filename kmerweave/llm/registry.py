@@ -14,4 +14,41 @@ from kmerweave.llm.toxicity import op8_toxicity
 from kmerweave.llm.urls import op4_url_filter
 
 QUERIES = {q.__name__: q for q in (op1_packing, op2_licenses, op3_decontamination, op4_url_filter, op5_language, op6_near_dedup, op7_neighbors, op8_toxicity, op9_quality, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""
+        with d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from documents),
+        i as (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from benchmark where item_id is not null),
+        iw as (select item_id, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p, w from i where len(w) > 0),
+        windows as (select distinct item_id, n, array_to_string(w[p:p + n - 1], ' ') as t from iw),
+        dw as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as t from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as p from d, (select distinct n from windows) where len(w) >= n)),
+        hits as (select doc_id, p, n, item_id from dw join windows using (n, t)),
+        words as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id),
+        items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hits group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+            sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join words using (doc_id) left join items using (doc_id)""",
+    "op6_near_dedup": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOWER}, {_SPACED}) as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as g from d),
+        n as (select doc_id, count(*) as c from s group by doc_id),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as same from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * same >= 80 * (x.c + y.c - same)),
+        ends as (select a, b from links union select b, a from links),
+        reach(id, root) as (select doc_id, doc_id from d union select e.b, r.root from reach r join ends e on e.a = r.id where r.root < e.b),
+        parts as (select id as doc_id, min(root) as component_id from reach group by id)
+        select doc_id, coalesce(c, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d join parts using (doc_id) left join n using (doc_id)""",
+    "op10_substring_dedup": f"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) as w from documents),
+        wins as (select doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 18)) as p from d where len(w) >= 20)),
+        ranked as (select doc_id, p, row_number() over (partition by h order by doc_id, p) as r from wins),
+        gone as (select distinct doc_id, unnest(range(p, p + 20)) as q from ranked where r > 1),
+        lists as (select doc_id, list(q) as qs, count(*) as c from gone group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(c, 0)::bigint as n_removed,
+            sha256(array_to_string(case when c is null then w else list_transform(list_filter(range(1, len(w) + 1), lambda i: not list_contains(qs, i)), lambda i: w[i]) end, ' ')) as kept_sha256
+        from d left join lists using (doc_id)""",
+}
