@@ -84,6 +84,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     branches = firsts.groupBy("anchor").agg((F.count("*") > 1).alias("branches"))
     joined = known.join(firsts, ["anchor", "path"]).join(branches, "anchor").selectExpr("id", "loc", "id = first.id and loc = first.loc as is_first", "branches").where("not is_first or branches")
     spots = durable(joined.selectExpr("id", "cast(shiftright(loc, 8) & 65535 as int) as tk", "shiftright(loc, 24) as start", "cast(loc & 255 as int) as n", "is_first as open"))
+    # Read three times below with the same columns, so that Spark moves the texts once and uses that exchange again.
     placed = base.repartition("id", "tk")
     opened = spots.where("open").groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
@@ -104,7 +105,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 h = hash_runs(words, first[doc] + rel, np.full(len(doc), window))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(rel << 16 | tk[doc])], names=["w", "id", "at"])
 
-    windows = placed.join(opened, ["id", "tk"]).select("id", "tk", "text", "spans").mapInArrow(unfold, "w long, id long, at long")
+    windows = placed.join(opened, ["id", "tk"]).select("id", "tk", "text", "spans", "text_key").mapInArrow(unfold, "w long, id long, at long")
     first = windows.groupBy("w").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
     late = windows.join(first, "w").where("id <> first.id or at <> first.at").selectExpr("id", "cast(at & 65535 as int) as tk", "shiftright(at, 16) as start", "1 as n")
     gone = spots.where("not open").select("id", "tk", "start", "n").unionByName(late).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
