@@ -65,7 +65,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     session(docs)
     text = F.col("text").cast("string")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tk"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(65535).cast("long")).cast("int").alias("tk"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
