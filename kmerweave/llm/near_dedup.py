@@ -13,6 +13,8 @@ from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, has
 
 #: Bands and rows of the banding: a pair of similarity 0.8 shares no band with odds of 3e-7. Bits of an odd sketch.
 BANDS, ROWS, SKETCH = 44, 5, 1024
+#: Ids and keys, of 16 bytes, that are broadcast at most.
+IDS_TO_SEND = 400_000
 #: A pair goes on to the exact check unless its sketches differ in more bits than similarity 0.8 does in all but a
 #: few of a million cases.
 MARGIN = 5.0
@@ -132,20 +134,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     classes = sized.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     classes = classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text_key").alias("text_key"), "set_key")
     ids = classes.select("doc_id", "text_key")
-    texts = base.join(ids, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, at in measured(batches, True):
-            if len(part):
-                k, sketch = sign(minhash(sets, at))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(list(k.astype(np.int64)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary())], names=["id", "n", "bands", "sketch"])
+            full = np.flatnonzero(np.diff(at))
+            if len(full):
+                k, sketch = sign(minhash(sets, np.append(at[full], len(sets))))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)), pa.array(np.diff(at)[full]), pa.array(list(k.view(np.int64)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "text_key", "n", "bands", "sketch"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, at in measured(batches, True):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sets.astype(np.int64)))], names=["id", "set"])
 
-    # A class may have several rows of one id and text; one stands for it.
-    signs = texts.mapInArrow(signed, "id long, n long, bands array<long>, sketch binary").dropDuplicates(["id"])
+    # Signatures are made where the texts lie, copies' too: those are a sixth of a text, so only they are moved. A
+    # class may have several rows of one id and text; one stands for it.
+    signs = base.where("doc_id is not null").mapInArrow(signed, "doc_id long, text_key long, n long, bands array<long>, sketch binary")
+    signs = durable(signs.join(ids, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"))
     # Only classes that share a band with another go on.
     posted = signs.select("id", "n", F.posexplode("bands").alias("band", "key"), "sketch")
     bucket = F.xxhash64("band", "key")
@@ -161,8 +165,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches are near and whose full sets are similar enough."""
         close = durable(pairs.join(wide(sketches, "a"), "a").join(wide(sketches, "b"), "b").where(f"{sides} and {near}").select("a", "b", "n_a", "n_b"))
-        need = close.selectExpr("a as id").union(close.selectExpr("b as id")).distinct()
-        sets = texts.withColumnRenamed("doc_id", "id").join(need, "id", "left_semi").select("id", "text_key", "text").mapInArrow(listed, "id long, set array<long>").dropDuplicates(["id"])
+        need = durable(close.selectExpr("a as doc_id").union(close.selectExpr("b as doc_id")).distinct().join(signs.select(F.col("id").alias("doc_id"), "text_key"), "doc_id"))
+        # A list of ids of checked size goes to the texts; a longer one meets them in a shuffle.
+        few = F.broadcast(need) if need.count() <= IDS_TO_SEND else need
+        sets = base.join(few, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text").mapInArrow(listed, "id long, set array<long>").dropDuplicates(["id"])
         met = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         same = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         return durable(met.withColumn("same", same).where(f"100 * same >= {percent} * (n_a + n_b - same)").select("a", "b"))
