@@ -15,6 +15,8 @@ from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, has
 BANDS, ROWS, SKETCH = 44, 5, 1024
 #: Ids and keys, of 16 bytes, that are broadcast at most.
 IDS_TO_SEND = 400_000
+#: Rounds of hubs at most, after the first, before all that is left in a bucket meets.
+HUB_ROUNDS = 3
 #: A pair goes on to the exact check unless its sketches differ in more bits than similarity 0.8 does in all but a
 #: few of a million cases.
 MARGIN = 5.0
@@ -80,7 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
     round is checkpointed, and the work ends when no label changes. Hot ids cost a partial aggregate.
     """
     both = durable(edges.selectExpr("a as id", "b as to").union(edges.selectExpr("b as id", "a as to")).distinct())
-    labels = durable(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")))
+    labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("near"))
         better = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
@@ -103,7 +105,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     3. In each band bucket every class meets one hub, the bucket's smallest by a hash that differs by round. The pair
        goes on if their sketches' XOR has few enough bits, and is linked if the full sets confirm it.
     4. Linked classes form components. Buckets that hold more than one component have further rounds with other hubs,
-       of one class for each component, and a last one in which every class that is not in the bucket's
+       of one class for each component, until one brings no link, and a last one in which every class that is not in the bucket's
        commonest component meets every class of another component whose sketch is near. No pair is left out for the
        size of its bucket, and buckets of true copies, which become one component at once, never form all pairs.
 
@@ -174,34 +176,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         return durable(met.withColumn("same", same).where(f"100 * same >= {percent} * (n_a + n_b - same)").select("a", "b"))
 
     pair = lambda rows: rows.where("x is not null and y is not null and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links, parts = None, None
-    for turn in range(4):
-        if parts is None:
-            hubs = posts.groupBy("bucket").agg(F.min("id").alias("y"))
-            pairs = pair(posts.withColumnRenamed("id", "x").join(hubs, "bucket"))
-        else:
-            # Of each bucket with several components, one class of each (by a hash of this turn) for the others.
-            order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
-            placed = mixed(posts, parts)
-            if placed.isEmpty():
-                break
-            heads = placed.groupBy("bucket", "component").agg(F.min(order)["id"].alias("y"))
-            first = heads.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), "component", "y")).alias("h")).select("bucket", F.col("h.component").alias("hub"), F.col("h.y").alias("y"))
-            pairs = pair(placed.withColumnRenamed("id", "x").join(first, "bucket").where("component <> hub").select("x", "y"))
-        new = confirmed(pairs)
-        links = new if links is None else durable(links.union(new).distinct())
+    links = confirmed(pair(posts.withColumnRenamed("id", "x").join(posts.groupBy("bucket").agg(F.min("id").alias("y")), "bucket")))
+    parts = components(links)
+    for turn in range(1, HUB_ROUNDS + 1):
+        # Of each bucket with several components, one class of each (by a hash of this turn) for the others.
+        placed = mixed(posts, parts)
+        order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
+        heads = placed.groupBy("bucket", "component").agg(F.min(order)["id"].alias("y"))
+        first = heads.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), "component", "y")).alias("h")).select("bucket", F.col("h.component").alias("hub"), F.col("h.y").alias("y"))
+        new = confirmed(pair(placed.withColumnRenamed("id", "x").join(first, "bucket").where("component <> hub").select("x", "y")))
+        if new.isEmpty():
+            break
+        links = durable(links.union(new).distinct())
         parts = components(links)
     else:
         placed = mixed(posts, parts)
-        if not placed.isEmpty():
-            # Whatever is not of a bucket's commonest component meets all others there; the sketches decide within the join.
-            main = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-            known = placed.join(main, "bucket")
-            left = known.where("component <> main").join(wide(sketches, "a"), known["id"] == F.col("a")).drop("id", "main").withColumnRenamed("component", "part_a")
-            right = known.join(wide(sketches, "b"), known["id"] == F.col("b")).drop("id").selectExpr("*", "component as part_b").drop("component")
-            met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"part_a <> part_b and (part_b = main or a < b) and {sides} and {near}"))
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            parts = components(durable(links.union(confirmed(pairs)).distinct()))
+    # Whatever is not of a bucket's commonest component meets all others there; the sketches decide within the join.
+    main = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    known = placed.join(main, "bucket")
+    left = known.where("component <> main").join(wide(sketches, "a"), known["id"] == F.col("a")).drop("id", "main").withColumnRenamed("component", "part_a")
+    right = known.join(wide(sketches, "b"), known["id"] == F.col("b")).drop("id").selectExpr("*", "component as part_b").drop("component")
+    met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"part_a <> part_b and (part_b = main or a < b) and {sides} and {near}"))
+    new = confirmed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not new.isEmpty():
+        parts = components(durable(links.union(new).distinct()))
     named = sized.join(classes.select("set_key", F.col("doc_id").alias("id")), "set_key", "left").join(parts, "id", "left")
     whole = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "id", "doc_id"))
     out = named.select("doc_id", "text_key", "n_shingles", whole.alias("component_id"))
