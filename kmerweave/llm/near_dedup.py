@@ -15,8 +15,6 @@ from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, has
 BANDS, ROWS, SKETCH = 44, 5, 1024
 #: Ids and keys, of 16 bytes, that are broadcast at most.
 IDS_TO_SEND = 400_000
-#: Rounds of hubs at most, after the first, before all that is left in a bucket meets.
-HUB_ROUNDS = 3
 #: A pair goes on to the exact check unless its sketches differ in more bits than similarity 0.8 does in all but a
 #: few of a million cases.
 MARGIN = 5.0
@@ -63,6 +61,13 @@ def sign(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.packbits(bits, axis=1)
 
 
+def parity(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Odd sketches of the full sets: two of them differ in no more bits than their sets do in members."""
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    counts = np.bincount(of * SKETCH + (sets >> np.uint64(54)).astype(np.int64) % SKETCH, minlength=(len(at) - 1) * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(-1, SKETCH), axis=1)
+
+
 def bound(similarity: float) -> int:
     """The most differing bits that a pair of this similarity shows, but for MARGIN deviations.
 
@@ -79,9 +84,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ids on undirected edges (a, b): the smallest id reachable.
 
     Rounds of label hooking: each id takes the smallest label next to it, then its label's label, so chains halve; a
-    round is checkpointed, and the work ends when no label changes. Hot ids cost a partial aggregate.
+    round is written, and the work ends when no label changes. Hot ids cost a partial aggregate. ``edges`` is read in
+    each round, so it should be a written table.
     """
-    both = durable(edges.selectExpr("a as id", "b as to").union(edges.selectExpr("b as id", "a as to")).distinct())
+    both = edges.selectExpr("a as id", "b as to").union(edges.selectExpr("b as id", "a as to"))
     labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("near"))
@@ -101,12 +107,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sequence, if shorter). component_id is the smallest doc_id reachable; kept says that it is the row's own.
 
     1. Documents of equal sets are one class, known by its smallest doc_id; only classes go on, so that copies cost nothing.
-    2. Each class has MinHash samples, band keys and an odd sketch, the parity of its samples' places.
-    3. In each band bucket every class meets one hub, the bucket's smallest by a hash that differs by round. The pair
-       goes on if their sketches' XOR has few enough bits, and is linked if the full sets confirm it.
-    4. Linked classes form components. Buckets that hold more than one component have further rounds with other hubs,
-       of one class for each component, until one brings no link, and a last one in which every class that is not in the bucket's
-       commonest component meets every class of another component whose sketch is near. No pair is left out for the
+    2. Each class has MinHash samples, band keys and two odd sketches: the parity of its samples' places, and that of
+       its full set, whose differing bits can't outnumber the differing shingles.
+    3. In each band bucket every class meets two hubs, the smallest and one by a hash that differs by bucket. A pair
+       goes on if few enough bits of the sketches differ, and is linked if the full sets confirm it.
+    4. Linked classes form components. In buckets that hold more than one, every class that is not in the bucket's
+       commonest component meets every class of another component whose sketches are near. No pair is left out for the
        size of its bucket, and buckets of true copies, which become one component at once, never form all pairs.
 
     Null, empty or wordless text: no shingles, linked with nothing, its own component. Null doc_id: component_id null,
@@ -141,8 +147,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         for part, sets, at in measured(batches, True):
             full = np.flatnonzero(np.diff(at))
             if len(full):
-                k, sketch = sign(minhash(sets, np.append(at[full], len(sets))))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)), pa.array(np.diff(at)[full]), pa.array(list(k.view(np.int64)), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sketch], pa.binary())], names=["doc_id", "text_key", "n", "bands", "sketch"])
+                bounds = np.append(at[full], len(sets))
+                k, sketch = sign(minhash(sets, bounds))
+                sketch = np.concatenate([sketch, parity(sets, bounds)], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)), pa.array(np.diff(at)[full]), pa.array(list(k.view(np.int64)), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "bands", "sketch"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, at in measured(batches, True):
@@ -150,19 +158,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     # Signatures are made where the texts lie, copies' too: those are a sixth of a text, so only they are moved. A
     # class may have several rows of one id and text; one stands for it.
-    signs = base.where("doc_id is not null").mapInArrow(signed, "doc_id long, text_key long, n long, bands array<long>, sketch binary")
+    signs = base.where("doc_id is not null").mapInArrow(signed, "doc_id long, text_key long, n long, bands array<long>, sketch array<long>")
     signs = durable(signs.join(ids, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"))
     # Only classes that share a band with another go on.
-    posted = signs.select("id", "n", F.posexplode("bands").alias("band", "key"), "sketch")
+    posted = signs.select("id", "n", F.posexplode("bands").alias("band", "key"))
     bucket = F.xxhash64("band", "key")
     slim = posted.select("id", bucket.alias("bucket"))
     shared = slim.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     posts = durable(slim.join(shared, "bucket"))
     sketches = durable(signs.select("id", "n", "sketch").join(posts.select("id").distinct(), "id", "left_semi"))
-    wide = lambda s, to: s.select(F.col("id").alias(to), F.col("n").alias(f"n_{to}"), *[F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"{to}{i}") for i in range(SKETCH // 64)])
-    near = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(SKETCH // 64)) + f" <= {bound(similarity)}"
+    wide = lambda s, to: s.select(F.col("id").alias(to), F.col("n").alias(f"n_{to}"), F.col("sketch").alias(f"sketch_{to}"))
+    apart = lambda start: " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(start, start + SKETCH // 64))
     percent = round(100 * similarity)
     sides = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    near = f"{100 + percent} * ({apart(SKETCH // 64)}) <= {100 - percent} * (n_a + n_b) and {apart(0)} <= {bound(similarity)}"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches are near and whose full sets are similar enough."""
@@ -176,21 +185,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         return durable(met.withColumn("same", same).where(f"100 * same >= {percent} * (n_a + n_b - same)").select("a", "b"))
 
     pair = lambda rows: rows.where("x is not null and y is not null and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = confirmed(pair(posts.withColumnRenamed("id", "x").join(posts.groupBy("bucket").agg(F.min("id").alias("y")), "bucket")))
+    hubs = posts.groupBy("bucket").agg(F.min("id").alias("first"), F.min(F.struct(F.xxhash64("id", "bucket"), "id"))["id"].alias("other"))
+    links = confirmed(pair(posts.withColumnRenamed("id", "x").join(hubs, "bucket").select("x", F.explode(F.array("first", "other")).alias("y"))))
     parts = components(links)
-    for turn in range(1, HUB_ROUNDS + 1):
-        # Of each bucket with several components, one class of each (by a hash of this turn) for the others.
-        placed = mixed(posts, parts)
-        order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id"))
-        heads = placed.groupBy("bucket", "component").agg(F.min(order)["id"].alias("y"))
-        first = heads.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), "component", "y")).alias("h")).select("bucket", F.col("h.component").alias("hub"), F.col("h.y").alias("y"))
-        new = confirmed(pair(placed.withColumnRenamed("id", "x").join(first, "bucket").where("component <> hub").select("x", "y")))
-        if new.isEmpty():
-            break
-        links = durable(links.union(new).distinct())
-        parts = components(links)
-    else:
-        placed = mixed(posts, parts)
+    placed = mixed(posts, parts)
     # Whatever is not of a bucket's commonest component meets all others there; the sketches decide within the join.
     main = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
     known = placed.join(main, "bucket")
@@ -199,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"part_a <> part_b and (part_b = main or a < b) and {sides} and {near}"))
     new = confirmed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not new.isEmpty():
-        parts = components(durable(links.union(new).distinct()))
+        parts = components(links.union(new))
     named = sized.join(classes.select("set_key", F.col("doc_id").alias("id")), "set_key", "left").join(parts, "id", "left")
     whole = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "id", "doc_id"))
     out = named.select("doc_id", "text_key", "n_shingles", whole.alias("component_id"))
