@@ -83,20 +83,25 @@ def bound(similarity: float) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ids on undirected edges (a, b): the smallest id reachable.
 
-    Rounds of label hooking: each id takes the smallest label next to it, then its label's label, so chains halve; a
-    round is written, and the work ends when no label changes. Hot ids cost a partial aggregate. ``edges`` is read in
-    each round, so it should be a written table.
+    Each id takes the smallest one next to it as its parent, and parents' parents until none moves, so chains halve.
+    Edges are then those between the roots, fewer each round, until none is left; ids find their last root on the way
+    back. What a round leaves is written. Hot ids cost a partial aggregate. ``edges`` should be a written table.
     """
-    both = edges.selectExpr("a as id", "b as to").union(edges.selectExpr("b as id", "a as to"))
-    labels = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component"))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("near"))
-        better = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = better.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        better = durable(better.join(jump, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was"))
-        if better.where("component < was").isEmpty():
-            return better.select("id", "component")
-        labels = better.select("id", "component")
+    levels = []
+    while not levels or not edges.isEmpty():
+        both = edges.selectExpr("a as id", "b as to").union(edges.selectExpr("b as id", "a as to"))
+        parents, moved = both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("component")), True
+        while moved:
+            above = parents.select(F.col("id").alias("component"), F.col("component").alias("root"))
+            step = durable(parents.join(above, "component").select("id", F.col("root").alias("component"), (F.col("root") < F.col("component")).alias("moved")))
+            parents, moved = step.select("id", "component"), not step.where("moved").isEmpty()
+        levels.append(parents)
+        roots = edges.join(parents.toDF("a", "x"), "a").join(parents.toDF("b", "y"), "b").where("x <> y")
+        edges = durable(roots.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    parts = levels.pop()
+    for level in reversed(levels):
+        parts = durable(level.join(parts.toDF("component", "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+    return parts
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
