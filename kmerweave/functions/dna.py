@@ -87,7 +87,7 @@ def ry_revcomp(ry, length: int) -> Column:
 
 def is_valid(s) -> Column:
     """True where there are bases only."""
-    return _col(s).rlike("^[ACGTacgt]*$")
+    return _col(s).rlike(r"^[ACGTacgt]*\z")
 
 
 def pack_words(s, strand: str = "forward") -> Column:

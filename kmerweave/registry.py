@@ -91,6 +91,21 @@ def _forms_differ(spark, sf):
     return buckets.symmetric_difference(_cut()(spark, sf), _windowed("mspxor")(spark, sf))
 
 
+def _valid_texts(spark, sf):
+    """Whether each document's whole text, with a to j read as bases, has bases only."""
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", dna.is_valid(_mapped()).alias("valid"))
+
+
+def _valid_words(spark, sf):
+    """The same for each stretch between spaces, where both answers occur."""
+    parts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.posexplode(F.split(_mapped(), " ", -1)).alias("i", "word"))
+    return parts.select("doc_id", "i", dna.is_valid("word").alias("valid"))
+
+
+def _mapped():
+    return F.translate(F.lower("text"), "abcdefghij", "acgtacgtac")
+
+
 def _verbose(spark, sf):
     seqs = reads(spark, sf)
     return buckets.verbose(hashed.quarantine(seqs, K, 9), seqs, 9)
@@ -101,6 +116,8 @@ QUERIES = {
     "revcomp_min": _scalar(lambda: [dna.is_revcomp_min("seq").alias("smaller")]),
     "canonical_kmers": _scalar(lambda: [dna.canonical_kmer(F.substring("seq", 1, K)).alias("kmer")]),
     "valid_bases": lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", dna.is_valid(F.substring(F.translate(F.lower("text"), "abcdefghij", "acgtacgtac"), 1, 1)).alias("valid")),
+    "valid_texts": _valid_texts,
+    "valid_words": _valid_words,
     "encode_bases": _scalar(lambda: [dna.encode_base(F.substring("seq", 5, 1)).cast("bigint").alias("code"), dna.base_from_ascii(F.substring("seq", 5, 1)).cast("bigint").alias("bits")]),
     "encode_lmers": _lmers(lambda: ["lmer"]),
     "canonical_lmers": _lmers(lambda: [F.least("lmer", dna.revcomp_value(dna.decode_kmer("lmer", L), 0, L)).alias("canon")]),
@@ -246,6 +263,8 @@ ORACLES = {
     "revcomp_min": _R + f"select seq_id, seq < {_reverse('seq')} as smaller from reads",
     "canonical_kmers": _R + f"select seq_id, least(substr(seq, 1, {K}), {_reverse(f'substr(seq, 1, {K})')}) as kmer from reads",
     "valid_bases": "select doc_id, regexp_full_match(substr(translate(lower(text), 'abcdefghij', 'acgtacgtac'), 1, 1), '[ACGTacgt]*') as valid from documents",
+    "valid_texts": "select doc_id, regexp_full_match(translate(lower(text), 'abcdefghij', 'acgtacgtac'), '[ACGTacgt]*') as valid from documents",
+    "valid_words": "select doc_id, (i - 1)::int as i, regexp_full_match(list_extract(w, i), '[ACGTacgt]*') as valid from (select doc_id, w, unnest(range(1, length(w) + 1)) as i from (select doc_id, string_split(translate(lower(text), 'abcdefghij', 'acgtacgtac'), ' ') as w from documents))",
     "encode_bases": _R + "select seq_id, instr('CGT', substr(seq, 5, 1))::bigint as code, instr('CGT', substr(seq, 5, 1))::bigint as bits from reads",
     "encode_lmers": _with(READS, _lmers_sql(L)) + "select seq_id, pos::int as pos, lmer from lmers",
     "canonical_lmers": _with(READS, _lmers_sql(L)) + f"select seq_id, pos::int as pos, least(lmer, {_rc('lmer', L)}) as canon from lmers",
