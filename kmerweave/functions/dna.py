@@ -116,6 +116,11 @@ def get_base(words, pos) -> Column:
 def get_kmer_value(words, pos, length: int) -> Column:
     """The value of length bases from pos of packed words, over word borders."""
     p = F.lit(pos) if isinstance(pos, int) else _col(pos)
+    if length < 32:  # at most two words
+        word, off = F.get(_col(words), (p / 32).cast("int")), (p % 32 * 2).cast("int")
+        rest = F.call_function("shiftrightunsigned", F.get(_col(words), (p / 32).cast("int") + 1), (64 - off).cast("int"))
+        both = F.call_function("shiftleft", word, off).bitwiseOR(F.when(p % 32 + length > 32, rest).otherwise(F.lit(0).cast("bigint")))
+        return F.call_function("shiftrightunsigned", both, F.lit(64 - 2 * length))
     return F.aggregate(F.sequence(F.lit(0), F.lit(length - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc * 4 + get_base(words, p + i))
 
 

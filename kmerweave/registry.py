@@ -106,6 +106,17 @@ def _mapped():
     return F.translate(F.lower("text"), "abcdefghij", "acgtacgtac")
 
 
+def _everywhere(length, make, prepare=lambda: []):
+    """(seq_id, pos, values) at every place of a read that has ``length`` bases from there."""
+
+    def query(spark, sf):
+        made = reads(spark, sf).where(F.length("seq") >= length).select("seq_id", "seq", *prepare())
+        at = made.withColumn("pos", F.explode(F.expr(f"sequence(0, length(seq) - {length})")))
+        return at.withColumn("part", F.expr(f"substring(seq, pos + 1, {length})")).select("seq_id", "pos", *make())
+
+    return query
+
+
 def _verbose(spark, sf):
     seqs = reads(spark, sf)
     return buckets.verbose(hashed.quarantine(seqs, K, 9), seqs, 9)
@@ -118,6 +129,10 @@ QUERIES = {
     "valid_bases": lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", dna.is_valid(F.substring(F.translate(F.lower("text"), "abcdefghij", "acgtacgtac"), 1, 1)).alias("valid")),
     "valid_texts": _valid_texts,
     "valid_words": _valid_words,
+    "canonical_kmers_all": _everywhere(K, lambda: [dna.canonical_kmer("part").alias("kmer")]),
+    "encode_bases_all": _everywhere(1, lambda: [dna.encode_base("part").cast("bigint").alias("code"), dna.base_from_ascii("part").cast("bigint").alias("bits")]),
+    "ry_patterns_all": _everywhere(L, lambda: [dna.lmer_to_ry("part").alias("ry"), dna.ry_revcomp(dna.lmer_to_ry("part"), L).alias("ry_rc")]),
+    "packed_kmers_all": _everywhere(K, lambda: [dna.get_kmer_value("words", "pos", K).alias("value")], lambda: [dna.pack_words("seq").alias("words")]),
     "encode_bases": _scalar(lambda: [dna.encode_base(F.substring("seq", 5, 1)).cast("bigint").alias("code"), dna.base_from_ascii(F.substring("seq", 5, 1)).cast("bigint").alias("bits")]),
     "encode_lmers": _lmers(lambda: ["lmer"]),
     "canonical_lmers": _lmers(lambda: [F.least("lmer", dna.revcomp_value(dna.decode_kmer("lmer", L), 0, L)).alias("canon")]),
@@ -258,6 +273,10 @@ def _words(text: str) -> str:
 _DOCS_N = "docs as (select doc_id as seq_id, regexp_replace(replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), chr(10), 'N'), '[^acgtN]', '', 'g') as seq from documents)"
 _R = _with(READS)
 
+def _everywhere_sql(length: int, values: str) -> str:
+    return _R + f"select seq_id, pos::int as pos, {values} from (select seq_id, seq, pos, substr(seq, pos + 1, {length}) as part from (select seq_id, seq, unnest(range(0, length(seq) - {length - 1})) as pos from reads))"
+
+
 ORACLES = {
     "revcomp": _R + f"select seq_id, {_reverse('seq')} as rc from reads",
     "revcomp_min": _R + f"select seq_id, seq < {_reverse('seq')} as smaller from reads",
@@ -265,6 +284,10 @@ ORACLES = {
     "valid_bases": "select doc_id, regexp_full_match(substr(translate(lower(text), 'abcdefghij', 'acgtacgtac'), 1, 1), '[ACGTacgt]*') as valid from documents",
     "valid_texts": "select doc_id, regexp_full_match(translate(lower(text), 'abcdefghij', 'acgtacgtac'), '[ACGTacgt]*') as valid from documents",
     "valid_words": "select doc_id, (i - 1)::int as i, regexp_full_match(list_extract(w, i), '[ACGTacgt]*') as valid from (select doc_id, w, unnest(range(1, length(w) + 1)) as i from (select doc_id, string_split(translate(lower(text), 'abcdefghij', 'acgtacgtac'), ' ') as w from documents))",
+    "canonical_kmers_all": _everywhere_sql(K, f"least(part, {_reverse('part')}) as kmer"),
+    "encode_bases_all": _everywhere_sql(1, "instr('CGT', part)::bigint as code, instr('CGT', part)::bigint as bits"),
+    "ry_patterns_all": _everywhere_sql(L, " + ".join(f"(substr(part, {i + 1}, 1) in ('C', 'T'))::bigint * {2 ** (7 - i)}" for i in range(8)) + " as ry, " + " + ".join(f"(substr(part, {i + 1}, 1) in ('A', 'G'))::bigint * {2**i}" for i in range(8)) + " as ry_rc"),
+    "packed_kmers_all": _everywhere_sql(K, f"{_value('part', K)} as value"),
     "encode_bases": _R + "select seq_id, instr('CGT', substr(seq, 5, 1))::bigint as code, instr('CGT', substr(seq, 5, 1))::bigint as bits from reads",
     "encode_lmers": _with(READS, _lmers_sql(L)) + "select seq_id, pos::int as pos, lmer from lmers",
     "canonical_lmers": _with(READS, _lmers_sql(L)) + f"select seq_id, pos::int as pos, least(lmer, {_rc('lmer', L)}) as canon from lmers",

@@ -3,12 +3,14 @@
 import pytest
 
 from kmerweave.registry import QUERIES
+from kmerweave.sources.sequences import reads
 
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("tables")
     spark.createDataFrame([(1, "AbbaCafe"), (2, "Abba z"), (3, "a\n"), (4, ""), (5, None)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 6)], "o_orderkey long").write.parquet(f"{d}/orders.parquet")
     return str(d)
 
 
@@ -16,3 +18,21 @@ def test_validity_of_whole_texts(spark, tables):
     assert dict(QUERIES["valid_texts"](spark, tables).collect()) == {1: True, 2: False, 3: False, 4: True, 5: None}
     got = sorted(tuple(r) for r in QUERIES["valid_words"](spark, tables).collect())
     assert got == [(1, 0, True), (2, 0, True), (2, 1, False), (3, 0, False), (4, 0, True)]
+
+
+def value(s):
+    return sum("ACGT".index(c) * 4**i for i, c in enumerate(reversed(s)))
+
+
+def back(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def bits(s):
+    return sum((c in "CT") * 2**i for i, c in enumerate(reversed(s)))
+
+
+@pytest.mark.parametrize("name,n,want", [("encode_bases_all", 1, lambda s: (value(s), value(s))), ("ry_patterns_all", 8, lambda s: (bits(s), bits(back(s)))), ("canonical_kmers_all", 31, lambda s: (min(s, back(s)),)), ("packed_kmers_all", 31, lambda s: (value(s),))])
+def test_every_position(spark, tables, name, n, want):
+    expected = sorted((r.seq_id, i, *want(r.seq[i : i + n])) for r in reads(spark, tables).collect() for i in range(len(r.seq) - n + 1))
+    assert len(expected) == 5 * (161 - n) and sorted(tuple(r) for r in QUERIES[name](spark, tables).collect()) == expected
