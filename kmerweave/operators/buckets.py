@@ -48,6 +48,16 @@ def kmers_of(sk: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     return at.join(seqs.select("seq_id", "seq"), "seq_id").select("seq_id", "pos", F.expr(f"substring(seq, cast(pos + 1 as int), {k})").alias("kmer"), "mint")
 
 
+def distinct_kmers(sk: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, mint): each pair of a k-mer, on either strand, and a minimizer once for each different superkmer that has it.
+
+    Equal superkmers, reverse complements too, are collapsed before they are cut, so overlapping sequences cost little.
+    """
+    text = canonical_kmer(F.upper(F.expr("substring(seq, cast(start + 1 as int), size)")))
+    same = sk.join(seqs.select("seq_id", "seq"), "seq_id").select("mint", text.alias("text")).distinct()
+    return same.select(F.explode(F.expr(f"transform(sequence(1, length(text) - {k - 1}), i -> substring(text, i, {k}))")).alias("kmer"), "mint")
+
+
 def tiling(sk: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     """(seq_id, kmers, covered, tiles): whether a sequence's superkmers cover each of its k-mers once."""
     by_start = Window.partitionBy("seq_id").orderBy("start")

@@ -67,9 +67,12 @@ def _kmers(spark, sf, mode):
 
 
 def _with_tiles(spark, sf):
-    """Conflicts of minimizers among reads and overlapping tiles of them, both strands: none, as mspxor is context-free."""
-    tiles = tile(reads(spark, sf), (100,)).withColumn("seq_id", F.xxhash64("seq_id", "start", "strand")).select("seq_id", "seq")
-    return buckets.crossbucket(buckets.kmers_of(superkmers(tiles, K, L), tiles, K))
+    """Conflicts of minimizers among reads, texts and overlapping tiles of them, both strands: none, as mspxor is context-free."""
+    whole = reads(spark, sf).withColumn("of", F.lit("reads")).unionByName(texts(spark, sf).withColumn("of", F.lit("texts")))
+    whole = whole.select(F.xxhash64("of", "seq_id").alias("seq_id"), F.upper("seq").alias("seq"))
+    tiles = tile(whole).withColumn("seq_id", F.xxhash64("seq_id", "length", "start", "strand")).select("seq_id", "seq")
+    every = whole.unionByName(tiles)
+    return buckets.crossbucket(buckets.distinct_kmers(superkmers(every, K, L), every, K))
 
 
 def _tiling(spark, sf):

@@ -57,8 +57,8 @@ def random_dna(length: int, seed: int) -> str:
 
 
 def tile(seqs: DataFrame, lengths: tuple[int, ...] = (100, 150, 200, 500)) -> DataFrame:
-    """(seq_id, length, start, strand, seq): overlapping reads of each length, a third apart, on both strands."""
+    """(seq_id, length, start, strand, seq): overlapping reads of each length, a third apart and the last at the end, on both strands."""
     each = seqs.select("seq_id", "seq", F.explode(F.array(*map(F.lit, lengths))).alias("length")).where("length(seq) >= length")
-    cut = each.select("seq_id", "length", F.explode(F.expr("sequence(0, length(seq) - length, cast(length / 3 as int))")).alias("start"), "seq")
+    cut = each.select("seq_id", "length", F.explode(F.expr("array_union(sequence(0, length(seq) - length, cast(length / 3 as int)), array(length(seq) - length))")).alias("start"), "seq")
     fwd = cut.select("seq_id", "length", "start", F.lit("+").alias("strand"), F.expr("substring(seq, start + 1, length)").alias("seq"))
     return fwd.unionByName(fwd.withColumn("strand", F.lit("-")).withColumn("seq", F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca"))))

@@ -2,8 +2,10 @@
 
 import pytest
 
+from kmerweave import registry
+from kmerweave.operators import buckets
 from kmerweave.registry import QUERIES
-from kmerweave.sources.sequences import reads
+from kmerweave.sources.sequences import random_dna, reads, texts, tile
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +38,23 @@ def bits(s):
 def test_every_position(spark, tables, name, n, want):
     expected = sorted((r.seq_id, i, *want(r.seq[i : i + n])) for r in reads(spark, tables).collect() for i in range(len(r.seq) - n + 1))
     assert len(expected) == 5 * (161 - n) and sorted(tuple(r) for r in QUERIES[name](spark, tables).collect()) == expected
+
+
+def test_tiles_reach_the_end(spark):
+    seq = random_dna(520, 3)
+    got = tile(spark.createDataFrame([(1, seq), (2, "ACG")], "seq_id long, seq string")).collect()
+    assert {r.length for r in got} == {100, 150, 200, 500} and all(len(r.seq) == r.length for r in got)
+    for n in (100, 150, 200, 500):
+        starts = sorted(r.start for r in got if (r.length, r.strand) == (n, "+"))
+        assert starts[0] == 0 and starts[-1] == 520 - n and len(set(starts)) == len(starts)
+
+
+def test_context_independence_meets_every_kmer(spark, tables, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, random_dna(700, 8)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    met = []
+    monkeypatch.setattr(buckets, "crossbucket", lambda kmers, f=buckets.crossbucket: met.append(kmers) or f(kmers))
+    assert registry.QUERIES["context_independence"](spark, str(tmp_path)).count() == 0
+    seqs = (reads(spark, str(tmp_path)).first().seq, texts(spark, str(tmp_path)).where("seq_id = 1").first().seq.upper())
+    want = {min(x, back(x)) for s in seqs for x in (s[i : i + 31] for i in range(len(s) - 30))}
+    assert {min(r.kmer, back(r.kmer)) for r in met[0].select("kmer").distinct().collect()} == want
