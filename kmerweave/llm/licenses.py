@@ -24,6 +24,13 @@ TEMPLATES = [
     ("licensed under the mozilla public license version 2 0", "mpl-2.0", "mozilla public license"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd", "source and binary forms"),
     ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered software"),
+    # Titles, which must be whole: without "gnu" a version's phrase may be of the lesser or the affero licence.
+    ("apache license version 2 0", "apache-2.0", "apache license version 2 0"),
+    ("apache license 2 0", "apache-2.0", "apache license 2 0"),
+    ("mit license", "mit", "mit license"),
+    ("gnu general public license version 3", "gpl-3.0", "gnu general public license version 3"),
+    ("gnu general public license version 2", "gpl-2.0", "gnu general public license version 2"),
+    ("mozilla public license version 2 0", "mpl-2.0", "mozilla public license version 2 0"),
 ]
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -115,6 +115,12 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_titles_of_licenses(spark):
+    texts = ["GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007", "GNU General Public License, version 2", "Apache License\nVersion 2.0, January 2004", "The MIT License (MIT)", "Mozilla Public License Version 2.0", "GNU Lesser General Public License version 3", "apache server, mit press"]
+    got = {r.doc_id: {x.label for x in r.found} for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == [{"gpl-3.0"}, {"gpl-2.0"}, {"apache-2.0"}, {"mit"}, {"mpl-2.0"}, {"lgpl"}, set()]
+
+
 # 3 decontamination
 
 
