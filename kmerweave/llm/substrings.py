@@ -50,7 +50,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     a window of ``window`` words over it also starts earlier (at a smaller doc_id, or earlier in the document).
     removed has the word ranges array<struct<start,stop>>, kept the other words joined by one space.
 
-    Windows are the edges of a de Bruijn graph of token k-mers. Edges that follow one another without a change of
+    Windows are the edges of a de Bruijn graph of token k-mers, which is not built: minimizer runs stand for its paths. Edges that follow one another without a change of
     anchor are compacted to one path, an eighth of the rows, from the start.
 
     1. Anchors that occur once are dropped: none of their windows repeats.
@@ -63,6 +63,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     joined, on keys whose partitions can be split. Null, empty or wordless text: no words, kept is empty.
     Null doc_id: before all others. Rows of one doc_id are one document; equal rows don't remove each other's words. Other columns are not read.
     """
+    if not 0 < window <= 65535:
+        raise ValueError("a window of 1 to 65,535 words is needed")
     session(docs)
     text = F.col("text").cast("string")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(65535).cast("long")).cast("int").alias("tk"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -74,7 +76,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 of, start, n, anchor, path = paths(hash_words(data, starts, ends), first, window)
                 ids, tk = (np.asarray(part.column(i)) for i in (0, 1))
                 # One number for the place: first window, text's key, windows. It sorts by the first.
-                loc = (start - first[of]) << 24 | tk[of].astype(np.int64) << 8 | n
+                loc = (start - first[of]) << 32 | tk[of].astype(np.int64) << 16 | n
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(path.view(np.int64)), pa.array(ids[of]), pa.array(loc)], names=["anchor", "path", "id", "loc"])
 
     every = base.select("id", "tk", "text").mapInArrow(scan, "anchor long, path long, id long, loc long")
@@ -83,7 +85,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     firsts = known.groupBy("anchor", "path").agg(F.min(F.struct("id", "loc")).alias("first"))
     branches = firsts.groupBy("anchor").agg((F.count("*") > 1).alias("branches"))
     joined = known.join(firsts, ["anchor", "path"]).join(branches, "anchor").selectExpr("id", "loc", "id = first.id and loc = first.loc as is_first", "branches").where("not is_first or branches")
-    spots = durable(joined.selectExpr("id", "cast(shiftright(loc, 8) & 65535 as int) as tk", "shiftright(loc, 24) as start", "cast(loc & 255 as int) as n", "is_first as open"))
+    spots = durable(joined.selectExpr("id", "cast(shiftright(loc, 16) & 65535 as int) as tk", "shiftright(loc, 32) as start", "cast(loc & 65535 as int) as n", "is_first as open"))
     # Read three times below with the same columns, so that Spark moves the texts once and uses that exchange again.
     placed = base.repartition("id", "tk")
     opened = spots.where("open").groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))

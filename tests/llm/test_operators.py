@@ -336,3 +336,12 @@ def test_substrings_of_branching_texts(spark):
         assert got[i] == " ".join(x for x, y in zip(w, out) if not y)
 
 
+
+
+def test_substrings_of_long_windows(spark):
+    text = " ".join(f"w{i}" for i in range(6000))
+    rows = spark.createDataFrame([(0, text)] + [(i, f"x{i} {text} y{i}") for i in range(1, 7)], "doc_id long, text string")
+    got = {x.doc_id: x.kept for x in substrings.repeats(rows, window=400).collect()}
+    assert got == {0: text} | {i: f"x{i} y{i}" for i in range(1, 7)}
+    with pytest.raises(ValueError):
+        substrings.repeats(rows, window=65536)
