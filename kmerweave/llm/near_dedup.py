@@ -13,7 +13,7 @@ from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, has
 
 #: Bands and rows of the banding: a pair of similarity 0.8 shares no band with odds of 3e-7. Bits of an odd sketch.
 BANDS, ROWS, SKETCH = 44, 5, 1024
-#: Ids and keys, of 16 bytes, that are broadcast at most.
+#: Classes, of 24 bytes, that are broadcast at most.
 IDS_TO_SEND = 400_000
 #: A pair goes on to the exact check unless its sketches differ in more bits than similarity 0.8 does in all but a
 #: few of a million cases.
@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     by ASCII white space, A-Z lower-cased; a document's set has its distinct runs of ``words`` words (its whole
     sequence, if shorter). component_id is the smallest doc_id reachable; kept says that it is the row's own.
 
-    1. Documents of equal sets are one class, known by its smallest doc_id; only classes go on, so that copies cost nothing.
+    1. Documents of equal sets are one class, known by a number; only classes go on, so that copies cost nothing.
     2. Each class has MinHash samples, band keys and two odd sketches: the parity of its samples' places, and that of
        its full set, whose differing bits can't outnumber the differing shingles.
     3. In each band bucket every class meets two hubs, the smallest and one by a hash that differs by bucket. A pair
@@ -145,8 +145,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     sized = durable(base.mapInArrow(keys, "doc_id long, text_key long, n_shingles long, set_key binary"))
     classes = sized.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    classes = classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text_key").alias("text_key"), "set_key")
-    ids = classes.select("doc_id", "text_key")
+    # Written with their numbers, which are then fixed. A doc_id that stands with several texts may name several classes.
+    classes = durable(classes.select(F.col("r.doc_id").alias("doc_id"), F.col("r.text_key").alias("text_key"), "set_key", F.monotonically_increasing_id().alias("id")))
+    ids = classes.select("doc_id", "text_key", "id")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, at in measured(batches, True):
@@ -164,7 +165,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # Signatures are made where the texts lie, copies' too: those are a sixth of a text, so only they are moved. A
     # class may have several rows of one id and text; one stands for it.
     signs = base.where("doc_id is not null").mapInArrow(signed, "doc_id long, text_key long, n long, bands array<long>, sketch array<long>")
-    signs = durable(signs.join(ids, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"))
+    signs = durable(signs.join(ids, ["doc_id", "text_key"]).dropDuplicates(["id"]))
     # Only classes that share a band with another go on.
     posted = signs.select("id", "n", F.posexplode("bands").alias("band", "key"))
     bucket = F.xxhash64("band", "key")
@@ -181,10 +182,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches are near and whose full sets are similar enough."""
         close = durable(pairs.join(wide(sketches, "a"), "a").join(wide(sketches, "b"), "b").where(f"{sides} and {near}").select("a", "b", "n_a", "n_b"))
-        need = durable(close.selectExpr("a as doc_id").union(close.selectExpr("b as doc_id")).distinct().join(signs.select(F.col("id").alias("doc_id"), "text_key"), "doc_id"))
+        need = durable(close.selectExpr("a as id").union(close.selectExpr("b as id")).distinct().join(ids, "id"))
         # A list of ids of checked size goes to the texts; a longer one meets them in a shuffle.
         few = F.broadcast(need) if need.count() <= IDS_TO_SEND else need
-        sets = base.join(few, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "text").mapInArrow(listed, "id long, set array<long>").dropDuplicates(["id"])
+        sets = base.join(few, ["doc_id", "text_key"]).select("id", "text_key", "text").mapInArrow(listed, "id long, set array<long>").dropDuplicates(["id"])
         met = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         same = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         return durable(met.withColumn("same", same).where(f"100 * same >= {percent} * (n_a + n_b - same)").select("a", "b"))
@@ -203,8 +204,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     new = confirmed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not new.isEmpty():
         parts = components(links.union(new))
-    named = sized.join(classes.select("set_key", F.col("doc_id").alias("id")), "set_key", "left").join(parts, "id", "left")
-    whole = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "id", "doc_id"))
+    # A component's name is the smallest doc_id of its classes.
+    members = durable(classes.join(parts, "id", "left").select("set_key", F.col("doc_id").alias("own"), F.coalesce("component", "id").alias("component")))
+    least = members.groupBy("component").agg(F.min("own").alias("least"))
+    named = sized.join(durable(members.join(least, "component")).select("set_key", "least"), "set_key", "left")
+    whole = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least", "doc_id"))
     out = named.select("doc_id", "text_key", "n_shingles", whole.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -272,6 +272,13 @@ def test_near_duplicates_of_nothing(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, "far off")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 # 7 nearest neighbours
 
 
