@@ -14,12 +14,14 @@ from kmerweave.llm.common import table
 SCHEMA = "query_id long, vec_id long, score double"
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, the common dimension (the largest), finite components, not all 0."""
+def usable(vectors: DataFrame, dims: int | None = None) -> tuple[DataFrame, int]:
+    """(vec_id, v) of the rows that take part, and their dimension: an id, the dimension given or else the commonest (of equals the largest), finite components, not all 0."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)")
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    return rows.where(F.size("v") == dims)
+    if dims is None:
+        most = rows.groupBy(F.size("v").alias("n")).count().agg(F.max(F.struct("count", "n"))["n"]).first()[0]
+        dims = most or 0
+    return rows.where(F.size("v") == dims), dims
 
 
 class Pivots:
@@ -94,9 +96,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block_rows))
-    rows = usable(vectors)
+    rows, dims = usable(vectors)
     norm, count = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
-    asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = usable(queries, dims)[0].groupBy("vec_id").agg(F.min("v").alias("v"))
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()
@@ -131,8 +133,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
         if not got:
             continue
         q = np.array([r["v"] for r in got])
-        if q.shape[1] != index.unit.shape[1] - 1:
-            continue
         one = scan(spark.sparkContext.broadcast((np.array([r["vec_id"] for r in got]), q, index.order(q, True), index)))
         found = one if found is None else found.unionByName(one)
     if found is None:

@@ -305,6 +305,14 @@ def test_neighbors(spark):
     assert neighbors.search(few, few).count() == 6
 
 
+def test_neighbors_beside_a_longer_vector(spark):
+    x = np.random.default_rng(1).normal(size=(30, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(99, [1.0] * 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbors.search(vectors, vectors.where("vec_id in (0, 99)"), k=5, share=1.0).collect()
+    assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(0, i) for i in sorted(range(1, 30), key=lambda i: -float(x[i] @ x[0]))[:5]]
+
+
 # 10 substrings
 
 
