@@ -10,22 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that cross to Python at once, and the text bytes that one numpy pass works on.
-BATCH_ROWS, CHUNK_BYTES = 256, 1 << 20
-
-
-def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches of at most BATCH_ROWS rows, so that long texts don't pile up."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+#: The text bytes that one numpy pass works on. Spark bounds the bytes of the Arrow batches that these are cut from.
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all machines share; one of our own only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names, which all machines share. Where it is unset: one beside the
+    warehouse's tables, or a temporary one where driver and executors are one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

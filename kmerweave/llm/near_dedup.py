@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, hash_runs, hash_words, session, table
+from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, hash_runs, hash_words, table
 
 #: Bands and rows of the banding: a pair of similarity 0.8 shares no band with odds of 3e-7. Bits of an odd sketch.
 BANDS, ROWS, SKETCH = 44, 5, 1024
@@ -104,7 +104,21 @@ def components(edges: DataFrame) -> DataFrame:
     return parts
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def hubs_of(posts: DataFrame) -> DataFrame:
+    """One pair (a, b) at most for each component: of the classes of it that share buckets (bucket, id, component) with
+    the smallest class of another, the pair that shares most, the smallest of equals."""
+    first = posts.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("hub")).selectExpr("bucket", "hub.component as to", "hub.id as y")
+    met = posts.join(first, "bucket").where("component <> to").groupBy("component", "id", "y").agg(F.count("*").alias("c"))
+    best = met.groupBy("component").agg(F.min(F.struct((-F.col("c")).alias("c"), "y", "id")).alias("r"))
+    return best.select(F.least("r.id", "r.y").alias("a"), F.greatest("r.id", "r.y").alias("b")).distinct()
+
+
+def prefixes(sets: np.ndarray, at: np.ndarray, percent: int) -> list[np.ndarray]:
+    """So many of each set's smallest hashes that two sets of that similarity share one of them at least."""
+    return [sets[i : i + (j - i) - -(-percent * (j - i) // 100) + 1] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
     """Groups of documents that links of Jaccard similarity of at least ``similarity`` join.
 
     Takes (doc_id, text); returns (doc_id, text_key, n_shingles, component_id, kept), a row for each input row. Words are parted
@@ -114,16 +128,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     1. Documents of equal sets are one class, known by a number; only classes go on, so that copies cost nothing.
     2. Each class has MinHash samples, band keys and two odd sketches: the parity of its samples' places, and that of
        its full set, whose differing bits can't outnumber the differing shingles.
-    3. In each band bucket every class meets two hubs, the smallest and one by a hash that differs by bucket. A pair
-       goes on if few enough bits of the sketches differ, and is linked if the full sets confirm it.
-    4. Linked classes form components. In buckets that hold more than one, every class that is not in the bucket's
-       commonest component meets every class of another component whose sketches are near. No pair is left out for the
-       size of its bucket, and buckets of true copies, which become one component at once, never form all pairs.
+    3. Each class meets one hub: of the smallest classes of its band buckets the one with which it shares most. Pairs
+       whose sketches are near and whose full sets confirm it are linked, so a group of true copies becomes one component
+       for a pair a class.
+    4. In buckets that hold more than one component, every class that is not in the bucket's commonest component
+       meets every class of another component whose sketches are near. The nearest such pair of each component is confirmed
+       first; pairs that then lie within one component need not be. No pair is left out for the size of its bucket.
+
+    The bands miss a pair of similarity 0.8 with odds of 3e-8 and the sketch of samples with odds of about 1e-6. With ``exact``,
+    nothing is left to odds: buckets are the hashes that the smallest (1 - similarity) of two similar sets must share, and the
+    full sets' sketches alone reject; long texts then post a fifth of their shingles.
 
     Null, empty or wordless text: no shingles, linked with nothing, its own component. Null doc_id: component_id null,
     kept true, and it links nothing. Repeated rows: each kept as the first. Other columns are not read.
     """
-    session(docs)
+    percent, bits = round(100 * similarity), [f"s{i}" for i in range(SKETCH // 32)]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     one = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])
 
@@ -155,8 +174,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             if len(full):
                 bounds = np.append(at[full], len(sets))
                 k, sketch = sign(minhash(sets, bounds))
+                k = prefixes(sets, bounds, percent) if exact else k
                 sketch = np.concatenate([sketch, parity(sets, bounds)], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)), pa.array(np.diff(at)[full]), pa.array(list(k.view(np.int64)), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)), pa.array(np.diff(at)[full]), pa.array([x.view(np.int64) for x in k], pa.list_(pa.int64())), *(pa.array(c) for c in np.ascontiguousarray(sketch.T))], names=["doc_id", "text_key", "n", "bands", *bits])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets, at in measured(batches, True):
@@ -164,20 +184,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     # Signatures are made where the texts lie, copies' too: those are a sixth of a text, so only they are moved. A
     # class may have several rows of one id and text; one stands for it.
-    signs = base.where("doc_id is not null").mapInArrow(signed, "doc_id long, text_key long, n long, bands array<long>, sketch array<long>")
+    signs = base.where("doc_id is not null").mapInArrow(signed, "doc_id long, text_key long, n long, bands array<long>, " + ", ".join(f"{b} long" for b in bits))
     signs = durable(signs.join(ids, ["doc_id", "text_key"]).dropDuplicates(["id"]))
     # Only classes that share a band with another go on.
     posted = signs.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    bucket = F.xxhash64("band", "key")
+    bucket = F.col("key") if exact else F.xxhash64("band", "key")
     slim = posted.select("id", bucket.alias("bucket"))
     shared = slim.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     posts = durable(slim.join(shared, "bucket"))
-    sketches = durable(signs.select("id", "n", "sketch").join(posts.select("id").distinct(), "id", "left_semi"))
-    wide = lambda s, to: s.select(F.col("id").alias(to), F.col("n").alias(f"n_{to}"), F.col("sketch").alias(f"sketch_{to}"))
-    apart = lambda start: " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(start, start + SKETCH // 64))
-    percent = round(100 * similarity)
+    sketches = durable(signs.select("id", "n", *bits).join(posts.select("id").distinct(), "id", "left_semi"))
+    # Plain columns, not arrays: the comparison of two sketches stays small enough to be compiled.
+    wide = lambda s, to: s.select(F.col("id").alias(to), F.col("n").alias(f"n_{to}"), *(F.coalesce(b, F.lit(0)).alias(f"{b}_{to}") for b in bits))
+    apart = lambda start: " + ".join(f"bit_count({b}_a ^ {b}_b)" for b in bits[start : start + SKETCH // 64])
     sides = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    near = f"{100 + percent} * ({apart(SKETCH // 64)}) <= {100 - percent} * (n_a + n_b) and {apart(0)} <= {bound(similarity)}"
+    near = f"{100 + percent} * ({apart(SKETCH // 64)}) <= {100 - percent} * (n_a + n_b)" + ("" if exact else f" and {apart(0)} <= {bound(similarity)}")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sketches are near and whose full sets are similar enough."""
@@ -190,9 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         same = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         return durable(met.withColumn("same", same).where(f"100 * same >= {percent} * (n_a + n_b - same)").select("a", "b"))
 
-    pair = lambda rows: rows.where("x is not null and y is not null and x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    hubs = posts.groupBy("bucket").agg(F.min("id").alias("first"), F.min(F.struct(F.xxhash64("id", "bucket"), "id"))["id"].alias("other"))
-    links = confirmed(pair(posts.withColumnRenamed("id", "x").join(hubs, "bucket").select("x", F.explode(F.array("first", "other")).alias("y"))))
+    links = confirmed(hubs_of(posts.withColumn("component", F.col("id"))))
     parts = components(links)
     placed = mixed(posts, parts)
     # Whatever is not of a bucket's commonest component meets all others there; the sketches decide within the join.
@@ -201,7 +219,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     left = known.where("component <> main").join(wide(sketches, "a"), known["id"] == F.col("a")).drop("id", "main").withColumnRenamed("component", "part_a")
     right = known.join(wide(sketches, "b"), known["id"] == F.col("b")).drop("id").selectExpr("*", "component as part_b").drop("component")
     met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"part_a <> part_b and (part_b = main or a < b) and {sides} and {near}"))
-    new = confirmed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    open_pairs = durable(met.selectExpr("least(a, b) as a", "greatest(a, b) as b", "if(a < b, part_a, part_b) as x", "if(a < b, part_b, part_a) as y", f"({apart(SKETCH // 64)}) / (n_a + n_b) as d").distinct())
+    # While these outnumber the classes, the nearest pair of each component is confirmed first, so that most others lie
+    # within one component when their turn comes. What is left then, of no more pairs than classes, is confirmed at once.
+    classes_met, linked = sketches.count(), True
+    while linked and open_pairs.count() > classes_met:
+        ends = open_pairs.select(F.explode(F.array("x", "y")).alias("end"), F.struct("d", "a", "b").alias("r"))
+        first = durable(ends.groupBy("end").agg(F.min("r").alias("r")).select("r.a", "r.b").distinct())
+        new = confirmed(first)
+        linked = not new.isEmpty()
+        links = links.union(new)
+        parts = components(links)
+        moved = open_pairs.join(first, ["a", "b"], "left_anti").join(parts.toDF("a", "p"), "a", "left").join(parts.toDF("b", "q"), "b", "left")
+        open_pairs = durable(moved.selectExpr("a", "b", "coalesce(p, x) as x", "coalesce(q, y) as y", "d").where("x <> y"))
+    new = confirmed(open_pairs.select("a", "b"))
     if not new.isEmpty():
         parts = components(links.union(new))
     # A component's name is the smallest doc_id of its classes.

@@ -360,3 +360,30 @@ def test_substrings_of_long_windows(spark):
     assert got == {0: text} | {i: f"x{i} y{i}" for i in range(1, 7)}
     with pytest.raises(ValueError):
         substrings.repeats(rows, window=65536)
+
+
+def near_copies(n, seed=6):
+    """Texts of which each differs from one base in a few words, and from each other in more."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(400)}" for _ in range(160)]
+    out = []
+    for i in range(n):
+        w = base.copy()
+        for j in range(i % 9):
+            w[r.randrange(160)] = f"x{i}y{j}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_hubs_and_exact(spark, monkeypatch):
+    texts = near_copies(500)
+    seen = []
+    hubs = near_dedup.hubs_of
+    monkeypatch.setattr(near_dedup, "hubs_of", lambda posts: seen.append(hubs(posts).count()) or hubs(posts))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=2).collect()}
+    assert seen[0] < 500  # one pair a class
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    few = range(0, 500, 5)
+    assert all(got[i] == got[j] for i in few for j in few if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=2, exact=True).collect()} == got
