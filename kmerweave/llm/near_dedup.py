@@ -105,12 +105,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def hubs_of(posts: DataFrame) -> DataFrame:
-    """One pair (a, b) at most for each component: of the classes of it that share buckets (bucket, id, component) with
-    the smallest class of another, the pair that shares most, the smallest of equals."""
-    first = posts.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("hub")).selectExpr("bucket", "hub.component as to", "hub.id as y")
-    met = posts.join(first, "bucket").where("component <> to").groupBy("component", "id", "y").agg(F.count("*").alias("c"))
-    best = met.groupBy("component").agg(F.min(F.struct((-F.col("c")).alias("c"), "y", "id")).alias("r"))
-    return best.select(F.least("r.id", "r.y").alias("a"), F.greatest("r.id", "r.y").alias("b")).distinct()
+    """One pair (a, b) at most for each class of (bucket, id, component). A bucket's hub is its class of most company
+    (members of its buckets, together): in a group of near copies the one least edited. Of the hubs of other components
+    in its buckets a class takes the one with which it shares most, the smallest of equals."""
+    sizes = posts.groupBy("bucket").agg(F.count("*").alias("members"))
+    company = posts.join(sizes, "bucket").groupBy("id").agg(F.sum("members").alias("company"))
+    hubs = posts.join(company, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("company")).alias("c"), "id", "component")).alias("hub"))
+    met = posts.join(hubs.selectExpr("bucket", "hub.id as y", "hub.component as to"), "bucket").where("component <> to").groupBy("id", "y").agg(F.count("*").alias("c"))
+    best = met.groupBy("id").agg(F.min(F.struct((-F.col("c")).alias("c"), "y")).alias("r"))
+    return best.select(F.least("id", "r.y").alias("a"), F.greatest("id", "r.y").alias("b")).distinct()
 
 
 def prefixes(sets: np.ndarray, at: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -128,7 +131,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ex
     1. Documents of equal sets are one class, known by a number; only classes go on, so that copies cost nothing.
     2. Each class has MinHash samples, band keys and two odd sketches: the parity of its samples' places, and that of
        its full set, whose differing bits can't outnumber the differing shingles.
-    3. Each class meets one hub: of the smallest classes of its band buckets the one with which it shares most. Pairs
+    3. Each class meets one hub: of the central classes of its band buckets the one with which it shares most. Pairs
        whose sketches are near and whose full sets confirm it are linked, so a group of true copies becomes one component
        for a pair a class.
     4. In buckets that hold more than one component, every class that is not in the bucket's commonest component

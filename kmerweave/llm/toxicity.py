@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,26 +50,38 @@ def lengths(data: bytes, a: np.ndarray, b: np.ndarray, packer: zstandard.ZstdCom
     return np.array([len(out[i]) for i in range(len(out))], np.int64)
 
 
-def grams(text: bytes, sizes: tuple[int, ...] = (5, 6, 7)) -> set[bytes]:
-    spaced = b" " + PARTING.sub(b" ", text) + b" "
-    return {spaced[i : i + n] for n in sizes for i in range(len(spaced) - n + 1)}
+def grams(text: bytes, sizes: tuple[int, ...] = (5, 6, 7)) -> np.ndarray:
+    """The distinct byte n-grams of a text, words parted by one space: bytes and size packed into 64 bits each."""
+    data = np.frombuffer(b" " + PARTING.sub(b" ", text) + b" ", np.uint8).astype(np.uint64)
+    packed = [np.full(max(0, len(data) - n + 1), n << 56, np.uint64) for n in sizes]
+    for n, v in zip(sizes, packed, strict=True):
+        for i in range(n):
+            v |= data[i : i + len(v)] << np.uint64(8 * i)
+    return np.unique(np.concatenate(packed))
 
 
 def pick(toxic: list[bytes], ordinary: list[bytes], most: int = 128, contrast: float = 12.0) -> list[bytes]:
     """Strings for the toxic dictionary: byte n-grams that are at least ``contrast`` times as frequent in toxic texts
     (by document, smoothed), taken one after another by how many toxic texts they reach that have few so far."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
-    of: dict[bytes, list[int]] = {}
-    for i, text in enumerate(toxic):
-        for g in grams(text):
-            of.setdefault(g, []).append(i)
-    least = max(3, len(toxic) // 100)
-    of = {g: docs for g, docs in of.items() if len(docs) >= least}
-    usual: Counter[bytes] = Counter()
-    for text in ordinary:
-        usual.update(grams(text) & of.keys())
-    share = (len(ordinary) + 3) / max(1, len(toxic))
-    reach = {g: (np.array(docs), len(docs) / (len(docs) + 3 * (usual[g] + 1) / share)) for g, docs in of.items() if len(docs) * share / (usual[g] + 3) >= contrast}
+    if not toxic:
+        return []
+    each = [grams(t) for t in toxic]
+    found, of = np.concatenate(each), np.repeat(np.arange(len(toxic)), [len(g) for g in each])
+    order = np.argsort(found, kind="stable")
+    known, first, count = np.unique(found[order], return_index=True, return_counts=True)
+    enough = count >= max(3, len(toxic) // 100)
+    known, first, count = known[enough], first[enough], count[enough]
+    usual = np.zeros(len(known), np.int64)
+    for text in ordinary if len(known) else ():
+        g = grams(text)
+        at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+        usual[at[known[at] == g]] += 1
+    share = (len(ordinary) + 3) / len(toxic)
+    reach = {}
+    for i in np.flatnonzero(count * share / (usual + 3) >= contrast).tolist():
+        gram = int(known[i]).to_bytes(8, "little")
+        reach[gram[: gram[7]]] = of[order[first[i] : first[i] + count[i]]], count[i] / (count[i] + 3 * (usual[i] + 1) / share)
     weight, out = np.ones(len(toxic)), []
     while reach and len(out) < most:
         best = max(reach, key=lambda g: (weight[reach[g][0]].sum() * reach[g][1], g))
@@ -129,15 +140,25 @@ class Model:
         total = np.bincount(of, minlength=n)
         return np.log1p(np.stack([*counts, total, np.minimum(best, 20)], -1)), best, total
 
+    def rate(self, texts: list[bytes]) -> np.ndarray:
+        """The score of each text."""
+        return self.score(self.features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))[0])
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.center) / self.scale, np.ones(len(x))] @ self.weights, -30, 30)))
 
 
+#: Characters of the texts that a fit takes, so that its sample has a bounded size in the driver.
+LONGEST = 65536
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` (text, label) rows with a label, chosen by a hash of doc_id; null texts are empty."""
+    """At most ``most`` (text, label) rows with a label, chosen by a hash of doc_id, of those with texts of at most
+    LONGEST characters; null texts are empty."""
     keep = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & usable("id"))
     keep = keep.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(keep), "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(f"text is null or length(text) <= {LONGEST}")
+    rows = rows.join(F.broadcast(keep), "id")
     return [((r["text"] or "").encode(), r["y"]) for r in rows.orderBy(F.xxhash64("id"), "id", "y", "text").limit(most).collect()]
 
 
@@ -148,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
 
 
 def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The toxicity of docs (doc_id, text), a row for each row: SCHEMA or, with ``keep``, those columns of docs and then score,
-    gain and windows.
+    """The toxicity of docs (doc_id, text), a row for each row: SCHEMA or, with ``keep``, a struct ``row`` of those columns of docs (no
+    name can clash) and then score, gain and windows.
 
     Whole texts are cut into windows of WORDS words; each is compressed against both dictionaries; the counts of
     windows by saving make the score (0 to 1). One narrow pass. Null, empty or wordless text: no windows, the score of
@@ -168,7 +189,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(x)), pa.array(best), pa.array(total)], names=[kind.split()[0], "score", "gain", "windows"])
 
     out = rows.mapInArrow(run, f"{kind}, score double, gain long, windows long")
-    return out if keep is None else out.select("row.*", "score", "gain", "windows")
+    return out
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,15 @@ def test_ids_are_those_of_the_json_file():
         assert t.encode(text, add_special_tokens=False).ids == packing.encoder()(text).tolist()
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\t" * 900_000 + "b", "x\n" + "\n" * 900_000, " \t\n" * 400_000 + "end"])
+def test_long_white_space(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert t.encode(text, add_special_tokens=False).ids == packing.encoder()(text).tolist()
+
+
 def test_balance_prefers_low_cost():
     out = packing.balance(np.array([900, 800, 700, 300, 200, 100, 72]), 1024, 1.0, 1 / 512)
     assert sum(n for s in out for _, _, n in s) == 3072 and all(sum(n for *_, n in s) == 1024 for s in out)
@@ -213,7 +222,7 @@ def test_toxicity(spark, two_tongues, empty):
     assert sum(a and not b for a, b in held) <= 1 and sum(a and b for a, b in held) >= 0.85 * sum(b for _, b in held)
     assert len(got) == docs.count() and by[900].score < 0.7 and by[900].windows == 0 and by[902].windows > 1500
     kept = toxicity.rate(docs, model, keep=docs.columns)
-    assert kept.columns == [*docs.columns, "score", "gain", "windows"] and kept.count() == docs.count()
+    assert kept.columns == ["row", "score", "gain", "windows"] and kept.select("row.*").columns == docs.columns and kept.count() == docs.count()
     assert toxicity.rate(empty, toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
@@ -387,3 +396,21 @@ def test_near_duplicates_hubs_and_exact(spark, monkeypatch):
     few = range(0, 500, 5)
     assert all(got[i] == got[j] for i in few for j in few if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=2, exact=True).collect()} == got
+
+
+def test_toxicity_by_plain_compression(spark):
+    r = random.Random(2)
+    ordinary = [" ".join(r.choice("lorum ipsen dolar sitta amet".split()) + str(r.randrange(9)) for _ in range(50)) for _ in range(160)]
+    bad = [t.replace("lorum1", "vile scum").replace("ipsen2", "filthy rat") for t in ordinary]
+    model = toxicity.Model([t.encode() for t in ordinary + bad], [0] * 160 + [1] * 160)
+    texts = [ordinary[0], bad[1], "", None, "vile", " ".join(bad[:5]), "É" * 100]
+    got = {x.doc_id: x for x in toxicity.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    packers = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    for i, t in enumerate(texts):
+        w = words(t, SPACED)
+        spans = [" ".join(w[a : a + toxicity.WORDS]) for a in range(0, max(1, len(w) - 1), toxicity.STEP)] if w else []
+        saved = [len(packers[1].compress(x.encode())) - len(packers[0].compress(x.encode())) for x in spans]
+        counts = [sum(s >= k for s in saved) for k in toxicity.LEVELS]
+        want = model.score(np.log1p(np.array([[*counts, len(saved), min(20, max([0, *saved]))]])))[0]
+        assert (got[i].windows, got[i].gain) == (len(saved), max([0, *saved])) and abs(got[i].score - want) < 1e-12
+    assert got[1].score > 0.7 > got[0].score
