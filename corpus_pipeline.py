@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: five stages, each over all that the one before kept.
 
-A stage takes (spark, docs, sf_dir); all but the last return the columns of documents. What is added to those
-columns in ``docs`` is passed on; a row of a null doc_id or text takes part as the stage's operator defines.
+A stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Whatever other columns ``docs`` has
+are passed on, under any name, as they go through a stage in one struct; a row of a null doc_id or text takes part as
+the stage's operator defines.
 """
 
 from __future__ import annotations
@@ -19,38 +20,39 @@ TOXIC = 0.7
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with what tells its rows apart for a join: doc_id (a null as the least number) and a hash of the text."""
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    """The rows of docs in one struct, with what tells them apart for a join: doc_id (a null as the least number) and a
+    hash of the text."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance score does not reject. The fit uses the labels' rows of ``docs``."""
     model = toxicity.train(docs, toxicity.table(spark, sf_dir, "labels"))
-    return toxicity.rate(docs, model, keep=docs.columns).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.rate(docs, model, keep=docs.columns).where(F.col("score") < TOXIC).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group that links of similarity 0.8 on five-word shingles join.
     Equal rows of one doc_id are one document and stay together."""
-    found = near_dedup.near_duplicates(docs, words=5).where("kept").selectExpr("coalesce(doc_id, bigint('-9223372036854775808')) as _id", "text_key as _key").distinct()
-    return _keyed(docs).join(found, ["_id", "_key"], "left_semi").select(*docs.columns)
+    found = near_dedup.near_duplicates(docs, words=5).where("kept").selectExpr("coalesce(doc_id, bigint('-9223372036854775808')) as id", "text_key as key").distinct()
+    return _keyed(docs).join(found, ["id", "key"], "left_semi").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 or more words that start earlier; a text that loses words is its other words
     joined by one space, with n_chars anew. Those that keep no words of theirs go."""
-    cut = substrings.repeats(docs).where("size(removed) > 0").selectExpr("coalesce(doc_id, bigint('-9223372036854775808')) as _id", "text_key as _key", "kept as _kept").dropDuplicates(["_id", "_key"])
-    out = _keyed(docs).join(cut, ["_id", "_key"], "left").where("_kept is null or _kept <> ''")
-    changed = {"text": F.coalesce("_kept", "text")}
+    cut = substrings.repeats(docs).where("size(removed) > 0").selectExpr("coalesce(doc_id, bigint('-9223372036854775808')) as id", "text_key as key", "kept").dropDuplicates(["id", "key"])
+    out = _keyed(docs).join(cut, ["id", "key"], "left").where("kept is null or kept <> ''")
+    row = F.col("row").withField("text", F.coalesce("kept", "row.text"))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return out.withColumns(changed).select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType)))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
     found = decontaminate.search(docs, decontaminate.table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where("size(hits) = 0").select(*docs.columns)
+    return found.where("size(hits) = 0").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
