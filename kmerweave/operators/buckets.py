@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerweave.functions.dna import canonical_kmer
+from kmerweave.operators.superkmers import fragments, joined_bases, lmers, spread
+
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
 
 
 def bucket_counts(sk: DataFrame, k: int) -> DataFrame:
@@ -14,8 +19,10 @@ def bucket_counts(sk: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_stats(counts: DataFrame) -> DataFrame:
-    """One row: totals, distinct minimizers, mean, least and most k-mers, and most by mean."""
-    return counts.agg(F.count("*").alias("minimizers"), F.sum("kmers").cast("bigint").alias("kmers"), F.sum("superkmers").cast("bigint").alias("superkmers"), F.avg("kmers").alias("mean"), F.min("kmers").alias("least"), F.max("kmers").alias("most")).withColumn("most_by_mean", F.col("most") / F.col("mean"))
+    """One row: totals, distinct minimizers, mean, median (at index n div 2), least and most k-mers, and most by mean and median."""
+    whole = counts.agg(F.count("*").alias("minimizers"), F.sum("kmers").cast("bigint").alias("kmers"), F.sum("superkmers").cast("bigint").alias("superkmers"), F.avg("kmers").alias("mean"), F.min("kmers").alias("least"), F.max("kmers").alias("most"))
+    middle = percentiles(counts, (50,)).agg(F.max("kmers").alias("median"))
+    return whole.join(middle, how="cross").withColumn("most_by_mean", F.col("most") / F.col("mean")).withColumn("most_by_median", F.col("most") / F.col("median"))
 
 
 def percentiles(counts: DataFrame, ps: tuple[int, ...] = (1, 5, 25, 50, 75, 90, 95, 99)) -> DataFrame:
@@ -42,19 +49,19 @@ def top_buckets(counts: DataFrame, n: int = 20) -> DataFrame:
     return counts.orderBy(F.desc("kmers"), "mint").limit(n)
 
 
-def kmers_of(sk: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
-    """(seq_id, pos, kmer, mint): each superkmer's k-mers, from the sequences (seq_id, seq)."""
-    at = sk.select("seq_id", "mint", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - k)).alias("pos"))
-    return at.join(seqs.select("seq_id", "seq"), "seq_id").select("seq_id", "pos", F.expr(f"substring(seq, cast(pos + 1 as int), {k})").alias("kmer"), "mint")
+def kmers_of(sk: DataFrame, k: int) -> DataFrame:
+    """(seq_id, pos, kmer, mint): each superkmer's k-mers, from superkmers with their text. No shuffle."""
+    at = sk.select("seq_id", "start", "mint", "text", F.explode(F.sequence(F.lit(0), F.col("size") - k)).alias("i"))
+    return at.select("seq_id", F.expr("start + i").alias("pos"), F.expr(f"substring(text, i + 1, {k})").alias("kmer"), "mint")
 
 
-def distinct_kmers(sk: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, mint): each pair of a k-mer, on either strand, and a minimizer once for each different superkmer that has it.
+def distinct_kmers(sk: DataFrame, k: int) -> DataFrame:
+    """(kmer, mint): each pair of a k-mer, on either strand, and a minimizer once for each different superkmer that has it,
+    from superkmers with their text.
 
     Equal superkmers, reverse complements too, are collapsed before they are cut, so overlapping sequences cost little.
     """
-    text = canonical_kmer(F.upper(F.expr("substring(seq, cast(start + 1 as int), size)")))
-    same = sk.join(seqs.select("seq_id", "seq"), "seq_id").select("mint", text.alias("text")).distinct()
+    same = sk.select("mint", canonical_kmer(F.upper("text")).alias("text")).distinct()
     return same.select(F.explode(F.expr(f"transform(sequence(1, length(text) - {k - 1}), i -> substring(text, i, {k}))")).alias("kmer"), "mint")
 
 
@@ -72,28 +79,54 @@ def crossbucket(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy(canonical_kmer("kmer").alias("kmer")).agg(F.min("mint").alias("a"), F.max("mint").alias("b"), F.countDistinct("mint").alias("mints")).where("a <> b").select("kmer", "mints")
 
 
-def count_kmers(sk: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, count) of canonical k-mers by way of the buckets: superkmers, not k-mers, are moved, to their bucket's
-    place, cut there and counted. Right for modes in which equal canonical k-mers have one mint.
-
-    A bucket is dealt by mint and a hash of the superkmer's text, so that a hot minimizer is split; counts are partial
-    within a task, then final by k-mer.
-    """
-    texts = sk.join(seqs.select("seq_id", "seq"), "seq_id").select("mint", F.expr("substring(seq, cast(start + 1 as int), size)").alias("text"))
-    same = texts.groupBy("mint", "text").agg(F.count("*").alias("n"))
+def count_by_bucket(sk: DataFrame, k: int) -> DataFrame:
+    """(kmer, count) of canonical k-mers by way of the buckets, from superkmers with their text. Right for modes in which
+    equal canonical k-mers have one mint. Equal superkmers are collapsed first, dealt by mint and text, so that a hot
+    minimizer is split; then k-mers are cut and counted, which shuffles them once more."""
+    same = sk.groupBy("mint", "text").agg(F.count("*").alias("n"))
     cut = same.select(F.explode(F.expr(f"transform(sequence(1, length(text) - {k - 1}), i -> substring(text, i, {k}))")).alias("kmer"), "n")
     return cut.groupBy(canonical_kmer("kmer").alias("kmer")).agg(F.sum("n").cast("bigint").alias("count"))
 
 
+def count_kmers(seqs: DataFrame, k: int) -> DataFrame:
+    """(kmer, count) of canonical k-mers of (seq_id, seq), k up to 31; letters other than ACGT count as A.
+
+    A narrow pass makes k-mers as numbers and counts them within a chunk of bases; the only exchange moves numbers and
+    partial counts by k-mer, so a frequent k-mer costs a row a chunk. Texts are made at the end.
+    """
+    if not 0 < k <= 31:
+        raise ValueError("k of 1 to 31 is needed")
+
+    def number(batches):
+        for batch in batches:
+            for _, data, at in joined_bases(batch):
+                f = fragments(data, at, k, False)
+                if len(f.begin):
+                    fwd = lmers(f.codes, k)
+                    back = lmers(3 - f.codes[::-1], k)[::-1]
+                    kmers, n = np.unique(np.minimum(fwd, back)[spread(f.begin, f.end - f.begin - k + 1)[0]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kmers), pa.array(n)], names=["kmer", "n"])
+
+    def spell(batches):
+        for batch in batches:
+            v = np.asarray(batch.column(0))
+            letters = np.empty((len(v), k), np.uint8)
+            for i in range(k):
+                letters[:, i] = _LETTERS[v >> 2 * (k - 1 - i) & 3]
+            ends = np.arange(len(v) + 1, dtype=np.int32) * k
+            yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(v), pa.py_buffer(ends), pa.py_buffer(letters)), batch.column(1)], names=["kmer", "count"])
+
+    counted = seqs.select("seq_id", "seq").mapInArrow(number, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("count"))
+    return counted.mapInArrow(spell, "kmer string, count long")
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one side only, with ``side`` (left or right)."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def verbose(sk: DataFrame, seqs: DataFrame, l: int) -> DataFrame:
-    """(seq_id, start, sequence, minimizer, mpos): the texts on the strand that mint_is_rc names; for rows of
+def verbose(sk: DataFrame, l: int) -> DataFrame:
+    """(seq_id, start, sequence, minimizer, mpos): the texts on the strand that mint_is_rc names; for rows, with their text, of
     quarantine and naive_syncmers, whose mpos is on that strand."""
-    text = F.expr("substring(seq, cast(start + 1 as int), size)")
-    joined = sk.join(seqs.select("seq_id", "seq"), "seq_id").withColumn("text", text)
     strand = F.when(F.col("mint_is_rc"), F.reverse(F.translate("text", "ACGTacgt", "TGCAtgca"))).otherwise(F.col("text"))
-    return joined.select("seq_id", "start", strand.alias("sequence"), "mpos").withColumn("minimizer", F.expr(f"substring(sequence, mpos + 1, {l})"))
+    return sk.select("seq_id", "start", strand.alias("sequence"), "mpos").withColumn("minimizer", F.expr(f"substring(sequence, mpos + 1, {l})"))

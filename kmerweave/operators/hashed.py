@@ -9,11 +9,10 @@ strands); the several schemes hash canonical l-mers with different seeds, and ea
 from __future__ import annotations
 
 import numpy as np
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from kmerweave.functions.scores import XOR, canonical, syncmer
-from kmerweave.operators.superkmers import each, fragments, framed, lmers, spread
+from kmerweave.operators.superkmers import each, fragments, framed, lmers, lowest, spread
 
 # The published ntHash seeds of A, C, G, T.
 SEEDS = np.array([0x3C8BFBB395C60474, 0x3193C18562A02B4C, 0x20323ED082572324, 0x295549F54BE24456], np.uint64)
@@ -46,16 +45,26 @@ def runs(at, place, of, ok, k: int, split=None):
     return at[head], place[head], of[head], at[last] - at[head] + k
 
 
+def smaller_back(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the reverse complement of each stretch is smaller than the stretch: decided at the first base that differs."""
+    out, left, j = np.zeros(len(start), bool), np.arange(len(start)), 0
+    while len(left):
+        fwd, rev = codes[start[left] + j], 3 - codes[start[left] + size[left] - 1 - j]
+        out[left[rev < fwd]] = True
+        j += 1
+        left = left[(rev == fwd) & (j < size[left])]
+    return out
+
+
 def oriented(f, kmer, place, size, l: int, which):
-    """(mpos, flipped, less) on the strand in which the minimizer is nearer the start; in the middle, on the smaller
-    strand. which: the rows for which that is asked; less(i): whether row i's reverse complement is the smaller."""
+    """(mpos, flipped) on the strand in which the minimizer is nearer the start; in the middle, on the smaller
+    strand. which: the rows for which that is asked."""
     mpos = place - kmer
     right = size - mpos - l
     flip = which & (right < mpos)
-    less = lambda i: (lambda x: (3 - x[::-1]).tobytes() < x.tobytes())(f.codes[kmer[i] : kmer[i] + size[i]].astype(np.uint8))
-    for i in np.flatnonzero(which & (right == mpos)):
-        flip[i] = less(i)
-    return np.where(flip, np.minimum(mpos, right), mpos), flip, less
+    middle = np.flatnonzero(which & (right == mpos))
+    flip[middle] = smaller_back(f.codes, kmer[middle], size[middle])
+    return np.where(flip, np.minimum(mpos, right), mpos), flip
 
 
 def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) -> DataFrame:
@@ -68,24 +77,25 @@ def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) ->
         if not len(f.begin):
             return NONE
         values, h = lmers(f.codes, l), nthash(f.codes, l)
-        view = sliding_window_view(h, k - l + 1)
         at, of = spread(f.begin, f.end - f.begin - k + 1)
-        best = view.argmin(1)
-        many = (view == view.min(1, keepdims=True)).sum(1) > 1
-        kmer, place, frag, size = runs(at, at + best[at], of, np.ones(len(at), bool), k, many[at])
+        best = lowest(h, k - l + 1)
+        many = best != lowest(h, k - l + 1, True)
+        kmer, place, frag, size = runs(at, best[at], of, np.ones(len(at), bool), k, many[at])
         many = many[kmer]
-        first, flip, less = oriented(f, kmer, place, size, l, ~many)
-        mpos = place - kmer
-        canon = canonical(l)[0]
-        for i in np.flatnonzero(many):
-            n, mp, m = int(size[i]), int(mpos[i]), canon[values[place[i]]]
-            here = canon[values[kmer[i] : kmer[i] + n - l + 1]] == m
-            flip[i], first[i] = False, mp
-            hit = np.flatnonzero(here[:mp] | here[::-1][:mp])
-            if len(hit):
-                j = int(hit[0])
-                fwd, rev = bool(here[j]), bool(here[n - l - j])
-                first[i], flip[i] = j, rev and (not fwd or less(i))
+        first, flip = oriented(f, kmer, place, size, l, ~many)
+        # Where the hash repeats: the first place before its own at which the minimizer stands, on either strand.
+        rows = np.flatnonzero(many)
+        canon = canonical(l)[0][values]
+        first[rows] = mpos = (place - kmer)[rows]
+        j, of_row = spread(np.zeros(len(rows), np.int64), mpos)
+        at_row, wanted = kmer[rows][of_row], canon[place[rows]][of_row]
+        fwd = canon[at_row + j] == wanted
+        rev = canon[at_row + size[rows][of_row] - l - j] == wanted
+        hit = np.flatnonzero(fwd | rev)
+        hit = hit[np.unique(of_row[hit], return_index=True)[1]]
+        found = rows[of_row[hit]]
+        first[found] = j[hit]
+        flip[found] = rev[hit] & (~fwd[hit] | smaller_back(f.codes, kmer[found], size[found]))
         return f.row[frag], kmer - f.begin[frag] + f.offset[frag], np.zeros(len(kmer), np.int64), size, first, flip
 
     return each(df, k, cutter, **cols)
@@ -128,9 +138,9 @@ def candidate_syncmers(df: DataFrame, k: int, l: int, mode: str = "sticky", stra
         if not len(f.begin):
             return NONE
         values, w = lmers(f.codes, l), k - l + 1
-        parts = sliding_window_view(nthash(f.codes, 2), l - 1)
-        low = parts.min(1)
-        chosen = (parts[:, 0] == low) | (parts[:, -1] == low)
+        parts = nthash(f.codes, 2)
+        low = parts[lowest(parts, l - 1)]
+        chosen = (parts[: len(low)] == low) | (parts[l - 2 :] == low)
         canon = canonical(l)[0][values]
         n = len(values)
         at, of = spread(f.begin, f.end - f.begin - k + 1)
@@ -140,9 +150,7 @@ def candidate_syncmers(df: DataFrame, k: int, l: int, mode: str = "sticky", stra
         else:
             rank = {"classical": np.zeros(n, np.int64), "msp": canon, "mspxor": canon ^ XOR}[mode]
             rank = np.where(chosen, rank if mode == "classical" else rank + np.where(canon == 0, 1 << 32, 0), far)
-        view = sliding_window_view(rank, w)
-        best = w - 1 - view[:, ::-1].argmin(1)
-        place = at + best[at]
+        place = lowest(rank, w, True)[at]
         ok = chosen[place]
         if mode == "sticky":
             pick = np.full(n, -1)
@@ -177,13 +185,10 @@ def naive_syncmers(df: DataFrame, k: int, l: int, rightmost: bool = True, split_
         table = syncmer(l)
         table[[0, -1]] = 0
         bad = table[lmers(f.codes, l)]
-        w = k - l + 1
-        view = sliding_window_view(bad, w)
-        best = w - 1 - view[:, ::-1].argmin(1) if rightmost else view.argmin(1)
         at, of = spread(f.begin, f.end - f.begin - k + 1)
-        place = at + best[at]
+        place = lowest(bad, k - l + 1, rightmost)[at]
         kmer, place, frag, size = runs(at, place, of, bad[place] == 0, k)
-        mpos, flip, _ = oriented(f, kmer, place, size, l, np.ones(len(kmer), bool))
+        mpos, flip = oriented(f, kmer, place, size, l, np.ones(len(kmer), bool))
         return f.row[frag], kmer - f.begin[frag] + f.offset[frag], np.zeros(len(kmer), np.int64), size, mpos, flip
 
     return each(df, k, cutter, **cols)
@@ -206,9 +211,8 @@ def multi_minimizers(df: DataFrame, k: int, l: int, n_hashes: int = 2, strands:
         for j in range(n_hashes):
             h = (canon + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15 ^ (j * 0x1000003))
             h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            best = sliding_window_view(h ^ h >> np.uint64(32), w).argmin(1)
             place = np.full(len(values), -1)
-            place[at] = at + best[at]
+            place[at] = lowest(h ^ h >> np.uint64(32), w)[at]
             change = np.ones(len(at), bool)
             change[1:] = (place[at[1:]] != place[at[:-1]]) | (of[1:] != of[:-1])
             head = np.flatnonzero(change)

@@ -16,7 +16,7 @@ from kmerweave.functions.scores import canonical, score_table
 SCHEMA = "seq_id long, start long, mint int, size int, mpos int, mint_is_rc boolean"
 MODES = ("sticky", "classical", "msp", "mspxor")
 #: Bases that one numpy pass works on.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 
 _CODE = np.zeros(256, np.int64)
 for _i, _b in enumerate("ACGT"):
@@ -54,12 +54,45 @@ def fragments(data: np.ndarray, at: np.ndarray, k: int, split_n: bool) -> Fragme
 
 
 def lmers(codes: np.ndarray, l: int) -> np.ndarray:
-    """The value of the l-mer at each base (of those that fit)."""
-    n = max(0, len(codes) - l + 1)
-    out = np.zeros(n, np.int64)
-    for i in range(l):
-        out = out << 2 | codes[i : i + n]
-    return out
+    """The value of the l-mer at each base (of those that fit), joined from those of half the length; l up to 31."""
+    if l == 1:
+        return codes
+    half = lmers(codes, l // 2)
+    both = half[: max(0, len(half) - l // 2)] << 2 * (l // 2) | half[l // 2 :]
+    return both if l % 2 == 0 else both[: max(0, len(codes) - l + 1)] << 2 | codes[l - 1 :]
+
+
+def least_of(values: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w neighbours, from windows of half the size."""
+    span = 1
+    while span < w:
+        step = min(span, w - span)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        span += step
+    return values
+
+
+def lowest(score: np.ndarray, w: int, rightmost: bool = False) -> np.ndarray:
+    """The place of the smallest of each w neighbours (of equals the leftmost or rightmost).
+
+    Score and place share 64 bits, so that one minimum finds both. Scores too large for that lose their low bits there;
+    windows whose smallest is another then are searched anew.
+    """
+    if len(score) < w:
+        return np.zeros(0, np.int64)
+    bits = np.uint64(len(score).bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    place = np.arange(len(score), dtype=np.uint64)
+    place = mask - place if rightmost else place
+    wide = score.astype(np.uint64)
+    small = int(wide.max()) >> (64 - int(bits)) == 0
+    best = least_of((wide << bits if small else wide & ~mask) | place, w) & mask
+    best = (mask - best if rightmost else best).astype(np.int64)
+    if not small:
+        for i in np.flatnonzero(least_of(wide, w) != wide[best]).tolist():
+            part = wide[i : i + w]
+            best[i] = i + (w - 1 - part[::-1].argmin() if rightmost else part.argmin())
+    return best
 
 
 def spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +103,8 @@ def spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def framed(score: np.ndarray, f: Fragments, k: int, l: int, rightmost: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(k-mer, minimizer's place, fragment) of each k-mer whose window's smallest l-mer is at another place than the one before."""
-    w = k - l + 1
-    view = sliding_window_view(score, w)
-    best = w - 1 - view[:, ::-1].argmin(1) if rightmost else view.argmin(1)
     at, of = spread(f.begin, f.end - f.begin - k + 1)
-    place = at + best[at]
+    place = lowest(score, k - l + 1, rightmost)[at]
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])
     return at[new], place[new], of[new]
@@ -137,8 +167,8 @@ def check(k: int, l: int, family: str, mode: str) -> None:
         raise ValueError(f"{family} has the sticky mode only")
 
 
-def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str = "mspxor", canonical: bool = True, split_n: bool = False, s: int = 2, scores: list[int] | None = None, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
-    """The superkmers of each sequence: SCHEMA, in no order.
+def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str = "mspxor", canonical: bool = True, split_n: bool = False, s: int = 2, scores: list[int] | None = None, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False) -> DataFrame:
+    """The superkmers of each sequence: SCHEMA, with ``text`` also each one's bases, in no order.
 
     One narrow pass: a task reads Arrow batches of sequences and cuts them in numpy, so that nothing is exploded to
     bases or shuffled. mpos is relative to start. scores replaces the family's table (4^l numbers). Sequences shorter
@@ -148,25 +178,37 @@ def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str
     own = np.array(scores, np.int64) if scores is not None else None
 
     def cutter(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        return cut(data, at, k, l, family, mode, canonical, split_n, score_table(family, mode, l, s).astype(np.int64) if own is None else own)
+        return cut(data, at, k, l, family, mode, canonical, split_n, score_table(family, mode, l, s) if own is None else own)
 
-    return each(df, k, cutter, id_col, seq_col)
+    return each(df, k, cutter, id_col, seq_col, text)
 
 
-def each(df: DataFrame, k: int, cutter, id_col: str = "seq_id", seq_col: str = "seq") -> DataFrame:
-    """SCHEMA rows of a cutter (joined bases, their offsets -> row, start, mint, size, mpos, mint_is_rc), over Arrow batches."""
+def each(df: DataFrame, k: int, cutter, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False) -> DataFrame:
+    """SCHEMA rows of a cutter (joined bases, their offsets -> row, start, mint, size, mpos, mint_is_rc), over Arrow batches;
+    with ``text`` also the superkmers' bases. Short and null sequences are left to the cutter: a filter before the pass
+    would compute derived sequences twice."""
+    schema = SCHEMA + ", text string" if text else SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = batch.column(1).cast(pa.large_string())
-            at = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1] if len(seqs) else np.zeros(1, np.int64)
-            data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)
-            i = 0
-            while i < len(seqs):
-                j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-                row, start, mint, size, mpos, rc = cutter(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(start), *(pa.array(x.astype(np.int32)) for x in (mint, size, mpos)), pa.array(rc)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-                i = j
-
-    rows = df.select(F.col(id_col).cast("long"), F.col(seq_col)).where(F.length(seq_col) >= k)
-    return rows.mapInArrow(run, SCHEMA)
+            for ids, data, at in joined_bases(batch):
+                row, start, mint, size, mpos, rc = cutter(data, at)
+                columns = [ids.take(pa.array(row)), pa.array(start), *(pa.array(x.astype(np.int32)) for x in (mint, size, mpos)), pa.array(rc)]
+                if text:
+                    bases, ends = data[spread(at[row] + start, size)[0]], np.append(0, np.cumsum(size))
+                    columns.append(pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bases)).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    return df.select(F.col(id_col).cast("long"), F.col(seq_col)).mapInArrow(run, schema)
+
+
+def joined_bases(batch: pa.RecordBatch):
+    """Slices of a batch (id, sequence) of about CHUNK bases, one row at least: (ids, joined bases, offsets of the rows in them)."""
+    seqs = batch.column(1).fill_null("").cast(pa.large_string())
+    at = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1] if len(seqs) else np.zeros(1, np.int64)
+    data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(seqs):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+        yield batch.column(0).slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
+        i = j

@@ -62,8 +62,7 @@ def _windowed(mode):
 
 
 def _kmers(spark, sf, mode):
-    seqs = reads(spark, sf)
-    return buckets.kmers_of(superkmers(seqs, K, L, mode=mode), seqs, K)
+    return buckets.kmers_of(superkmers(reads(spark, sf), K, L, mode=mode, text=True), K)
 
 
 def _with_tiles(spark, sf):
@@ -72,7 +71,7 @@ def _with_tiles(spark, sf):
     whole = whole.select(F.xxhash64("of", "seq_id").alias("seq_id"), F.upper("seq").alias("seq"))
     tiles = tile(whole).withColumn("seq_id", F.xxhash64("seq_id", "length", "start", "strand")).select("seq_id", "seq")
     every = whole.unionByName(tiles)
-    return buckets.crossbucket(buckets.distinct_kmers(superkmers(every, K, L), every, K))
+    return buckets.crossbucket(buckets.distinct_kmers(superkmers(every, K, L, text=True), K))
 
 
 def _tiling(spark, sf):
@@ -85,8 +84,7 @@ def _score_sum(spark, sf):
 
 
 def _recount(spark, sf):
-    seqs = reads(spark, sf)
-    return buckets.count_kmers(superkmers(seqs, K, L), seqs, K)
+    return buckets.count_kmers(reads(spark, sf), K)
 
 
 def _forms_differ(spark, sf):
@@ -121,8 +119,7 @@ def _everywhere(length, make, prepare=lambda: []):
 
 
 def _verbose(spark, sf):
-    seqs = reads(spark, sf)
-    return buckets.verbose(hashed.quarantine(seqs, K, 9), seqs, 9)
+    return buckets.verbose(hashed.quarantine(reads(spark, sf), K, 9, text=True), 9)
 
 
 QUERIES = {
@@ -178,6 +175,7 @@ QUERIES = {
     "context_independence": _with_tiles,
     "score_sum": _score_sum,
     "kmer_counts": _recount,
+    "kmer_counts_bucketed": lambda spark, sf: buckets.count_by_bucket(superkmers(reads(spark, sf), K, L, text=True), K),
 }
 
 # --- the same in DuckDB's SQL, written independently of the above ---
@@ -309,7 +307,7 @@ ORACLES = {
         "uhs_classical": ("uhs8", True), "uhs_msp": ("uhs8",), "uhs_mspxor": ("uhs_mspxor",),
     }.items()},
     "bucket_counts": _with(_COUNTS) + "select * from counts",
-    "bucket_stats": _with(_COUNTS) + "select count(*) as minimizers, sum(kmers)::bigint as kmers, sum(superkmers)::bigint as superkmers, avg(kmers) as mean, min(kmers) as least, max(kmers) as most, max(kmers) / avg(kmers) as most_by_mean from counts",
+    "bucket_stats": _with(_COUNTS) + "select count(*) as minimizers, sum(kmers)::bigint as kmers, sum(superkmers)::bigint as superkmers, avg(kmers) as mean, min(kmers) as least, max(kmers) as most, max(kmers) / avg(kmers) as most_by_mean, max(median) as median, max(kmers) / max(median) as most_by_median from counts, (select kmers as median from (select kmers, row_number() over (order by kmers) - 1 as i, count(*) over () as n from counts) where i = n // 2)",
     "bucket_percentiles": _with(_COUNTS) + "select p::int as p, kmers from (select kmers, row_number() over (order by kmers) - 1 as i, count(*) over () as n from counts) join (select unnest([1, 5, 25, 50, 75, 90, 95, 99]) as p) on i = n * p // 100",
     "bucket_histogram": _with(_COUNTS) + "select bin::int as bin, (1::bigint << (bin - 1)::int) as low, (1::bigint << bin::int) - 1 as high, count(*) as minimizers, sum(kmers)::bigint as kmers, sum(kmers) * 100.0::double / sum(sum(kmers)) over () as percent from (select *, length(format('{:b}', kmers)) as bin from counts) group by bin",
     "bucket_top20": _with(_COUNTS) + "select * from counts order by kmers desc, mint limit 20",

@@ -92,11 +92,12 @@ def test_context_free_and_counts(spark):
     genome = random_dna(1500, 9)
     rows = [(i, genome[i : i + 150]) for i in range(0, 1350, 50)] + [(5000 + i, genome[i : i + 200][::-1].translate(str.maketrans("ACGT", "TGCA"))) for i in range(0, 1300, 70)]
     seqs = spark.createDataFrame(rows, "seq_id long, seq string")
-    sk = superkmers(seqs, 31, 8)
-    kmers = buckets.kmers_of(sk, seqs, 31)
+    sk = superkmers(seqs, 31, 8, text=True)
+    kmers = buckets.kmers_of(sk, 31)
     assert buckets.crossbucket(kmers).count() == 0
     direct = kmers.groupBy(F.least("kmer", F.reverse(F.translate("kmer", "ACGT", "TGCA"))).alias("kmer")).count()
-    assert buckets.symmetric_difference(buckets.count_kmers(sk, seqs, 31), direct).count() == 0
+    assert buckets.symmetric_difference(buckets.count_kmers(seqs, 31), direct).count() == 0
+    assert buckets.symmetric_difference(buckets.count_by_bucket(sk, 31), direct).count() == 0
     assert buckets.tiling(sk, seqs, 31).where("not tiles").count() == 0
 
 
