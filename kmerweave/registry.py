@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerweave import hash_sql
 from kmerweave.functions import dna
 from kmerweave.functions.scores import score_dim
 from kmerweave.operators import buckets, hashed
@@ -61,8 +62,14 @@ def _windowed(mode):
     return query
 
 
-def _kmers(spark, sf, mode):
-    return buckets.kmers_of(superkmers(reads(spark, sf), K, L, mode=mode, text=True), K)
+def _both_strands(spark, sf):
+    """Reads and their reverse complements, so that each k-mer stands in two contexts."""
+    one = reads(spark, sf)
+    return one.select((F.col("seq_id") * 2).alias("seq_id"), "seq").unionByName(one.select((F.col("seq_id") * 2 + 1).alias("seq_id"), dna.revcomp("seq").alias("seq")))
+
+
+def _kmers(spark, sf, mode, source=reads):
+    return buckets.kmers_of(superkmers(source(spark, sf), K, L, mode=mode, text=True), K)
 
 
 def _with_tiles(spark, sf):
@@ -170,8 +177,8 @@ QUERIES = {
     "bucket_top20": _stats(buckets.top_buckets),
     "kmers_of_superkmers": partial(_kmers, mode="mspxor"),
     "tiling_check": _tiling,
-    "crossbucket_mspxor": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "mspxor")),
-    "crossbucket_sticky": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "sticky")),
+    "crossbucket_mspxor": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "mspxor", _both_strands)),
+    "crossbucket_sticky": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "sticky", _both_strands)),
     "context_independence": _with_tiles,
     "score_sum": _score_sum,
     "kmer_counts": _recount,
@@ -222,7 +229,7 @@ def _tie(base: str, tie: str) -> str:
     return f"({base}) * 2147483648 + (({tie}) & 2147483647)"
 
 
-XOR = "xor(c, 2900733157)"
+XOR = f"xor(c, {0xACE5ACE5})"
 SCORES = {
     "syncmer": (8, _good("v", 8, 2)),
     "syncmer_l9": (9, _good("v", 9, 2)),
@@ -259,6 +266,95 @@ def _superkmers_sql(name: str, rightmost: bool = False, canonical: bool = True)
     )
 
 
+def _seen(l: int, score: str, kind: str = "bigint") -> str:
+    """dims of the l-mers that occur in lmers."""
+    return f"dims as materialized (select v as lmer, cast({score} as {kind}) as score, c as canon, c < v as is_rc from (select v, least(v, {_rc('v', l)}) as c from (select distinct lmer as v from lmers)))"
+
+
+_MINTED = "join lmers m on m.seq_id = r.seq_id and m.pos = r.p join dims d on d.lmer = m.lmer"
+
+
+def _sticky_sql(score: str, l: int, mint: str = "canon", rc: str = "is_rc", source: str = READS) -> str:
+    return (
+        "with recursive " + ", ".join((source, _lmers_sql(l), _seen(l, score), "scored as (select seq_id, n, pos, score from lmers join dims using (lmer))", hash_sql.sticky("scored", K - l + 1, K)))
+        + f", runs as (select w.seq_id, i, p, coalesce(lead(i) over (partition by w.seq_id order by i) + {K - 1}, n) as stop from walked w join (select distinct seq_id, n from lmers) using (seq_id)), "
+        f"sk as (select r.seq_id, i::bigint as start, {mint}::int as mint, (stop - i)::int as size, (p - i)::int as mpos, {rc} as mint_is_rc from runs r {_MINTED}) "
+    )
+
+
+LH = 9
+
+
+def _islands(best: str) -> str:
+    """runs(seq_id, start, p, size) of neighbouring k-mers of best(seq_id, pos, p) with one place."""
+    return (
+        f"moved as (select *, coalesce(lag(p) over o <> p or lag(pos) over o <> pos - 1, true) as new from ({best}) where p is not null window o as (partition by seq_id order by pos)), "
+        "grouped as (select *, sum(new::int) over (partition by seq_id order by pos) as g from moved), "
+        f"runs as (select seq_id, min(pos) as start, any_value(p) as p, max(pos) - min(pos) + {K} as size from grouped group by seq_id, g)"
+    )
+
+
+def _best(key: str, back: str, source: str = "lmers join dims using (lmer)") -> str:
+    """Each k-mer's place p, from the smallest key of its l-mers; null where all keys are."""
+    return f"select seq_id, n, pos, cast({back} as bigint) as p from (select seq_id, n, pos, min({key}) over (partition by seq_id order by pos rows between current row and {K - LH} following) as key from {source}) where pos <= n - {K}"
+
+
+_LEFT, _LEFT_BACK = "score::hugeint * 2147483648 + pos", "key % 2147483648"
+_RIGHT, _RIGHT_BACK = "score::hugeint * 2147483648 + 2147483647 - pos", "2147483647 - key % 2147483648"
+_OF_RUNS = f"select r.seq_id, start::bigint as start, canon::int as mint, size::int as size, (p - start)::int as mpos, is_rc as mint_is_rc from runs r {_MINTED}"
+_TEXTS = "texts as (select r.seq_id, start, size, p - start as mpos{more}, substr(seq, start + 1, size) as text from runs r join reads using (seq_id))"
+
+
+def _candidates_sql(mode: str) -> str:
+    rank = {"sticky": "case when c = 0 then 1 else 0 end", "classical": "0", "msp": "c + case when c = 0 then 4294967296 else 0 end", "mspxor": f"{XOR} + case when c = 0 then 4294967296 else 0 end"}[mode]
+    head = ", ".join((READS, _lmers_sql(LH), _seen(LH, f"case when {hash_sql.candidate('v', LH)} then {rank} end")))
+    best = _best(_RIGHT, _RIGHT_BACK)
+    if mode != "sticky":
+        return f"with {head}, {_islands(best)} {_OF_RUNS}"
+    walked = "walked(seq_id, n, i, p) as (select seq_id, n, pos, p from picks where pos = 0 union all select s.seq_id, s.n, s.pos, s.p from walked w join picks s on s.seq_id = w.seq_id and s.pos = coalesce(w.p, w.i) + 1)"
+    return f"with recursive {head}, picks as materialized ({best}), {walked}, runs as (select seq_id, i as start, p, least(p, n - {K}) - i + {K} as size from walked where p is not null) {_OF_RUNS}"
+
+
+def _naive_sql(rightmost: bool) -> str:
+    parts = "[" + ", ".join(f"((v >> {2 * (LH - 2 - i)}) & 15)" for i in range(LH - 1)) + "]"
+    head = ", ".join((READS, _lmers_sql(LH), _seen(LH, f"case when list_position({parts}, list_min({parts})) in (1, {LH - 1}) then 0 end")))
+    best = _best(_RIGHT, _RIGHT_BACK) if rightmost else _best(_LEFT, _LEFT_BACK)
+    mpos, flip = hash_sql.oriented(LH)
+    return f"with {head}, {_islands(best)}, {_TEXTS.format(more='')} select seq_id, start::bigint as start, 0::int as mint, size::int as size, ({mpos})::int as mpos, {flip} as mint_is_rc from texts"
+
+
+def _quarantine_sql() -> str:
+    """CTEs up to q(seq_id, start, size, mpos, mint_is_rc, text)."""
+    canon = lambda x: f"least({x}, {_reverse(x)})"
+    m = canon(f"substr(text, mpos + 1, {LH})")
+    there = lambda j: (f"{canon(f'substr(text, ({j} + 1)::bigint, {LH})')} = m", f"{canon(f'substr(text, (size - {LH} - {j} + 1)::bigint, {LH})')} = m")
+    mpos, flip = hash_sql.oriented(LH)
+    fwd, rev = there("j")
+    return ", ".join((
+        READS, _lmers_sql(LH), _seen(LH, hash_sql.nthash("v", LH), "ubigint"),
+        f"keyed as (select seq_id, n, pos, min({_LEFT}) over o as a, min({_RIGHT}) over o as b from lmers join dims using (lmer) window o as (partition by seq_id order by pos rows between current row and {K - LH} following))",
+        f"best as (select seq_id, pos, cast(a % 2147483648 as bigint) as p, a % 2147483648 <> 2147483647 - b % 2147483648 as many from keyed where pos <= n - {K})",
+        "moved as (select *, coalesce(lag(p) over (partition by seq_id order by pos) <> p, true) or many as new from best)",
+        "grouped as (select *, sum(new::int) over (partition by seq_id order by pos) as g from moved)",
+        f"runs as (select seq_id, min(pos) as start, any_value(p) as p, max(pos) - min(pos) + {K} as size, arg_min(many, pos) as many from grouped group by seq_id, g)",
+        _TEXTS.format(more=", many"),
+        f"named as (select *, {m} as m from texts)",
+        f"first as (select *, case when many then list_position(list_transform(range(0, mpos), lambda j: {there('j')[0]} or {there('j')[1]}), true) - 1 end as j from named)",
+        f"q as (select seq_id, start::bigint as start, size::int as size, (case when many then coalesce(j, mpos) else {mpos} end)::int as mpos, case when many then coalesce({rev} and (not {fwd} or {_reverse('text')} < text), false) else {flip} end as mint_is_rc, text from first)",
+    ))
+
+
+def _multi_sql(n: int) -> str:
+    parts = [READS, _lmers_sql(LH), _seen(LH, "0"), f"scrambled as materialized (select lmer, dims.canon, {', '.join(f's{j}' for j in range(n))} from dims join {hash_sql.schemes('(select distinct canon from dims)', n)} x on x.canon = dims.canon)"]
+    for j in range(n):
+        key = f"s{j} * 2147483648 + pos"
+        parts.append(f"m{j} as (select seq_id, n, pos, p, max(pos) over (partition by seq_id, p) as e from ({_best(key, _LEFT_BACK, 'lmers join scrambled using (lmer)')}))")
+    every = " union all ".join(f"select *, e * 16 - {j} as rank from m{j}" for j in range(n))
+    parts.append(f"picks as materialized (select seq_id, pos, arg_max(p, rank) as p, max(e) as e from ({every}) group by seq_id, pos)")
+    parts.append("walked(seq_id, i, p, e) as (select seq_id, pos, p, e from picks where pos = 0 union all select s.seq_id, s.pos, s.p, s.e from walked w join picks s on s.seq_id = w.seq_id and s.pos = w.e + 1)")
+    return f"with recursive {', '.join(parts)}, runs as (select seq_id, i as start, p, e - i + {K} as size from walked) {_OF_RUNS}"
+
+
 _SK = READS + ", " + _superkmers_sql("mspxor")
 _COUNTS = _SK + f", counts as (select mint, sum(size - {K - 1})::bigint as kmers, count(*) as superkmers from sk group by mint)"
 _KMERS = _SK + f", kmers as (select seq_id, pos, substr(seq, pos + 1, {K}) as kmer, mint from (select seq_id, mint, unnest(range(start, start + size - {K - 1})) as pos from sk) join reads using (seq_id))"
@@ -272,6 +368,14 @@ def _words(text: str) -> str:
 
 
 _DOCS_N = "docs as (select doc_id as seq_id, regexp_replace(replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), chr(10), 'N'), '[^acgtN]', '', 'g') as seq from documents)"
+_PARTS_N = "parts as (select seq_id, list_extract(p, i) as part, length(list_extract(p, i)) as len, sum(length(list_extract(p, i)) + 1) over (partition by seq_id order by i) - length(list_extract(p, i)) - 1 as o from (select seq_id, p, unnest(range(1, length(p) + 1)) as i from (select seq_id, string_split_regex(seq, '[Nn]') as p from docs)))"
+_BOTH = READS.replace("reads as", "one as", 1) + f", reads as (select seq_id * 2 as seq_id, seq from one union all select seq_id * 2 + 1, {_reverse('seq')} from one)"
+
+
+def _crossbucket_sql(sk: str) -> str:
+    return sk + f", kmers as (select substr(seq, pos + 1, {K}) as kmer, mint from (select seq_id, mint, unnest(range(start, start + size - {K - 1})) as pos from sk) join reads using (seq_id)) select least(kmer, {_reverse('kmer')}) as kmer, count(distinct mint) as mints from kmers group by 1 having count(distinct mint) > 1"
+
+
 _R = _with(READS)
 
 def _everywhere_sql(length: int, values: str) -> str:
@@ -297,7 +401,7 @@ ORACLES = {
     "pack_words_rc": _R + _words(_reverse("seq")),
     "pack_bytes": _R + "select seq_id, i::int as i, (" + " + ".join(f"instr('CGT', substr(seq, 4 * i + {j + 1}, 1)) * {4**j}" for j in range(4)) + ")::int as byte from (select seq_id, seq, unnest(range(0, (length(seq) + 3) // 4)) as i from reads)",
     "packed_kmers": _R + f"select seq_id, {_value('seq', K, '20')} as value from reads",
-    "split_n": _with(_DOCS_N, "parts as (select seq_id, i, length(list_extract(p, i)) as len, sum(length(list_extract(p, i)) + 1) over (partition by seq_id order by i) - length(list_extract(p, i)) - 1 as o from (select seq_id, p, unnest(range(1, length(p) + 1)) as i from (select seq_id, string_split_regex(seq, '[Nn]') as p from docs)))") + f'select seq_id, o::bigint as "offset", len::bigint as length from parts where len >= {K}',
+    "split_n": _with(_DOCS_N, _PARTS_N) + f'select seq_id, o::bigint as "offset", len::bigint as length from parts where len >= {K}',
     "syncmers_open": _R + _SYNC.format(p=_PARTS, t="4"),
     "syncmers_closed": _R + _SYNC.format(p=_PARTS, t="1, 11"),
     **{f"scores_{n}": _with(READS, _lmers_sql(SCORES[n][0]), _dims(*SCORES[n])) + "select lmer, count(*) as n, any_value(score) as score, any_value(canon) as canon, any_value(is_rc) as is_rc from lmers join dims using (lmer) group by lmer" for n in SCORES if n != "mspxor_l9"},
@@ -313,9 +417,25 @@ ORACLES = {
     "bucket_top20": _with(_COUNTS) + "select * from counts order by kmers desc, mint limit 20",
     "kmers_of_superkmers": _with(_KMERS) + "select * from kmers",
     "tiling_check": "with docs as (select doc_id as seq_id, length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as n from documents) " + f"select seq_id, (n - {K - 1})::bigint as kmers, (n - {K - 1})::bigint as covered, true as tiles from docs where n >= {K}",
-    "crossbucket_mspxor": _with(_KMERS) + f"select least(kmer, {_reverse('kmer')}) as kmer, count(distinct mint) as mints from kmers group by 1 having count(distinct mint) > 1",
+    "crossbucket_mspxor": _crossbucket_sql(_with(_BOTH, _superkmers_sql("mspxor"))),
+    "crossbucket_sticky": _crossbucket_sql(_sticky_sql(SCORES["syncmer"][1], 8, source=_BOTH)),
+    "superkmers_sticky": _sticky_sql(SCORES["syncmer"][1], 8) + "select * from sk",
+    "superkmers_sticky_forward": _sticky_sql(SCORES["syncmer"][1], 8, "m.lmer", "false") + "select * from sk",
+    "uhs_sticky": _sticky_sql(SCORES["uhs8"][1], 8) + "select * from sk",
+    "kmc2": _sticky_sql(SCORES["kmc2"][1], 8, rc="false") + "select * from sk",
+    **{f"lexicographic_l{l}": _sticky_sql(SCORES["lexicographic"][1], l, "m.lmer", "false") + "select * from sk" for l in (8, 10, 12)},
+    **{f"syncmer_sticky_l{l}": _sticky_sql(_good("v", l, 2), l) + "select * from sk" for l in (10, 12)},
+    "superkmers_with_n": _with(_DOCS_N, _PARTS_N, f"reads as (select seq_id * 1048576 + o::bigint as seq_id, upper(part) as seq from parts where len >= {K})", _superkmers_sql("mspxor")) + "select seq_id // 1048576 as seq_id, start + seq_id % 1048576 as start, mint, size, mpos, mint_is_rc from sk",
+    "syncmers_sampled": _R + ", closed as (" + _SYNC.format(p=_PARTS, t="1, 11") + "), " + hash_sql.xxh64("closed", 15) + f" select seq_id, pos, kmer from hashed where h < {int((2**64 - 1) * 0.25)}::uhugeint",
+    "hash_minimizers": _with(READS, _lmers_sql(LH), _seen(LH, hash_sql.nthash("v", LH), "ubigint"), _islands(_best(_LEFT, _LEFT_BACK))) + _OF_RUNS,
+    "nthash_quarantine": _with(_quarantine_sql()) + "select seq_id, start, 0::int as mint, size, mpos, mint_is_rc from q",
+    "nthash_verbose": _with(_quarantine_sql()) + f"select *, substr(sequence, mpos + 1, {LH}) as minimizer from (select seq_id, start, case when mint_is_rc then {_reverse('text')} else text end as sequence, mpos from q)",
+    **{f"candidates_{m}": _candidates_sql(m) for m in ("sticky", "classical", "msp", "mspxor")},
+    "naive_syncmers_right": _naive_sql(True),
+    "naive_syncmers_left": _naive_sql(False),
+    **{f"multi_minimizers_{n}": _multi_sql(n) for n in (2, 4, 8)},
     "context_independence": _R + "select seq as kmer, 0::bigint as mints from reads where false",
     "superkmers_forms_differ": "select 0::bigint as seq_id, 0::bigint as start, 0::int as mint, 0::int as size, 0::int as mpos, true as mint_is_rc, '' as side where false",
     "score_sum": _with(READS, _lmers_sql(L), _dims(*SCORES["mspxor"])) + "select sum(score)::varchar as total from lmers join dims using (lmer)",
-    "kmer_counts": _R + f"select least(kmer, {_reverse('kmer')}) as kmer, count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1",
+    **dict.fromkeys(("kmer_counts", "kmer_counts_bucketed"), _R + f"select least(kmer, {_reverse('kmer')}) as kmer, count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1"),
 }
