@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerweave.llm.common import SPACED, chunks, durable, find_words, hash_runs, hash_words, table
@@ -43,6 +43,11 @@ def paths(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray
     return of[head], start[head], n, kmers[at[head]], hash_runs(words, start[head], n + window - 1)
 
 
+def _joined(data: bytes, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+    """The words a to b of each span, joined by one space."""
+    return [b" ".join([data[x:y] for x, y in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
 def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """Documents without the words of long passages that also start earlier.
 
@@ -50,17 +55,21 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     a window of ``window`` words over it also starts earlier (at a smaller doc_id, or earlier in the document).
     removed has the word ranges array<struct<start,stop>>, kept the other words joined by one space.
 
-    Windows are the edges of a de Bruijn graph of token k-mers, which is not built: minimizer runs stand for its paths. Edges that follow one another without a change of
-    anchor are compacted to one path, an eighth of the rows, from the start.
-
-    1. Anchors that occur once are dropped: none of their windows repeats.
-    2. Paths are joined by anchor and content. A later occurrence of a path goes wholly, by the coordinates of its
-       first. Where all paths of an anchor are alike, they don't branch, and the first occurrence stays wholly.
-    3. Where an anchor's paths branch, the first occurrence of each is opened again into windows, which alone are
-       compared one by one: as each stands for all later ones, the outcome is that for all windows.
-
-    Words are parted by ASCII white space and compared as they are. Hot passages cost partial aggregates; only rows of repeated anchors are
-    joined, on keys whose partitions can be split. Null, empty or wordless text: no words, kept is empty.
+    Windows of ``window`` words are the edges of a de Bruijn graph whose nodes are the words that neighbours share.
+
+    1. In each text, edges that follow one another without a change of their smallest 6-word anchor are pieces, an eighth of the
+       rows. Pieces of anchors that occur once are dropped: none of their edges repeats.
+    2. Distinct pieces are counted, with their first source and the pieces that follow them. A join along the edges
+       between pieces links one to the next where the path doesn't branch: all occurrences of the first go on to the second,
+       which occurs as often, so no text starts, ends or turns off between them. Linked pieces stand side by side at
+       their first source too, whose coordinates number the compacted paths (one window function).
+    3. A join of occurrences with the paths' first pieces gives the later occurrences of whole paths. The words at the
+       source's coordinates go with them and are compared with those at their own.
+    4. Pieces of one anchor that differ may share some edges. Their first occurrences are opened again into edges,
+       which alone are compared one by one, by hash: as each stands for all later ones, the outcome is that for all edges.
+
+    Words are parted by ASCII white space and compared as they are. Hot passages cost partial aggregates; the joins
+    that meet occurrences have them on one side only, from written tables, so that Spark can split a hot key. Null, empty or wordless text: no words, kept is empty.
     Null doc_id: before all others. Rows of one doc_id are one document; equal rows don't remove each other's words. Other columns are not read.
     """
     if not 0 < window <= 65535:
@@ -74,20 +83,43 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 starts, ends, first = find_words(data, at, SPACED)
                 of, start, n, anchor, path = paths(hash_words(data, starts, ends), first, window)
                 ids, tk = (np.asarray(part.column(i)) for i in (0, 1))
+                last = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
                 # One number for the place: first window, text's key, windows. It sorts by the first.
                 loc = (start - first[of]) << 32 | tk[of].astype(np.int64) << 16 | n
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(path.view(np.int64)), pa.array(ids[of]), pa.array(loc)], names=["anchor", "path", "id", "loc"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(path.view(np.int64)), pa.array(np.roll(path, -1).view(np.int64), mask=last), pa.array(ids[of]), pa.array(loc)], names=["anchor", "path", "next", "id", "loc"])
 
-    every = base.select("id", "tk", "text").mapInArrow(scan, "anchor long, path long, id long, loc long")
+    every = base.select("id", "tk", "text").mapInArrow(scan, "anchor long, path long, next long, id long, loc long")
     again = every.select("anchor").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     known = durable(every.join(again, "anchor"))
-    firsts = known.groupBy("anchor", "path").agg(F.min(F.struct("id", "loc")).alias("first"))
-    branches = firsts.groupBy("anchor").agg((F.count("*") > 1).alias("branches"))
-    joined = known.join(firsts, ["anchor", "path"]).join(branches, "anchor").selectExpr("id", "loc", "id = first.id and loc = first.loc as is_first", "branches").where("not is_first or branches")
-    spots = durable(joined.selectExpr("id", "cast(shiftright(loc, 16) & 65535 as int) as tk", "shiftright(loc, 32) as start", "cast(loc & 65535 as int) as n", "is_first as open"))
+    pieces = known.groupBy("path").agg(F.min("anchor").alias("anchor"), F.count("*").alias("c"), F.min("next").alias("next"), F.max("next").alias("other"), F.count("next").alias("followed"), F.min(F.struct("id", "loc")).alias("first"))
+    place = ["first.id as id", "cast(shiftright(first.loc, 16) & 65535 as int) as tk", "shiftright(first.loc, 32) as start", "cast(first.loc & 65535 as int) as n"]
+    pieces = durable(pieces.selectExpr("path", "anchor", "c", "if(followed = c and next = other, next, null) as next", *place))
+    linked = pieces.where("c > 1 and next is not null").selectExpr("next as path", "c").join(pieces.where("c > 1").select("path", "c"), ["path", "c"]).selectExpr("path", "0 as head")
+    numbered = pieces.where("c > 1").join(linked, "path", "left").withColumn("path_number", F.sum(F.coalesce("head", F.lit(1))).over(Window.partitionBy("id", "tk").orderBy("start")))
+    paths_found = durable(numbered.groupBy("id", "tk", "path_number").agg(F.min_by("path", "start").alias("path"), F.min("start").alias("start"), F.sum("n").cast("long").alias("n")).drop("path_number"))
     # Read three times below with the same columns, so that Spark moves the texts once and uses that exchange again.
     placed = base.repartition("id", "tk")
-    opened = spots.where("open").groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    sourced = paths_found.groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n", "path")).alias("spans"))
+
+    def quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each path at its source."""
+        for batch in batches:
+            for part, data, at in chunks(batch):
+                starts, ends, first = find_words(data, at, SPACED)
+                spans = part.column(3)
+                start, n, path = (np.asarray(spans.flatten().field(i)) for i in range(3))
+                of = np.repeat(np.arange(len(part)), np.asarray(spans.value_lengths()))
+                a = first[of] + start
+                fits = a + n + window - 1 <= first[of + 1]
+                words = _joined(data.tobytes(), starts, ends, a[fits], (a + n + window - 1)[fits])
+                yield pa.RecordBatch.from_arrays([pa.array(path[fits]), pa.array(words, pa.binary())], names=["path", "source"])
+
+    sources = placed.join(sourced, ["id", "tk"]).select("id", "tk", "text", "spans", "text_key").mapInArrow(quote, "path long, source binary")
+    heads = paths_found.selectExpr("path", "id as from_id", "start as from_start", "n")
+    later = known.select("path", "id", "loc").join(heads, "path").where("id <> from_id or shiftright(loc, 32) <> from_start")
+    later = later.join(sources, "path").selectExpr("id", "cast(shiftright(loc, 16) & 65535 as int) as tk", "shiftright(loc, 32) as start", "n", "source")
+    branches = durable(pieces.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor"))
+    opened = pieces.join(branches, "anchor", "left_semi").groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +140,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     windows = placed.join(opened, ["id", "tk"]).select("id", "tk", "text", "spans", "text_key").mapInArrow(unfold, "w long, id long, at long")
     first = windows.groupBy("w").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    late = windows.join(first, "w").where("id <> first.id or at <> first.at").selectExpr("id", "cast(at & 65535 as int) as tk", "shiftright(at, 16) as start", "1 as n")
-    gone = spots.where("not open").select("id", "tk", "start", "n").unionByName(late).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    late = windows.join(first, "w").where("id <> first.id or at <> first.at").selectExpr("id", "cast(at & 65535 as int) as tk", "shiftright(at, 16) as start", "1L as n", "cast(null as binary) as source")
+    gone = later.unionByName(late).groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n", "source")).alias("spans"))
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -122,11 +154,16 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 of = np.repeat(np.arange(len(part)), np.asarray(spans.value_lengths().fill_null(0)))
                 a = np.minimum(first[of] + start, first[of + 1])
                 b = np.minimum(a + n + window - 1, first[of + 1])
+                source = fields.field(2)
+                check = np.flatnonzero(np.asarray(source.is_valid()))
+                whole, same = data.tobytes(), np.ones(len(a), bool)
+                same[check] = [x == y for x, y in zip(_joined(whole, starts, ends, a[check], b[check]), source.take(pa.array(check)).to_pylist(), strict=True)]
+                a, b = a[same], b[same]
                 out = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(out, a, 1)
                 np.add.at(out, b, -1)
                 out = np.cumsum(out)[:-1] > 0
-                whole, keep = data.tobytes(), ~out
+                keep = ~out
                 kept, removed = [], []
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     k = keep[i:j]
