@@ -87,7 +87,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
     holds every vector. A task builds the inverted files of ``block_rows`` of its vectors at a time, ranks them by
     footrule for each query, keeps the nearest ``share`` and reranks those by exact inner products; its best k
     for each query go on, and a window picks the k over all tasks. Vectors don't move. Queries go to the executors in blocks of
-    about ``block_queries``, each with a pass of its own, so that nothing broadcast grows with the data.
+    about ``block_queries``, each with a pass of its own, so that no broadcast grows with the data; each
+    block passes through the driver once.
 
     Recall of the exact 20 nearest is over 0.95 at these parameters on 64 dimensions without structure; share=1 is exact.
     Null or zero vectors, those with null or non-finite components, of another dimension or without an id take no part. Ties go to the
@@ -95,7 +96,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
     repeated query counts once (the first by its components). No vectors: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block_rows))
     rows, dims = usable(vectors)
     norm, count = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
     asked = usable(queries, dims)[0].groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -110,10 +110,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
             ids, q, order, index = shared.value
             top_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
             top = np.full((len(ids), k), -np.inf)
-            for batch in batches:
+            for batch in (whole.slice(i, block_rows) for whole in batches for i in range(0, whole.num_rows, block_rows)):
                 n = batch.num_rows
-                if not n:
-                    continue
                 x = np.asarray(batch.column(1).flatten()).reshape(n, -1)
                 block = Block(np.asarray(batch.column(0)), x, index)
                 for i in range(len(ids)):

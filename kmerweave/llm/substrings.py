@@ -89,7 +89,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(path.view(np.int64)), pa.array(np.roll(path, -1).view(np.int64), mask=last), pa.array(ids[of]), pa.array(loc)], names=["anchor", "path", "next", "id", "loc"])
 
     every = base.select("id", "tk", "text").mapInArrow(scan, "anchor long, path long, next long, id long, loc long")
-    again = every.select("anchor").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written before it is joined: a join right on an aggregate could not split a hot anchor's rows.
+    again = durable(every.select("anchor").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     known = durable(every.join(again, "anchor"))
     pieces = known.groupBy("path").agg(F.min("anchor").alias("anchor"), F.count("*").alias("c"), F.min("next").alias("next"), F.max("next").alias("other"), F.count("next").alias("followed"), F.min(F.struct("id", "loc")).alias("first"))
     place = ["first.id as id", "cast(shiftright(first.loc, 16) & 65535 as int) as tk", "shiftright(first.loc, 32) as start", "cast(first.loc & 65535 as int) as n"]
