@@ -10,8 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The text bytes that one numpy pass works on. Spark bounds the bytes of the Arrow batches that these are cut from.
-CHUNK_BYTES = 1 << 20
+#: Rows that cross to Python at once, and the text bytes that one numpy pass works on.
+BATCH_ROWS, CHUNK_BYTES = 256, 1 << 20
+
+
+def session(df: DataFrame) -> SparkSession:
+    """The frame's session. Where it has Spark's own default of 10,000 rows for an Arrow batch, that becomes BATCH_ROWS, as
+    texts of some KB each would else take hundreds of MB of an executor; a number that the user has chosen stays. No
+    result depends on it."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,8 +68,10 @@ LOWER[65:91] += 32
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
     """Slices of a batch whose texts have about ``limit`` bytes together (one row at least), as
     (slice, bytes of its texts, offsets of the rows in them); null texts are empty."""
-    col = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_string())
-    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    col = batch.column(batch.schema.get_field_index(text))
+    col = col.fill_null("") if col.null_count else col
+    size = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    at = np.frombuffer(col.buffers()[1], size)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(col):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import ALNUM, LOWER, chunks, durable, find_words, hash_runs, hash_words, table
+from kmerweave.llm.common import ALNUM, LOWER, chunks, durable, find_words, hash_runs, hash_words, session, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, text_key long, n_words long, hits array<struct<start:long,stop:long>>, items array<long>"
@@ -133,7 +133,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars:
     Null or empty text: no words and no hits. Null or wordless items: never found; null item_ids are left out.
     Repeated documents: one row each. Items that share a window all own it. Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark = session(docs)
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // max_item_chars))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import chunks, crc_mod, table
+from kmerweave.llm.common import chunks, crc_mod, session, table
 
 SCHEMA = "doc_id long, lang_pred string, score double, windows long"
 #: Bytes of a window, widths of the filters, filters of each width, size of a byte's embedding.
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
     Null text or one without a letter: ``und``, score 0. Null doc_id and repeated rows: a row each. Ties go to the
     first class by name. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = session(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, hash_runs, hash_words, table
+from kmerweave.llm.common import LOWER, SPACED, chunks, durable, find_words, hash_runs, hash_words, session, table
 
 #: Bands and rows of the banding: a pair of similarity 0.8 shares no band with odds of 3e-7. Bits of an odd sketch.
 BANDS, ROWS, SKETCH = 44, 5, 1024
@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ex
     Null, empty or wordless text: no shingles, linked with nothing, its own component. Null doc_id: component_id null,
     kept true, and it links nothing. Repeated rows: each kept as the first. Other columns are not read.
     """
+    session(docs)
     percent, bits = round(100 * similarity), [f"s{i}" for i in range(SKETCH // 32)]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     one = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])

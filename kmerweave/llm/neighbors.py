@@ -80,6 +80,19 @@ class Block:
         return self.ids[rows][top], score[top]
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows anew in blocks of ``rows``, the last one smaller: blocks don't depend on the session's batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield whole.slice(0, rows)
+            held = [whole.slice(rows)] if whole.num_rows > rows else []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, ranks: int = 64, share: float = 0.2, block_rows: int = 4096, block_queries: int = 8192) -> DataFrame:
     """The k rows of largest inner product found for each query: (query_id, rank, vec_id, score).
 
@@ -110,7 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
             ids, q, order, index = shared.value
             top_ids = np.full((len(ids), k), np.iinfo(np.int64).max)
             top = np.full((len(ids), k), -np.inf)
-            for batch in (whole.slice(i, block_rows) for whole in batches for i in range(0, whole.num_rows, block_rows)):
+            for batch in blocks_of(batches, block_rows):
                 n = batch.num_rows
                 x = np.asarray(batch.column(1).flatten()).reshape(n, -1)
                 block = Block(np.asarray(batch.column(0)), x, index)

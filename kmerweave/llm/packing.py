@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import table
+from kmerweave.llm.common import session, table
 
 #: A document ends with this id.
 END = 0
@@ -119,6 +119,8 @@ def pack(docs: DataFrame, width: int = 1024, linear: float = 1.0, quadratic: flo
     not read. An empty table has no pieces. A text longer than a block is one block.
     """
 
+    session(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary), TaskContext.get().partitionId() << 33
         ids: list[int | None] = []

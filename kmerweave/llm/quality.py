@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, hash_words, table
+from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, hash_words, session, table
 
 SCHEMA = "doc_id long, expected_grade double, tail double, grade int"
 DIMS = 1 << 13
@@ -99,7 +99,7 @@ def grade(docs: DataFrame, model: Ordinal, least: int = 1) -> DataFrame:
     Whole texts, one narrow pass. Null or empty text: the grade of a text without words. Null doc_id and repeated rows: a row
     each. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = session(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

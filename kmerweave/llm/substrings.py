@@ -10,7 +10,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import SPACED, chunks, durable, find_words, hash_runs, hash_words, table
+from kmerweave.llm.common import SPACED, chunks, durable, find_words, hash_runs, hash_words, session, table
 
 #: Words of the anchors that paths are cut at.
 ANCHOR = 6
@@ -74,6 +74,7 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     if not 0 < window <= 65535:
         raise ValueError("a window of 1 to 65,535 words is needed")
+    session(docs)
     text = F.col("text").cast("string")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(65535).cast("long")).cast("int").alias("tk"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 

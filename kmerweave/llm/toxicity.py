@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, table
+from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, session, table
 
 #: Columns of the result.
 SCHEMA = "doc_id long, score double, gain long, windows long"
@@ -176,7 +176,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
     windows by saving make the score (0 to 1). One narrow pass. Null, empty or wordless text: no windows, the score of
     the calibration there. Null doc_id and repeated rows: a row each. Without ``keep`` other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = session(docs).sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long" if keep is None else f"row {rows.schema['row'].dataType.simpleString()}"
 
