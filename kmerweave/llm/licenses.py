@@ -33,6 +33,9 @@ TEMPLATES = [
     ("mozilla public license version 2 0", "mpl-2.0", "mozilla public license version 2 0"),
 ]
 
+#: Words of all templates together that one scan takes.
+MAX_TEMPLATE_WORDS = 20_000
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -49,6 +52,23 @@ def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     return {w: 1.0 / (1 + seen.get(w, 0)) for w in vocabulary}
 
 
+def postings(idf: dict[str, float], phrases: dict[str, str], templates: list[tuple[str, str, str]]):
+    """The index as one constant map: word to array of (at, words, key, n, label, exact).
+
+    A template stands under the rarest word of its key phrase, which must be there (a phrase is its own key); ``at`` is that
+    word's place in the template, ``key`` and ``n`` the place and length of the key phrase.
+    """
+    index: dict[str, list] = {}
+    for text, label, phrase, exact in [*((t, label, t, True) for t, label in phrases.items()), *((*t, False) for t in templates)]:
+        ws, ks = text.split(), phrase.split()
+        key = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
+        at = max(range(key, key + len(ks)), key=lambda i: (idf[ws[i]], -i))
+        index.setdefault(ws[at], []).append((at, ws, key, len(ks), label, exact))
+    names = ("at", "words", "key", "n", "label", "exact")
+    posting = lambda p: F.struct(*(F.array(*map(F.lit, v)).alias(c) if c == "words" else F.lit(v).alias(c) for c, v in zip(names, p, strict=True)))
+    return index, F.create_map(*(x for w, ps in index.items() for x in (F.lit(w), F.array(*map(posting, ps)))))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str, str]] | None = None, least: float = 0.7) -> DataFrame:
     """Licence notices in documents.
 
@@ -56,43 +76,33 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     phrases, found array<struct<start,label,share>> for the templates of which at least ``least`` of the words stand
     at their relative positions with the key phrase whole.
 
-    Every template has postings (word, relative position). A phrase's anchor is its rarest word over the corpus; a
-    template's is the rarest of its key phrase, which must be there. A document's words are looked up among the
-    anchors; each hit gives the one place where the template would start, and the other postings are checked against
-    the words there. It is one expression for each row, so neither common words nor large groups move any data; the
-    only shuffle counts the templates' own words.
+    A document's words are looked up in the index, where each template stands under the rarest word of its key phrase over
+    the corpus. A hit gives the one place where that template would start; the key phrase is compared there and the
+    template's other words are met at their relative positions. The index is a constant of the plan, as large as the
+    templates given (a bounded list, MAX_TEMPLATE_WORDS words); the plan's expressions don't grow with it. All happens within a row, so
+    neither common words nor large groups move any data; the only shuffle counts the templates' own words.
 
     Null or empty text: no words, nothing found. Null doc_id and repeated rows: a row each. Other columns aren't read.
     """
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    vocabulary = sorted({w for t in [*phrases, *(t for t, _, _ in templates)] for w in t.split()})
-    idf = rarity(docs, vocabulary)
-    # What to look for: words, place of the key phrase in them, its length, the anchor's place, label.
-    plan = []
-    for text, label in phrases.items():
-        ws = text.split()
-        plan.append((ws, 0, len(ws), max(range(len(ws)), key=lambda i: (idf[ws[i]], -i)), label, True))
-    for text, label, key in templates:
-        ws, ks = text.split(), key.split()
-        at = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        plan.append((ws, at, len(ks), max(range(at, at + len(ks)), key=lambda i: (idf[ws[i]], -i)), label, False))
-
-    quote = lambda w: "'" + w + "'"  # noqa: E731  words have letters and digits only
-    anchors = sorted({ws[a] for ws, _, _, a, _, _ in plan})
-    hits = f"filter(transform(words, (w, i) -> struct(i as at, w as word)), x -> array_contains(array({', '.join(map(quote, anchors))}), x.word))"
-
-    def found(ws: list[str], key: int, n: int, anchor: int, label: str, exact: bool) -> str:
-        """Starts (perhaps before the text) where the key phrase is whole and enough words are in place."""
-        start = f"x.at - {anchor}"
-        whole = " and ".join(f"get(words, {start} + {i}) <=> {quote(ws[i])}" for i in range(key, key + n) if i != anchor) or "true"
-        share = "1.0D" if exact else "(" + " + ".join(f"if(get(words, {start} + {i}) <=> {quote(w)}, 1, 0)" for i, w in enumerate(ws)) + f") / {len(ws)}D"
-        return f"filter(transform(filter(hits, x -> x.word = {quote(ws[anchor])} and {whole}), x -> struct({start} as start, {quote(label)} as label, {share} as share)), x -> x.share >= {least})"
-
-    rows = docs.select("doc_id", words().alias("words")).withColumn("anchored", F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
-    empty = "cast(array() as array<struct<start:int,label:string,share:double>>)"
-    rows = rows.selectExpr("doc_id", "words", f"if(anchored, {hits}, cast(array() as array<struct<at:int,word:string>>)) as hits")
-    lists = {exact: ", ".join(found(*p) for p in plan if p[5] == exact) for exact in (True, False)}
-    return rows.selectExpr("doc_id", "cast(size(words) as bigint) as n_words", f"if(size(hits) = 0, {empty}, concat({lists[True]})) as places", f"if(size(hits) = 0, {empty}, concat({lists[False]})) as found")
+    texts = [w for t in [*phrases, *(t for t, _, _ in templates)] for w in t.split()]
+    if len(texts) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"templates of {len(texts)} words, over {MAX_TEMPLATE_WORDS}")
+    index, constant = postings(rarity(docs, sorted(set(texts))), phrases, templates)
+    rows = docs.select("doc_id", words().alias("words"))
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*index), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("hits", F.when(F.arrays_overlap("words", F.array(*map(F.lit, index))), at))
+    starts = lambda i: F.transform(constant[F.get("words", i)], lambda p: F.struct((i - p["at"]).alias("start"), p.alias("t")))
+    same = lambda c: (c["start"] + c["t"]["key"] >= 0) & (F.slice("words", F.greatest(c["start"] + c["t"]["key"], F.lit(0)) + 1, c["t"]["n"]) == F.slice(c["t"]["words"], c["t"]["key"] + 1, c["t"]["n"]))
+    rows = rows.withColumn("met", F.filter(F.flatten(F.transform("hits", starts)), same))
+
+    def notice(c):
+        there = F.size(F.filter(F.transform(c["t"]["words"], lambda w, i: F.get("words", c["start"] + i).eqNullSafe(w)), lambda x: x))
+        return F.struct(c["start"].alias("start"), c["t"]["label"].alias("label"), (there / F.size(c["t"]["words"])).alias("share"))
+
+    none = F.array().cast("array<struct<start:int,label:string,share:double>>")
+    some = lambda which: F.coalesce(F.filter(F.transform(F.filter("met", which), notice), lambda x: x["share"] >= least), none)
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), some(lambda c: c["t"]["exact"]).alias("places"), some(lambda c: ~c["t"]["exact"]).alias("found"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kmerweave.llm.decontaminate import op3_decontamination
 from kmerweave.llm.language import op5_language
-from kmerweave.llm.licenses import op2_licenses
+from kmerweave.llm.licenses import PHRASES, TEMPLATES, op2_licenses
 from kmerweave.llm.near_dedup import op6_near_dedup
 from kmerweave.llm.neighbors import op7_neighbors
 from kmerweave.llm.packing import op1_packing
@@ -19,7 +19,31 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
+
+def _list(words: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+
+#: Each template as a row: its words, those of its key phrase, the place of these in it from 0, label, whether it is a base phrase.
+_NOTICES = ", ".join(
+    f"({_list(text)}, {_list(key)}, {text.split().index(key.split()[0])}, '{label}', {exact})"
+    for text, label, key, exact in [*((t, label, t, True) for t, label in PHRASES.items()), *((*t, False) for t in TEMPLATES)]
+)
+
 ORACLES: dict[str, str] = {
+    "op2_licenses": f"""
+        with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from documents),
+        t(tw, kw, k, label, exact) as (values {_NOTICES}),
+        keys as (select r, w, tw, k, label, exact, unnest(list_filter(range(1, len(w) + 1), lambda p: w[p] = kw[1] and w[p:p + len(kw) - 1] = kw)) - k as p
+            from d, t where list_contains(w, kw[1])),
+        met as (select r, p - 1 as start, label, exact,
+            len(list_filter(range(0, len(tw)), lambda i: p + i >= 1 and w[p + i] = tw[i + 1])) / len(tw) as share from keys),
+        found as (select r, count(*) filter (where exact) as n_base, min(start) filter (where exact) as first_word, max(start) filter (where exact) as last_word,
+            string_agg(distinct label, ',' order by label) filter (where exact) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score
+            from met where share >= 0.7 group by r)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+            coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+        from d left join found using (r)""",
     "op3_decontamination": f"""
         with d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from documents),
         i as (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from benchmark where item_id is not null),

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,22 @@ def test_titles_of_licenses(spark):
     assert [got[i] for i in range(7)] == [{"gpl-3.0"}, {"gpl-2.0"}, {"apache-2.0"}, {"mit"}, {"mpl-2.0"}, {"lgpl"}, set()]
 
 
+def test_licenses_by_sql(spark, tmp_path):
+    """The query against its SQL, with a rare-word index, on notices cut at either end, repeated rows and nulls."""
+    from kmerweave.llm.registry import ORACLES
+
+    whole = [*licenses.PHRASES, *(t for t, _, _ in licenses.TEMPLATES)]
+    texts = ["", None, "cc", *whole, *(" ".join(t.split()[i:]) + " x" for t in whole for i in (1, 2)), *(" ".join(t.split()[:-1]) for t in whole), " ".join(whole), ", ".join(whole).upper()]
+    spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op2_licenses(spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(f"select {', '.join(got.columns)} from ({ORACLES['op2_licenses']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    with pytest.raises(ValueError):
+        licenses.scan(got.selectExpr("doc_id", "labels as text"), templates=[("a b " * 20_000, "x", "a b")])
+
+
 # 3 decontamination
 
 
