@@ -13,14 +13,17 @@ from kmerweave.operators.superkmers import check, cut
 
 @udtf(returnType="start long, mint int, size int, mpos int, mint_is_rc boolean")
 class Superkmers:
-    """superkmers(seq, k, l, family, mode): the superkmers of one sequence, for lateral joins in SQL."""
+    """superkmers(seq, k, l, family, mode, canonical, split_n, s, scores): the superkmers of one sequence, for lateral joins in
+    SQL. All after mode may be left out or named, as in ``superkmers(seq, 31, 8, 'syncmer', 'msp', split_n => true)``;
+    scores is an array of 4^l numbers that replaces the family's. A null or short sequence has none."""
 
-    def eval(self, seq: str, k: int, l: int, family: str, mode: str):
+    def eval(self, seq: str, k: int, l: int, family: str, mode: str, canonical: bool = True, split_n: bool = False, s: int = 2, scores: list = None):
         if seq is None or len(seq) < k:
             return
         check(k, l, family, mode)
         data = np.frombuffer(seq.encode(), np.uint8)
-        parts = cut(data, np.array([0, len(data)]), k, l, family, mode, True, False, score_table(family, mode, l).astype(np.int64))
+        table = score_table(family, mode, l, s) if scores is None else np.array(scores)
+        parts = cut(data, np.array([0, len(data)]), k, l, family, mode, canonical, split_n, table.astype(np.int64))
         for row in zip(*(p.tolist() for p in parts[1:]), strict=True):
             yield row
 

@@ -119,3 +119,19 @@ def test_sql_functions(spark):
     got = spark.sql(f"select start, mint, size, mpos, mint_is_rc from superkmers('{F76}', 31, 8, 'syncmer', 'mspxor')").collect()
     assert [tuple(r) for r in got] == one(F76, 31, 8, "syncmer", "mspxor")
     assert spark.sql("select dna_revcomp('AACG'), dna_value('ACGT'), dna_decode(27, 4)").first()[:] == ("CGTT", 27, "ACGT")
+
+
+@pytest.mark.parametrize("named,options", [
+    ("canonical => false", {"canonical": False}), ("split_n => true", {"split_n": True}), ("s => 4, split_n => true", {"s": 4, "split_n": True}),
+    ("scores => transform(sequence(0, 255), x -> pmod(x * 77, 256))", {"scores": [x * 77 % 256 for x in range(256)]}),
+])
+def test_sql_function_with_options(spark, named, options):
+    from kmerweave.operators import udtf
+
+    udtf.register(spark)
+    l = 4 if "scores" in options else 8
+    seqs = spark.createDataFrame([(0, F76 + "NN" + F76[::-1]), (1, None), (2, "ACGT")], "seq_id long, seq string")
+    seqs.createOrReplaceTempView("option_seqs")
+    got = spark.sql(f"select seq_id, s.* from option_seqs, lateral superkmers(seq, 31, {l}, 'syncmer', 'msp', {named}) s")
+    want = superkmers(seqs, 31, l, mode="msp", **options).select(got.columns)
+    assert want.count() and sorted(got.collect()) == sorted(want.collect())
