@@ -339,6 +339,39 @@ def test_neighbors_beside_a_longer_vector(spark):
     assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(0, i) for i in sorted(range(1, 30), key=lambda i: -float(x[i] @ x[0]))[:5]]
 
 
+def test_neighbors_of_repeated_rows(spark):
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 900 + [(0, x[0].tolist())] * 300
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for at in (0, 13):
+        score = {i: float((x[i] * x[at]).sum()) for i in range(40)}
+        best = sorted((i for i, _ in rows if i != at), key=lambda i: (-score[i], i))[:20]
+        # One block of vectors, and several: the same rows.
+        for block_rows in (8192, 8):
+            got = neighbors.search(vectors, vectors.where(f"vec_id = {at}"), block_rows=block_rows, share=1.0).orderBy("rank").collect()
+            assert [r.vec_id for r in got] == best and [r["rank"] for r in got] == list(range(1, 21))
+
+
+def test_op7_query(spark):
+    """The query's rows against brute force over the whole table: recall at its own parameters, exact scores, order."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r.vec_id is not None and r.embedding is not None]
+    rows = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = defaultdict(list)
+    for r in neighbors.op7_neighbors(spark, "/root/testdata/sf0.01").orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score, r["rank"]))
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[ids == q][0]
+        best = [i for _, i in sorted((-s, i) for s, i in zip(score.tolist(), ids.tolist(), strict=True) if i != q)][:20]
+        hits += len({i for i, _, _ in found} & set(best))
+        assert [r for _, _, r in found] == list(range(1, 21)) and q not in {i for i, _, _ in found}
+        assert all(abs(s - score[ids == i][0]) < 1e-12 for i, s, _ in found)
+        assert found == sorted(found, key=lambda t: (-t[1], t[0]))
+    assert hits >= 0.9 * 20 * len(got)
+
+
 # 10 substrings
 
 
