@@ -16,6 +16,8 @@ from kmerweave.llm.common import SPACED, chunks, durable, find_words, hash_runs,
 ANCHOR = 6
 #: Stands for a null doc_id in orders and joins: before all others.
 NO_ID = -(1 << 63)
+#: A path is hot if it holds more than one in HOT of all occurrences, so fewer than HOT paths are; each is split in SALTS.
+HOT, SALTS = 256, 32
 
 
 def paths(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -68,8 +70,8 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     4. Pieces of one anchor that differ may share some edges. Their first occurrences are opened again into edges,
        which alone are compared one by one, by hash: as each stands for all later ones, the outcome is that for all edges.
 
-    Words are parted by ASCII white space and compared as they are. Hot passages cost partial aggregates; the joins
-    that meet occurrences have them on one side only, from written tables, so that Spark can split a hot key. Null, empty or wordless text: no words, kept is empty.
+    Words are parted by ASCII white space and compared as they are. Hot passages cost partial aggregates, and the joins
+    that meet occurrences with their first place split them by a salt. Null, empty or wordless text: no words, kept is empty.
     Null doc_id: before all others. Rows of one doc_id are one document; equal rows don't remove each other's words. Other columns are not read.
     """
     if not 0 < window <= 65535:
@@ -117,9 +119,17 @@ def repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(path[fits]), pa.array(words, pa.binary())], names=["path", "source"])
 
     sources = placed.join(sourced, ["id", "tk"]).select("id", "tk", "text", "spans", "text_key").mapInArrow(quote, "path long, source binary")
-    heads = paths_found.selectExpr("path", "id as from_id", "start as from_start", "n")
-    later = known.select("path", "id", "loc").join(heads, "path").where("id <> from_id or shiftright(loc, 32) <> from_start")
-    later = later.join(sources, "path").selectExpr("id", "cast(shiftright(loc, 16) & 65535 as int) as tk", "shiftright(loc, 32) as start", "n", "source")
+    total = known.count()
+    hot = F.col("path").isin([r["path"] for r in pieces.where(F.col("c") * HOT > total).select("path").collect()])
+
+    def salted(df: DataFrame) -> DataFrame:
+        """One row a path, or one for each salt of a hot path."""
+        return df.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+    heads = salted(paths_found.selectExpr("path", "id as from_id", "start as from_start", "n"))
+    met = known.select("path", "id", "loc", F.when(hot, F.pmod(F.xxhash64("id", "loc"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    later = met.join(heads, ["path", "salt"]).where("id <> from_id or shiftright(loc, 32) <> from_start")
+    later = later.join(salted(sources), ["path", "salt"]).selectExpr("id", "cast(shiftright(loc, 16) & 65535 as int) as tk", "shiftright(loc, 32) as start", "n", "source")
     branches = durable(pieces.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select("anchor"))
     opened = pieces.join(branches, "anchor", "left_semi").groupBy("id", "tk").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
