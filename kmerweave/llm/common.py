@@ -91,6 +91,11 @@ def find_words(data: np.ndarray, at: np.ndarray, inside: np.ndarray):
     return starts, ends, np.searchsorted(starts, at)
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one run after the other."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
