@@ -11,12 +11,18 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from kmerweave.functions.scores import XOR, canonical, syncmer
-from kmerweave.operators.superkmers import each, fragments, framed, lmers, lowest, spread
+from kmerweave.functions.scores import XOR
+from kmerweave.operators.superkmers import NONE, Walk, back_values, both_strands, each, fragments, framed, lmers, lowest, minted, spread
 
 # The published ntHash seeds of A, C, G, T.
 SEEDS = np.array([0x3C8BFBB395C60474, 0x3193C18562A02B4C, 0x20323ED082572324, 0x295549F54BE24456], np.uint64)
-NONE = tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, bool),)
+#: The largest l: values of l-mers fit 62 bits, and where the minimizer's value is a column, an int.
+LONGEST, LONGEST_MINT = 31, 15
+
+
+def check(k: int, l: int, longest: int, least: int = 1) -> None:
+    if not least <= l <= min(k, longest):
+        raise ValueError(f"k >= l and {least} <= l <= {longest} are needed, not k={k}, l={l}")
 
 
 def nthash(codes: np.ndarray, l: int) -> np.ndarray:
@@ -70,13 +76,14 @@ def oriented(f, kmer, place, size, l: int, which):
 def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) -> DataFrame:
     """Leftmost smallest ntHash; a k-mer in which that hash stands more than once is parted from the one before.
     mint is 0; mpos and mint_is_rc are of the strand in which the minimizer stands nearer the start (for repeated
-    hashes: where it is first met; ties by the smaller strand)."""
+    hashes: where it is first met; ties by the smaller strand). l up to 31."""
+    check(k, l, LONGEST)
 
-    def cutter(data, offsets):
+    def cutter(data, offsets, *_):
         f = fragments(data, offsets, k, split_n)
         if not len(f.begin):
             return NONE
-        values, h = lmers(f.codes, l), nthash(f.codes, l)
+        h = nthash(f.codes, l)
         at, of = spread(f.begin, f.end - f.begin - k + 1)
         best = lowest(h, k - l + 1)
         many = best != lowest(h, k - l + 1, True)
@@ -85,7 +92,7 @@ def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) ->
         first, flip = oriented(f, kmer, place, size, l, ~many)
         # Where the hash repeats: the first place before its own at which the minimizer stands, on either strand.
         rows = np.flatnonzero(many)
-        canon = canonical(l)[0][values]
+        canon = both_strands(f.codes, l)[0]
         first[rows] = mpos = (place - kmer)[rows]
         j, of_row = spread(np.zeros(len(rows), np.int64), mpos)
         at_row, wanted = kmer[rows][of_row], canon[place[rows]][of_row]
@@ -101,24 +108,22 @@ def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) ->
     return each(df, k, cutter, **cols)
 
 
-def _minted(f, values, l, kmer, place, frag, size, strands):
-    canon, is_rc = canonical(l)
-    v = values[place]
-    mint, rc = (canon[v], is_rc[v]) if strands else (v, np.zeros(len(v), bool))
+def _sized(f, values, l, kmer, place, frag, size, strands):
+    value = values[place]
+    back = back_values(value, l)
+    mint, rc = (np.minimum(value, back), back < value) if strands else (value, np.zeros(len(value), bool))
     return f.row[frag], kmer - f.begin[frag] + f.offset[frag], mint, size, place - kmer, rc
 
 
 def hash_minimizers(df: DataFrame, k: int, l: int, strands: bool = True, split_n: bool = False, **cols) -> DataFrame:
-    """Leftmost smallest canonical ntHash of each k-mer. l up to 12."""
+    """Leftmost smallest canonical ntHash of each k-mer. l up to 15."""
+    check(k, l, LONGEST_MINT)
 
-    def cutter(data, offsets):
+    def cutter(data, offsets, *_):
         f = fragments(data, offsets, k, split_n)
         if not len(f.begin):
             return NONE
-        kmer, place, frag = framed(nthash(f.codes, l), f, k, l, False)
-        same = np.append(frag[1:] == frag[:-1], False)
-        size = np.where(same, np.append(kmer[1:], 0) + k - 1, f.end[frag]) - kmer
-        return _minted(f, lmers(f.codes, l), l, kmer, place, frag, size, strands)
+        return minted(f, lmers(f.codes, l), k, l, "hash", strands, *framed(nthash(f.codes, l), f, k, l, False))
 
     return each(df, k, cutter, **cols)
 
@@ -132,59 +137,69 @@ def candidate_syncmers(df: DataFrame, k: int, l: int, mode: str = "sticky", stra
     """
     if l % 2 == 0:
         raise ValueError("candidate syncmers need an odd l")
+    check(k, l, LONGEST_MINT, 3)
 
-    def cutter(data, offsets):
+    def ranked(data, offsets):
+        """The fragments, the l-mers' values, the best candidate of each window and whether it is one."""
         f = fragments(data, offsets, k, split_n)
         if not len(f.begin):
-            return NONE
-        values, w = lmers(f.codes, l), k - l + 1
+            return None
         parts = nthash(f.codes, 2)
         low = parts[lowest(parts, l - 1)]
         chosen = (parts[: len(low)] == low) | (parts[l - 2 :] == low)
-        canon = canonical(l)[0][values]
-        n = len(values)
-        at, of = spread(f.begin, f.end - f.begin - k + 1)
-        far = np.iinfo(np.int64).max
-        if mode == "sticky":
-            rank = np.where(chosen, (canon == 0).astype(np.int64), 2)
+        values = lmers(f.codes, l)
+        if mode in ("sticky", "classical"):
+            same = (values == 0) | (values == 4**l - 1) if mode == "sticky" else False
+            rank = np.where(chosen, np.where(same, 1, 0), 2)
         else:
-            rank = {"classical": np.zeros(n, np.int64), "msp": canon, "mspxor": canon ^ XOR}[mode]
-            rank = np.where(chosen, rank if mode == "classical" else rank + np.where(canon == 0, 1 << 32, 0), far)
-        place = lowest(rank, w, True)[at]
-        ok = chosen[place]
+            canon = both_strands(f.codes, l)[0]
+            rank = np.where(chosen, (canon ^ XOR if mode == "mspxor" else canon) + np.where(canon == 0, 1 << 32, 0), np.iinfo(np.int64).max)
+        place = lowest(rank, k - l + 1, True)
+        return f, values, place, chosen[place]
+
+    def walker(data, offsets):
+        found = ranked(data, offsets)
+        if found is None:
+            return None
+        f, values, place, ok = found
+        n, last = len(f.codes), f.last_kmers(k)
+        at = np.arange(len(place))
+        following = np.full(n, n)
+        then = np.where(ok, place, at) + 1
+        following[: len(place)] = np.where(then <= last[: len(place)], then, n)
+
+        def rows(kmer, node, frag):
+            held = ok[node]
+            node, frag = node[held], frag[held]
+            return _sized(f, values, l, node, place[node], frag, np.minimum(place[node], f.end[frag] - k) - node + k, strands)
+
+        return Walk(f, k, k - l + 1, following, following, f.begin, False, rows)
+
+    def cutter(data, offsets, *entered):
         if mode == "sticky":
-            pick = np.full(n, -1)
-            pick[at] = np.where(ok, place, -1)
-            kept, stop = pick.copy(), np.zeros(n, np.int64)
-            stop[at] = f.end[of] - k
-            # A place, once taken, stays while it is in the window: step all fragments on together.
-            now, last = f.begin.copy(), f.end - k
-            while len(now):
-                p = pick[now]
-                until = np.where(p >= 0, np.minimum(p, last), now)
-                x, y = spread(now, until - now + 1)
-                kept[x] = p[y]
-                now, last = until + 1, last
-                go = now <= last
-                now, last = now[go], last[go]
-            place, ok = kept[at], kept[at] >= 0
-        kmer, place, frag, size = runs(at, place, of, ok, k)
-        return _minted(f, values, l, kmer, place, frag, size, strands)
+            path = walker(data, offsets)
+            return path.rows(*path.travel(*entered)) if path else NONE
+        found = ranked(data, offsets)
+        if found is None:
+            return NONE
+        f, values, place, ok = found
+        at, of = spread(f.begin, f.end - f.begin - k + 1)
+        return _sized(f, values, l, *runs(at, place[at], of, ok[at], k), strands)
 
-    return each(df, k, cutter, **cols)
+    return each(df, k, cutter, walker=walker if mode == "sticky" else None, **cols)
 
 
 def naive_syncmers(df: DataFrame, k: int, l: int, rightmost: bool = True, split_n: bool = False, **cols) -> DataFrame:
     """The rightmost or leftmost closed syncmer of each k-mer, homopolymers among them; k-mers without one give no row.
-    mint is 0; mpos and mint_is_rc are of the strand in which the syncmer is nearer the start."""
+    mint is 0; mpos and mint_is_rc are of the strand in which the syncmer is nearer the start. l up to 31."""
+    check(k, l, LONGEST, 3)
 
-    def cutter(data, offsets):
+    def cutter(data, offsets, *_):
         f = fragments(data, offsets, k, split_n)
         if not len(f.begin):
             return NONE
-        table = syncmer(l)
-        table[[0, -1]] = 0
-        bad = table[lmers(f.codes, l)]
+        first = lowest(lmers(f.codes, 2), l - 1) - np.arange(max(0, len(f.codes) - l + 1))
+        bad = np.where((first == 0) | (first == l - 2), 0, 1)
         at, of = spread(f.begin, f.end - f.begin - k + 1)
         place = lowest(bad, k - l + 1, rightmost)[at]
         kmer, place, frag, size = runs(at, place, of, bad[place] == 0, k)
@@ -199,39 +214,37 @@ def multi_minimizers(df: DataFrame, k: int, l: int, n_hashes: int = 2, strands:
     scheme of equals). n_hashes is 1, 2, 3, 4, 8 or 16, and k - l even."""
     if n_hashes not in (1, 2, 3, 4, 8, 16) or (k - l) % 2:
         raise ValueError("n_hashes is 1, 2, 3, 4, 8 or 16, and k - l even")
+    check(k, l, LONGEST_MINT)
 
-    def cutter(data, offsets):
+    def walker(data, offsets):
         f = fragments(data, offsets, k, split_n)
         if not len(f.begin):
-            return NONE
-        values, w = lmers(f.codes, l), k - l + 1
-        canon = canonical(l)[0][values].astype(np.uint64)
-        at, of = spread(f.begin, f.end - f.begin - k + 1)
-        ends, places = [], []
+            return None
+        w, n, last = k - l + 1, len(f.codes), f.last_kmers(k)
+        canon = both_strands(f.codes, l)[0].astype(np.uint64)
+        n_kmers = n - k + 1
+        at, last = np.arange(n_kmers), last[:n_kmers]
+        stop, place = np.full(n_kmers, -1), np.zeros(n_kmers, np.int64)
         for j in range(n_hashes):
             h = (canon + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15 ^ (j * 0x1000003))
             h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            place = np.full(len(values), -1)
-            place[at] = lowest(h ^ h >> np.uint64(32), w)[at]
-            change = np.ones(len(at), bool)
-            change[1:] = (place[at[1:]] != place[at[:-1]]) | (of[1:] != of[:-1])
-            head = np.flatnonzero(change)
-            last = np.append(head[1:], len(at)) - 1
-            end = np.full(len(values), -1)
-            end[at] = at[last[np.cumsum(change) - 1]]
-            ends.append(end)
-            places.append(place)
-        ends, places = np.stack(ends), np.stack(places)
-        now, frag, out = f.begin.copy(), np.arange(len(f.begin)), []
-        while len(now):
-            j = ends[:, now].argmax(0)
-            stop = ends[j, now]
-            out.append((now, places[j, now], frag, stop - now + k))
-            now = stop + 1
-            go = now <= (f.end - k)[frag]
-            now, frag = now[go], frag[go]
-        kmer, place, frag, size = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(kmer, kind="stable")
-        return _minted(f, values, l, kmer[order], place[order], frag[order], size[order], strands)
-
-    return each(df, k, cutter, **cols)
+            best = lowest(h ^ h >> np.uint64(32), w)
+            # A run of one place ends where the place changes, or with the fragment.
+            change = np.flatnonzero(best[1:] != best[:-1])
+            end = np.minimum(np.append(change, n_kmers - 1)[np.searchsorted(change, at)], last)
+            longer = end > stop
+            stop, place = np.where(longer, end, stop), np.where(longer, best, place)
+        following = np.full(n, n)
+        following[:n_kmers] = np.where(stop + 1 <= last, stop + 1, n)
+        values = lmers(f.codes, l)
+
+        def rows(kmer, node, frag):
+            return _sized(f, values, l, node, place[node], frag, stop[node] - node + k, strands)
+
+        return Walk(f, k, w, following, following, f.begin, False, rows)
+
+    def cutter(data, offsets, *entered):
+        path = walker(data, offsets)
+        return path.rows(*path.travel(*entered)) if path else NONE
+
+    return each(df, k, cutter, walker=walker, **cols)

@@ -1,17 +1,18 @@
-"""Superkmers: runs of consecutive k-mers that share a minimizer, as one narrow Arrow pass over sequences."""
+"""Superkmers: runs of consecutive k-mers that share a minimizer, as one narrow Arrow pass over sequences or over pieces of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerweave.functions.scores import canonical, score_table
+from kmerweave.functions.scores import score_table
+from kmerweave.operators import pieces as cuts
 
 SCHEMA = "seq_id long, start long, mint int, size int, mpos int, mint_is_rc boolean"
 MODES = ("sticky", "classical", "msp", "mspxor")
@@ -35,6 +36,12 @@ class Fragments:
     row: np.ndarray
     offset: np.ndarray
 
+    def last_kmers(self, k: int) -> np.ndarray:
+        """For each base its fragment's last k-mer; -1 outside."""
+        ends = np.stack([self.begin, self.end], 1).ravel()
+        values = np.stack([np.full(len(self.begin), -1), self.end - k], 1).ravel()
+        return np.repeat(np.append(values, -1), np.diff(np.concatenate([[0], ends, [len(self.codes)]])))
+
 
 def fragments(data: np.ndarray, at: np.ndarray, k: int, split_n: bool) -> Fragments:
     """Whole sequences or, with split_n, their stretches between N; those shorter than k are left out."""
@@ -62,6 +69,20 @@ def lmers(codes: np.ndarray, l: int) -> np.ndarray:
     return both if l % 2 == 0 else both[: max(0, len(codes) - l + 1)] << 2 | codes[l - 1 :]
 
 
+def back_values(values: np.ndarray, l: int) -> np.ndarray:
+    """The values of the l-mers' reverse complements."""
+    out = np.zeros_like(values)
+    for i in range(l):
+        out = out << 2 | (3 - (values >> 2 * i & 3))
+    return out
+
+
+def both_strands(codes: np.ndarray, l: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the smaller strand's value, whether that is the reverse complement's) of the l-mer at each base; no table of l-mers."""
+    fwd, back = lmers(codes, l), lmers(3 - codes[::-1], l)[::-1]
+    return np.minimum(fwd, back), back < fwd
+
+
 def least_of(values: np.ndarray, w: int) -> np.ndarray:
     """The smallest of each w neighbours, from windows of half the size."""
     span = 1
@@ -110,52 +131,135 @@ def framed(score: np.ndarray, f: Fragments, k: int, l: int, rightmost: bool) ->
     return at[new], place[new], of[new]
 
 
-def sticky(score: np.ndarray, f: Fragments, k: int, l: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same where a minimizer stays until it leaves the window (then the rightmost smallest follows) or a strictly
-    smaller l-mer enters. What follows a place depends on that place alone, so all fragments step on together."""
-    w = k - l + 1
-    padded = np.concatenate([score, np.full(w, np.iinfo(np.int64).max)])
-    view = sliding_window_view(padded, w)
-    kmer, place, live = f.begin.copy(), np.zeros(len(f.begin), np.int64), np.arange(len(f.begin))
-    last = f.end - k  # last k-mer of each fragment
-    rightmost = lambda at: at + w - 1 - view[at][:, ::-1].argmin(1)
-    place = rightmost(kmer) if len(kmer) else place
-    out = []
-    while len(live):
-        out.append((kmer, place, live))
-        ahead = view[place][:, 1:] < score[place][:, None]
-        smaller = np.where(ahead.any(1), place + 1 + ahead.argmax(1), np.iinfo(np.int64).max // 2) if w > 1 else np.full(len(place), np.iinfo(np.int64).max // 2)
-        enters = smaller - w + 1 <= place
-        kmer = np.where(enters, smaller - w + 1, place + 1)
-        more = kmer <= last[live]
-        kmer, smaller, enters, live = kmer[more], smaller[more], enters[more], live[more]
-        place = np.where(enters, smaller, rightmost(kmer)) if len(kmer) else kmer
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    kmer, place, of = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.argsort(kmer, kind="stable")
-    return kmer[order], place[order], of[order]
-
-
-def cut(data: np.ndarray, at: np.ndarray, k: int, l: int, family: str, mode: str, strands: bool, split_n: bool, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, mint, size, mpos, mint_is_rc) of the superkmers of joined sequences."""
+@dataclass
+class Walk:
+    """A rule that carries state along a fragment, as a graph: which node follows each, and the k-mer at which it starts.
+
+    Nodes are bases: a minimizer's place (``by_place``) or a superkmer's first k-mer. What follows a node depends on that node
+    alone. ``roots`` has each fragment's first node; the number of bases stands for none. ``rows`` makes superkmers of
+    the nodes passed.
+    """
+
+    f: Fragments
+    k: int
+    w: int
+    following: np.ndarray
+    starts: np.ndarray
+    roots: np.ndarray
+    by_place: bool
+    rows: Callable
+
+    def travel(self, lead: np.ndarray | None = None, enter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(k-mer, node, fragment) of the nodes on all fragments' paths. A fragment that begins in the base before a piece is entered: at
+        the place, ``enter`` bases on, that the k-mer before the piece has (a node of an earlier piece), or at the first k-mer from the
+        piece's own on, ``enter`` bases on, that starts a superkmer."""
+        f, n = self.f, len(self.following)
+        roots = self.roots.copy()
+        if lead is not None:
+            inside = np.flatnonzero((f.offset == 0) & (lead[f.row] > 0))
+            node = f.begin[inside] + enter[f.row[inside]] + (0 if self.by_place else 1)
+            roots[inside] = np.where(self.by_place | (node <= f.end[inside] - self.k), node, n)
+        node = passed(self.following, roots[roots < n])
+        of = np.searchsorted(f.begin, node, "right") - 1
+        if not self.by_place or not len(node):
+            return node, node, of
+        head = np.append(True, of[1:] != of[:-1])
+        return np.where(head, f.begin[of], np.append(0, self.starts[node[:-1]])), node, of
+
+    def reach(self, border: int, nodes: np.ndarray) -> np.ndarray:
+        """From each node on to the place that the k-mer before the border has, or else to the first superkmer that starts there or beyond."""
+        n = len(self.following)
+        while True:
+            go = (self.starts[nodes] < border) & (self.following[nodes] < n) if self.by_place else nodes < border
+            if not go.any():
+                return nodes
+            nodes = np.where(go, self.following[np.minimum(nodes, n - 1)], nodes)
+
+    def leaving(self, border: int, lead: int, own: int, context: int) -> np.ndarray | None:
+        """How the walk comes to k-mer ``border``, the first that is not the piece's: bases to its node. One number where it is
+        known, else one for each way into the piece, as ``travel`` takes them; None where no fragment crosses the border.
+
+        Walks that meet stay together, so it is mostly known from the ``context`` bases before, into which all ways are tried.
+        """
+        f = self.f
+        g = int(np.searchsorted(f.begin, border - 1, "right")) - 1
+        if g < 0 or f.begin[g] > border - 1 or f.end[g] - self.k < border:
+            return None
+        ways, base = (self.w, border - 1) if self.by_place else (self.w + 1, border)
+        whole = f.offset[g] > 0 or lead == 0  # the fragment begins in this piece
+        at = max(int(f.begin[g]), border - context)
+        if at > f.begin[g]:
+            met = np.unique(self.reach(border, at + np.arange(ways)))
+            if len(met) == 1:
+                return np.minimum(met - base, self.w + 1)
+        entered = self.roots[g : g + 1] if whole else base - own + np.arange(ways)
+        return np.minimum(self.reach(border, entered) - base, self.w + 1)  # beyond: none, as the fragment ends
+
+
+def passed(following: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """All nodes on the paths from the roots, in order: each round doubles the steps known."""
+    n = len(following)
+    seen, jump = np.zeros(n + 1, bool), np.append(following, n)
+    seen[roots] = True
+    while True:
+        nodes = np.flatnonzero(seen[:n])
+        ahead = jump[nodes]
+        ahead = ahead[ahead < n]
+        if not len(ahead):
+            return nodes
+        seen[ahead] = True
+        jump = jump[jump]
+
+
+def sticky(score: np.ndarray, f: Fragments, k: int, l: int, rows: Callable) -> Walk:
+    """A minimizer stays until it leaves the window (then the rightmost smallest follows) or a strictly smaller l-mer enters."""
+    w, n = k - l + 1, len(score)
+    best = lowest(score, w, True)
+    after = np.full(n, w)  # to the first smaller l-mer
+    for j in range(w - 1, 0, -1):
+        np.copyto(after[: n - j], j, where=score[j:] < score[: n - j])
+    place = np.arange(n)
+    enters = after < w
+    starts = place + np.where(enters, after - w + 1, 1)
+    then = np.where(enters, place + after, best[np.minimum(place + 1, len(best) - 1)])
+    return Walk(f, k, w, np.where(starts <= f.last_kmers(k)[:n], then, n), starts, best[f.begin], True, rows)
+
+
+def ends(f: Fragments, kmer: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    """Where the superkmers from these first k-mers end: with the one before the next's, or with the fragment."""
+    same = np.append(of[1:] == of[:-1], False)
+    return np.where(same, np.append(kmer[1:], 0) + k - 1, f.end[of])
+
+
+def walk(data: np.ndarray, at: np.ndarray, k: int, l: int, family: str, strands: bool, split_n: bool, table: np.ndarray) -> Walk | None:
+    """The walk of a family's sticky rule over joined sequences; None without fragments."""
     f = fragments(data, at, k, split_n)
     values = lmers(f.codes, l)
-    if not len(f.begin):
-        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, bool),)
-    score = table[values]
-    kmer, place, of = sticky(score, f, k, l) if mode == "sticky" else framed(score, f, k, l, mode == "classical")
-    same = np.append(of[1:] == of[:-1], False)
-    stop = np.where(same, np.append(kmer[1:], 0) + k - 1, f.end[of])
+    return sticky(table[values], f, k, l, partial(minted, f, values, k, l, family, strands)) if len(f.begin) else None
+
+
+def minted(f: Fragments, values: np.ndarray, k: int, l: int, family: str, strands: bool, kmer: np.ndarray, place: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
     value = values[place]
-    canon, is_rc = canonical(l)
-    if family == "lexicographic":
-        mint, rc = value, np.zeros(len(value), bool)
-    elif family == "kmc2":
-        mint, rc = canon[value], np.zeros(len(value), bool)
-    else:
-        mint, rc = (canon[value], is_rc[value]) if strands else (value, np.zeros(len(value), bool))
-    return f.row[of], kmer - f.begin[of] + f.offset[of], mint, stop - kmer, place - kmer, rc
+    back = back_values(value, l)
+    mint, rc = (value, np.zeros(len(value), bool)) if family == "lexicographic" or (not strands and family != "kmc2") else (np.minimum(value, back), back < value)
+    if family == "kmc2":
+        rc = np.zeros(len(value), bool)
+    return f.row[of], kmer - f.begin[of] + f.offset[of], mint, ends(f, kmer, of, k) - kmer, place - kmer, rc
+
+
+NONE = tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, bool),)
+
+
+def cut(data: np.ndarray, at: np.ndarray, k: int, l: int, family: str, mode: str, strands: bool, split_n: bool, table: np.ndarray, lead: np.ndarray | None = None, enter: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, start, mint, size, mpos, mint_is_rc) of the superkmers of joined sequences or pieces."""
+    if mode == "sticky":
+        path = walk(data, at, k, l, family, strands, split_n, table)
+        return path.rows(*path.travel(lead, enter)) if path else NONE
+    f = fragments(data, at, k, split_n)
+    if not len(f.begin):
+        return NONE
+    values = lmers(f.codes, l)
+    return minted(f, values, k, l, family, strands, *framed(table[values], f, k, l, mode == "classical"))
 
 
 def check(k: int, l: int, family: str, mode: str) -> None:
@@ -167,48 +271,71 @@ def check(k: int, l: int, family: str, mode: str) -> None:
         raise ValueError(f"{family} has the sticky mode only")
 
 
-def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str = "mspxor", canonical: bool = True, split_n: bool = False, s: int = 2, scores: list[int] | None = None, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False) -> DataFrame:
+def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str = "mspxor", canonical: bool = True, split_n: bool = False, s: int = 2, scores: list[int] | None = None, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False, piece: int | None = None) -> DataFrame:
     """The superkmers of each sequence: SCHEMA, with ``text`` also each one's bases, in no order.
 
     One narrow pass: a task reads Arrow batches of sequences and cuts them in numpy, so that nothing is exploded to
     bases or shuffled. mpos is relative to start. scores replaces the family's table (4^l numbers). Sequences shorter
-    than k, empty or null give no rows. A sequence is cut by one task whole.
+    than k, empty or null give no rows.
+
+    A sequence is cut by one task, unless ``piece`` is given: then it is cut in pieces of so many bases by any number of tasks,
+    with the same rows. df may hold pieces itself, as ``pieces.of_parts`` and FASTA files give them. See ``pieces.cut_pieces``.
     """
     check(k, l, family, mode)
     own = np.array(scores, np.int64) if scores is not None else None
+    table = lambda: score_table(family, mode, l, s) if own is None else own
 
-    def cutter(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        return cut(data, at, k, l, family, mode, canonical, split_n, score_table(family, mode, l, s) if own is None else own)
+    def cutter(data: np.ndarray, at: np.ndarray, *entered) -> tuple[np.ndarray, ...]:
+        return cut(data, at, k, l, family, mode, canonical, split_n, table(), *entered)
 
-    return each(df, k, cutter, id_col, seq_col, text)
+    def walker(data: np.ndarray, at: np.ndarray) -> Walk | None:
+        return walk(data, at, k, l, family, canonical, split_n, table())
 
+    return each(df, k, cutter, id_col, seq_col, text, piece, walker if mode == "sticky" else None)
 
-def each(df: DataFrame, k: int, cutter, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False) -> DataFrame:
+
+def each(df: DataFrame, k: int, cutter, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False, piece: int | None = None, walker=None) -> DataFrame:
     """SCHEMA rows of a cutter (joined bases, their offsets -> row, start, mint, size, mpos, mint_is_rc), over Arrow batches;
     with ``text`` also the superkmers' bases. Short and null sequences are left to the cutter: a filter before the pass
-    would compute derived sequences twice."""
-    schema = SCHEMA + ", text string" if text else SCHEMA
+    would compute derived sequences twice. walker: the Walk of the same rule, where one piece's rows depend on the pieces before."""
+    if piece is not None or cuts.holds_pieces(df):
+        whole = df if cuts.holds_pieces(df) else cuts.of_sequences(df, k, piece, id_col, seq_col)
+        return cuts.cut_pieces(whole, k, cutter, walker, text)
+    return df.select(F.col(id_col).cast("long"), F.col(seq_col)).mapInArrow(partial(superkmer_batches, cutter, text), schema(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, data, at in joined_bases(batch):
-                row, start, mint, size, mpos, rc = cutter(data, at)
-                columns = [ids.take(pa.array(row)), pa.array(start), *(pa.array(x.astype(np.int32)) for x in (mint, size, mpos)), pa.array(rc)]
-                if text:
-                    bases, ends = data[spread(at[row] + start, size)[0]], np.append(0, np.cumsum(size))
-                    columns.append(pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(bases)).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return df.select(F.col(id_col).cast("long"), F.col(seq_col)).mapInArrow(run, schema)
+def schema(text: bool) -> str:
+    return SCHEMA + ", text string" if text else SCHEMA
+
+
+def superkmer_batches(cutter, text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Superkmers of batches of (id, bases) or of pieces (id, bases, offset, lead, own, enter)."""
+    names = [c.split()[0] for c in schema(text).split(", ")]
+    for batch in batches:
+        for part, data, at in joined_bases(batch):
+            ids, shift = part.column(0), None
+            if part.num_columns == 2:
+                row, start, mint, size, mpos, rc = cutter(data, at)
+            else:
+                offset, lead, own, enter = (np.asarray(part.column(i).fill_null(0)).astype(np.int64) for i in range(2, 6))
+                found = cutter(data, at, lead, enter)
+                mine = (found[1] >= lead[found[0]]) & (found[1] < (lead + own)[found[0]])
+                row, start, mint, size, mpos, rc = (x[mine] for x in found)
+                shift = (offset - lead)[row]
+            columns = [ids.take(pa.array(row)), pa.array(start if shift is None else start + shift), *(pa.array(x.astype(np.int32)) for x in (mint, size, mpos)), pa.array(rc)]
+            if text:
+                bases, stops = data[spread(at[row] + start, size)[0]], np.append(0, np.cumsum(size))
+                columns.append(pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(bases)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def joined_bases(batch: pa.RecordBatch):
-    """Slices of a batch (id, sequence) of about CHUNK bases, one row at least: (ids, joined bases, offsets of the rows in them)."""
-    seqs = batch.column(1).fill_null("").cast(pa.large_string())
+    """Slices of a batch (id, bases, ...) of about CHUNK bases, one row at least: (slice, joined bases, offsets of the rows in them)."""
+    seqs = batch.column(1).cast(pa.large_binary()).fill_null(b"")
     at = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1] if len(seqs) else np.zeros(1, np.int64)
     data = np.frombuffer(seqs.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(seqs):
         j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-        yield batch.column(0).slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
+        yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j

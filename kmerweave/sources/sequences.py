@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kmerweave.operators import pieces
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, header, seq) of FASTA files: records begin with >, their lines are trimmed and joined, empty ones dropped.
 
-    Spark's text reader splits files at record starts, so large files are read in parallel. seq_id follows file order
-    within a partition and is unique.
+    For records that fit a row; the text reader splits files at record starts. Chromosomes: see read_fasta_pieces. seq_id follows
+    file order within a partition and is unique.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), F.monotonically_increasing_id().alias("seq_id"))
     lines = F.split("value", "\n")
@@ -19,8 +24,81 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_first_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """The first record's second line."""
-    return read_fasta(spark, path).orderBy("seq_id").limit(1)
+    """(seq_id, header, seq) of the first record that has bases. It is found from the files' record counts; only its lines are put together."""
+    parts, records = fasta_parts(spark, path)
+    first = records.where("length > 0").orderBy("file", "record").limit(1)
+    lines = parts.join(F.broadcast(first), ["file", "record"], "left_semi").groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return lines.join(F.broadcast(first), ["file", "record"]).select(F.lit(0).cast("long").alias("seq_id"), "header", "seq")
+
+
+def fasta_parts(spark: SparkSession, path: str, bases: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """FASTA files of any sizes, split at any line: parts (file, record, offset, seq) and records (file, record, header, length).
+
+    The text reader's splits end at lines, also within a record. A narrow pass joins a split's lines to stretches of about ``bases``
+    bases, numbered within the split; what a split adds to the record that is open where it begins follows from one row for each
+    split, by a window over each file's splits. record counts a file's records from 0, whatever the splits, so it is a stable id.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "block", "nth", "header", "offset", "seq"]
+        split, nth, offset, held, size, rows = None, 0, 0, [], 0, []
+
+        def close() -> None:
+            nonlocal held, size, offset
+            if held:
+                rows.append((*split, nth, None, offset, "".join(held)))
+                offset += size
+            held, size = [], 0
+
+        for batch in batches:
+            for file, block, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != split:
+                    close()
+                    split, nth, offset = (file, block), 0, 0
+                if line.startswith(">"):
+                    close()
+                    nth, offset = nth + 1, 0
+                    rows.append((*split, nth, line[1:].strip(), 0, ""))
+                elif line := line.strip():
+                    held.append(line)
+                    size += len(line)
+                    if size >= bases:
+                        close()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=names)
+                rows.clear()
+        close()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], names=names)
+
+    found = lines.mapInArrow(stretches, "file string, block long, nth long, header string, offset long, seq string")
+    # Of each split: its headers, and the bases before the first and behind the last.
+    n = F.length("seq").cast("long")
+    split = found.groupBy("file", "block", "nth").agg(F.sum(n).alias("n")).groupBy("file", "block").agg(F.max("nth").alias("headers"), F.sum(F.when(F.col("nth") == 0, F.col("n"))).alias("before"), F.max_by("n", "nth").alias("behind"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.sum("headers").over(earlier), F.lit(0))
+    counted = split.withColumns({"opened": opened, "adds": F.when(F.col("headers") > 0, F.col("behind")).otherwise(F.coalesce("before", F.lit(0)))})
+    # Bases of the open record before the split: what the splits from the one that opened it have added.
+    in_record = counted.withColumn("after", F.col("opened") + F.col("headers"))
+    adds = F.coalesce(F.sum("adds").over(Window.partitionBy("file", "after").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    running = in_record.withColumn("sum", adds).withColumn("done", F.lag("sum").over(Window.partitionBy("file").orderBy("block"))).select("file", "block", "opened", F.coalesce("done", F.lit(0)).alias("done"))
+    placed = found.join(running, ["file", "block"]).select("file", (F.col("opened") + F.col("nth") - 1).alias("record"), (F.col("offset") + F.when(F.col("nth") == 0, F.col("done")).otherwise(0)).alias("offset"), "header", "seq")
+    parts = placed.where("seq <> '' and record >= 0").select("file", "record", "offset", "seq")
+    records = placed.where("record >= 0").groupBy("file", "record").agg(F.max("header").alias("header"), F.sum(F.length("seq").cast("long")).alias("length"))
+    return parts, records
+
+
+def read_fasta_pieces(spark: SparkSession, path: str, k: int, size: int = pieces.SIZE) -> tuple[DataFrame, DataFrame]:
+    """(pieces, records) of FASTA files whose records may be far larger than a row: pieces for ``superkmers`` and the like, which many
+    tasks read and cut, and (seq_id, file, record, header, length). seq_id is the record's number in its file, and
+    above bit 40 the file's number in the order of the paths. Text before a file's first header belongs to no record; records
+    without bases have no pieces."""
+    parts, records = fasta_parts(spark, path)
+    files = records.select("file").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("file")) - 1)
+    ids = lambda df: df.join(files, "file").withColumn("seq_id", F.shiftleft(F.col("n").cast("long"), 40) + F.col("record"))
+    return pieces.of_parts(ids(parts).select("seq_id", "offset", "seq"), k, size), ids(records).select("seq_id", "file", "record", "header", "length")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +107,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("seq <> '' and not startswith(seq, '>')")
 
 
-def write_fasta(df: DataFrame, path: str, header: str = "seq_id") -> None:
-    df.select(F.concat(F.lit(">"), F.col(header).cast("string"), F.lit("\n"), F.col("seq")).alias("value")).write.text(path)
+def write_fasta(df: DataFrame, path: str, header: str = "seq_id", width: int | None = None) -> None:
+    """Records of (header, seq); with a width, in lines of so many bases."""
+    seq = F.col("seq") if width is None else F.regexp_replace("seq", f"(.{{{width}}})(?=.)", "$1\n")
+    df.select(F.concat(F.lit(">"), F.col(header).cast("string"), F.lit("\n"), seq).alias("value")).write.text(path)
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +120,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("seq_id"), F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
 
 
+def joined_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, offset, seq): parts of a sequence for each customer, the reads of its orders one after the other."""
+    key = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("key"), F.col("o_custkey").cast("bigint").alias("seq_id"))
+    one = reads(spark, sf_dir).withColumnRenamed("seq_id", "key").join(key, "key")
+    before = F.row_number().over(Window.partitionBy("seq_id").orderBy("key")) - 1
+    return one.select("seq_id", (before * 160).cast("long").alias("offset"), "seq")
+
+
 def texts(spark: SparkSession, sf_dir: str, breaks: bool = False) -> DataFrame:
     """(seq_id, seq): a lower-case sequence for each document, from its letters; with breaks, n where a line ends."""
     letters = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac")

@@ -14,6 +14,8 @@ from kmerweave.plans import relational
 from kmerweave.sources.sequences import random_dna
 
 F76 = "ATCCCGGCCCCGGCAGAACCGACCTATCGTTCTAACGTAAACGTCAAACACACGTTTGATAACTTCGTTGAAGGTA"
+# Public genome data, of which F76 is the beginning.
+F220 = F76 + "AATCTAACCAACTGGCGCGCGCGGCGGCTCGCCAGGTGGCGGATAACCCTGGCGGTGCCTATAACCCGTTGTTCCTTTATGGCGGCACGGGTCTGGGTAAAACTCACCTGCTGCATGCGGTGGGTAACGGCATTATGGCGCGCA"
 SEQS = {"F76": F76, "LCG150": random_dna(150, 42), "POLYA100": "A" * 100, "AC150": "AC" * 75}
 GOLDEN = [
     ("F76", "syncmer", "sticky", 31, 8, "f54012723c2a"), ("F76", "syncmer", "classical", 31, 8, "0239894f0abf"), ("F76", "syncmer", "msp", 31, 8, "aaf6e5d0ab8b"),
@@ -112,6 +114,76 @@ def test_hashed_cover_at_most_once(spark, fn, options):
             assert len(seen) == 270
 
 
+def plain_quarantine(seq, k, l):
+    """(start, size, mpos, flip) by the rule, window by window, on texts and Python integers."""
+    rc = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    rol = lambda x, r: (x << r % 64 | x >> (64 - r % 64)) & (2**64 - 1) if r % 64 else x
+    seeds = dict(zip("ACGT", map(int, hashed.SEEDS), strict=True))
+
+    def h(t):
+        def one(t):
+            x = 0
+            for i, c in enumerate(t):
+                x ^= rol(seeds[c], l - 1 - i)
+            return x
+
+        return min(one(t), one(rc(t)))
+
+    hashes, out = [h(seq[i : i + l]) for i in range(len(seq) - l + 1)], []
+    runs = []
+    for i in range(len(seq) - k + 1):
+        window = hashes[i : i + k - l + 1]
+        place, many = i + window.index(min(window)), window.count(min(window)) > 1
+        if runs and runs[-1][1] == place and not many:
+            runs[-1][2] = i
+        else:
+            runs.append([i, place, i, many])
+    for first, place, last, many in runs:
+        text = seq[first : last + k]
+        back, mpos = rc(text), place - first
+        if not many:
+            right = len(text) - mpos - l
+            flip = right < mpos or (right == mpos and back < text)
+            mpos = min(mpos, right)
+        else:
+            m = {text[mpos : mpos + l], rc(text[mpos : mpos + l])}
+            flip, mpos = next(((back[j : j + l] in m and (text[j : j + l] not in m or back < text), j) for j in range(mpos) if text[j : j + l] in m or back[j : j + l] in m), (False, mpos))
+        out.append((first, len(text), mpos, flip))
+    return out
+
+
+QUARANTINE = [("F76", 31, 8, "4d9af4a13d01"), ("F220", 31, 8, "0d5c746d3a25"), ("F220", 21, 5, "d379268d76a3"), ("LCG150", 31, 8, "d5392887a727"), ("LCG2000", 31, 8, "c5d6a98086a4"), ("LCG2000", 21, 5, "9c565dbcc667")]
+
+
+@pytest.mark.parametrize("name,k,l,want", QUARANTINE)
+def test_golden_quarantine(spark, name, k, l, want):
+    seq = {**SEQS, "F220": F220, "LCG2000": random_dna(2000, 5)}[name]
+    rows = sorted(hashed.quarantine(spark.createDataFrame([(0, seq)], "seq_id long, seq string"), k, l).select("start", "size", "mpos", "mint_is_rc").collect())
+    assert hashlib.md5("\n".join(f"{a},{b},{c},{int(d)}" for a, b, c, d in rows).encode()).hexdigest()[:12] == want
+
+
+@pytest.mark.parametrize("k", [17, 21, 31, 41])
+def test_quarantine_by_the_rule(spark, k):
+    seqs = [F220, random_dna(400, 3), "AC" * 60 + random_dna(80, 4), "A" * 90, random_dna(k, 8), "ACGT" * 30]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").cache()
+    for l in (4, 5, 7, 11, 14):
+        got = sorted(map(tuple, hashed.quarantine(df, k, l).select("seq_id", "start", "size", "mpos", "mint_is_rc").collect()))
+        assert got == [(i, *r) for i, s in enumerate(seqs) for r in plain_quarantine(s, k, l)], l
+    df.unpersist()
+
+
+@pytest.mark.parametrize("fn", [hashed.hash_minimizers, hashed.candidate_syncmers, hashed.multi_minimizers])
+def test_limits_of_l(spark, fn):
+    df = spark.createDataFrame([(0, random_dna(300, 2))], "seq_id long, seq string")
+    assert fn(df, 31, 13).count() and fn(df, 31, 15).count()
+    for l in (17, 33, 0):
+        with pytest.raises(ValueError):
+            fn(df, 31, l)
+    with pytest.raises(ValueError):
+        hashed.quarantine(df, 41, 32)
+    assert hashed.quarantine(df, 41, 31).count() and hashed.naive_syncmers(df, 41, 31).count()
+
+
 def test_sql_functions(spark):
     from kmerweave.operators import udtf
 
