@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerweave.functions.dna import canonical_kmer
-from kmerweave.operators.superkmers import fragments, joined_bases, lmers, spread
+from kmerweave.functions.dna import canonical_kmer, decode_kmer
+from kmerweave.functions.scores import score_table
+from kmerweave.operators.superkmers import back_values, cut, fragments, joined_bases, lmers, spread
+from kmerweave.storage import new_path
 
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)
 
@@ -18,22 +20,32 @@ def bucket_counts(sk: DataFrame, k: int) -> DataFrame:
     return sk.groupBy("mint").agg(F.sum(F.col("size") - (k - 1)).cast("bigint").alias("kmers"), F.count("*").alias("superkmers"))
 
 
+def ranked_sizes(counts: DataFrame) -> DataFrame:
+    """(kmers, c, superkmers, from, n): each size of a bucket, how many buckets have it and how many are smaller, and all buckets.
+
+    All statistics follow from this table, which has a row for each different size: partial aggregates keep it small, and the
+    running sum is over it, not over the buckets.
+    """
+    sizes = counts.groupBy("kmers").agg(F.count("*").alias("c"), F.sum("superkmers").alias("superkmers"))
+    below = F.sum("c").over(Window.orderBy("kmers").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("kmers", "c", "superkmers", F.coalesce(below, F.lit(0)).alias("from"), F.sum("c").over(Window.partitionBy()).alias("n"))
+
+
+def _is_at(at: str) -> str:
+    return f"{at} >= `from` and {at} < `from` + c"
+
+
 def bucket_stats(counts: DataFrame) -> DataFrame:
     """One row: totals, distinct minimizers, mean, median (at index n div 2), least and most k-mers, and most by mean and median."""
-    whole = counts.agg(F.count("*").alias("minimizers"), F.sum("kmers").cast("bigint").alias("kmers"), F.sum("superkmers").cast("bigint").alias("superkmers"), F.avg("kmers").alias("mean"), F.min("kmers").alias("least"), F.max("kmers").alias("most"))
-    middle = percentiles(counts, (50,)).agg(F.max("kmers").alias("median"))
-    return whole.join(middle, how="cross").withColumn("most_by_mean", F.col("most") / F.col("mean")).withColumn("most_by_median", F.col("most") / F.col("median"))
+    total = F.sum(F.col("kmers") * F.col("c"))
+    whole = ranked_sizes(counts).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("minimizers"), total.cast("bigint").alias("kmers"), F.sum("superkmers").cast("bigint").alias("superkmers"), (total.cast("double") / F.sum("c")).alias("mean"), F.min("kmers").alias("least"), F.max("kmers").alias("most"), F.max(F.expr(f"case when {_is_at('n div 2')} then kmers end")).alias("median"))
+    return whole.withColumn("most_by_mean", F.col("most") / F.col("mean")).withColumn("most_by_median", F.col("most") / F.col("median"))
 
 
 def percentiles(counts: DataFrame, ps: tuple[int, ...] = (1, 5, 25, 50, 75, 90, 95, 99)) -> DataFrame:
-    """(p, kmers): the value at 0-based index n * p div 100 of the ascending sizes.
-
-    Sizes are first counted by value, which partial aggregates keep small; the running sum is over distinct sizes.
-    """
-    sizes = counts.groupBy("kmers").agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy("kmers").rowsBetween(Window.unboundedPreceding, -1))
-    ranged = sizes.select("kmers", "c", F.coalesce(below, F.lit(0)).alias("from"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    return ranged.withColumn("p", F.explode(F.array(*map(F.lit, ps)))).withColumn("at", F.expr("n * p div 100")).where("at >= `from` and at < `from` + c").select("p", "kmers")
+    """(p, kmers): the value at 0-based index n * p div 100 of the ascending sizes."""
+    at = ranked_sizes(counts).withColumn("p", F.explode(F.array(*map(F.lit, ps)))).withColumn("at", F.expr("n * p div 100"))
+    return at.where(_is_at("at")).select("p", "kmers")
 
 
 def histogram(counts: DataFrame) -> DataFrame:
@@ -88,24 +100,35 @@ def count_by_bucket(sk: DataFrame, k: int) -> DataFrame:
     return cut.groupBy(canonical_kmer("kmer").alias("kmer")).agg(F.sum("n").cast("bigint").alias("count"))
 
 
-def count_kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, count) of canonical k-mers of (seq_id, seq), k up to 31; letters other than ACGT count as A.
+#: What stands for a superkmer when it is dealt out: its first and last k-mer and how many k-mers it has more.
+PACKED = np.dtype([("first", "<i8"), ("last", "<i8"), ("more", "u1")])
 
-    A narrow pass makes k-mers as numbers and counts them within a chunk of bases; the only exchange moves numbers and
-    partial counts by k-mer, so a frequent k-mer costs a row a chunk. Texts are made at the end.
-    """
-    if not 0 < k <= 31:
-        raise ValueError("k of 1 to 31 is needed")
 
-    def number(batches):
-        for batch in batches:
-            for _, data, at in joined_bases(batch):
-                f = fragments(data, at, k, False)
-                if len(f.begin):
-                    fwd = lmers(f.codes, k)
-                    back = lmers(3 - f.codes[::-1], k)[::-1]
-                    kmers, n = np.unique(np.minimum(fwd, back)[spread(f.begin, f.end - f.begin - k + 1)[0]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(kmers), pa.array(n)], names=["kmer", "n"])
+def _canonical(kmers: np.ndarray, k: int) -> np.ndarray:
+    return np.minimum(kmers, back_values(kmers, k))
+
+
+def expand(packed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-mers of packed superkmers, as numbers on their own strand, and which superkmer each is of."""
+    more = packed["more"].astype(np.int64)
+    i, of = spread(np.zeros(len(packed), np.int64), more + 1)
+    rest = packed["last"][of] & (np.int64(1) << 2 * more[of]) - 1
+    return ((packed["first"][of] << 2 * i) | rest >> 2 * (more[of] - i)) & (np.int64(1) << 2 * k) - 1, of
+
+
+def _packed_superkmers(data: np.ndarray, at: np.ndarray, k: int, l: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minimizers, packed superkmers) of joined sequences in the mspxor mode, where equal canonical k-mers have one minimizer."""
+    row, start, mint, size, _, _ = cut(data, at, k, l, "syncmer", "mspxor", True, False, score_table("syncmer", "mspxor", l, 2 if l > 2 else 1))
+    out = np.empty(len(row), PACKED)
+    if len(row):
+        kmers = lmers(fragments(data, at, k, False).codes, k)
+        first = at[row] + start
+        out["first"], out["last"], out["more"] = kmers[first], kmers[first + size - k], size - k
+    return mint, out
+
+
+def _spelled(counted: DataFrame, k: int) -> DataFrame:
+    """(kmer, count) with the k-mers as text."""
 
     def spell(batches):
         for batch in batches:
@@ -116,13 +139,100 @@ def count_kmers(seqs: DataFrame, k: int) -> DataFrame:
             ends = np.arange(len(v) + 1, dtype=np.int32) * k
             yield pa.RecordBatch.from_arrays([pa.StringArray.from_buffers(len(v), pa.py_buffer(ends), pa.py_buffer(letters)), batch.column(1)], names=["kmer", "count"])
 
-    counted = seqs.select("seq_id", "seq").mapInArrow(number, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("count"))
-    return counted.mapInArrow(spell, "kmer string, count long")
+    return counted.select("kmer", "count").mapInArrow(spell, "kmer string, count long")
+
+
+def count_kmers(seqs: DataFrame, k: int, most: int = 1 << 23) -> DataFrame:
+    """(kmer, count) of canonical k-mers of (seq_id, seq), k up to 31; letters other than ACGT count as A.
+
+    Equal k-mers fall into one bucket by their minimizer, so superkmers are dealt out, packed to 17 bytes for up to k - 7 k-mers,
+    as one binary for each bucket and chunk of bases; a task then expands, sorts and run-counts a bucket's k-mers as
+    62-bit numbers. Buckets of more than ``most`` k-mers are split over tasks, and only their counts meet again in a
+    second exchange. Texts are made at the end. The dealt table is written between; its sizes, one number a bucket, decide the splits.
+    """
+    if not 0 < k <= 31:
+        raise ValueError("k of 1 to 31 is needed")
+    spark, l = seqs.sparkSession, min(8, k)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches):
+        for batch in batches:
+            for _, data, at in joined_bases(batch):
+                mint, packed = _packed_superkmers(data, at, k, l)
+                if len(packed):
+                    bucket = (mint * 0x9E3779B1 >> 7) % buckets
+                    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+                    bucket, packed = bucket[order], packed[order]
+                    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                    ends = np.append(head, len(packed)) * PACKED.itemsize
+                    blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(packed.tobytes())])
+                    kmers = np.add.reduceat(packed["more"].astype(np.int64) + 1, head)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), pa.array(kmers), blobs.cast(pa.binary())], names=["bucket", "n", "packed"])
+
+    path = new_path(spark, "superkmers")
+    seqs.select("seq_id", "seq").mapInArrow(deal, "bucket int, n long, packed binary").write.parquet(path)
+    dealt = spark.read.schema("bucket int, n long, packed binary").parquet(path)
+    sizes = dealt.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(most)).cast("int").alias("splits")).where("splits > 1")
+    split = {r["bucket"]: r["splits"] for r in sizes.collect()}  # at most one number a shuffle partition
+    splits = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for pair in split.items() for x in pair]), "bucket"), F.lit(1)) if split else F.lit(1)
+    keyed = dealt.withColumn("split", F.pmod(F.xxhash64(F.monotonically_increasing_id()), splits).cast("int")).repartition(buckets, "bucket", "split").sortWithinPartitions("bucket", "split")
+
+    def count(batches):
+        held, now, size = [], None, 0
+
+        def counted():
+            kmers, _ = expand(np.frombuffer(b"".join(held), PACKED), k)
+            kmers, n = np.unique(_canonical(kmers, k), return_counts=True)
+            whole = pa.array(np.full(len(kmers), now[0] not in split))
+            for i in range(0, len(kmers), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(kmers[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)]), whole[i : i + (1 << 16)]], names=["kmer", "count", "whole"])
+
+        for batch in batches:
+            for bucket, part, blob, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Small buckets are counted together; a k-mer is in one bucket only.
+                if held and (bucket, part) != now and (size + n > most or now[0] in split or bucket in split):
+                    yield from counted()
+                    held, size = [], 0
+                now = (bucket, part)
+                held.append(blob)
+                size += n
+        if held:
+            yield from counted()
+
+    found = keyed.select("bucket", "split", "packed", "n").mapInArrow(count, "kmer long, count long, whole boolean")
+    if split:
+        path = new_path(spark, "counts")
+        found.write.parquet(path)
+        found = spark.read.schema("kmer long, count long, whole boolean").parquet(path)
+        found = found.where("whole").select("kmer", "count").unionByName(found.where("not whole").groupBy("kmer").agg(F.sum("count").alias("count")))
+    return _spelled(found, k)
+
+
+def context_conflicts(seqs: DataFrame, k: int, l: int) -> DataFrame:
+    """(kmer, least, most) of canonical k-mers of (seq_id, seq) that have several minimizers in the mspxor mode, of these the least and the
+    largest: no rows, as the mode is context-free. Each chunk of bases gives a k-mer's least and largest, as numbers, which
+    meet in one exchange."""
+
+    def mints(batches):
+        for batch in batches:
+            for _, data, at in joined_bases(batch):
+                mint, packed = _packed_superkmers(data, at, k, l)
+                if len(packed):
+                    kmers, of = expand(packed, k)
+                    order = np.argsort(kmers := _canonical(kmers, k), kind="stable")
+                    kmers, mint = kmers[order], mint[of][order].astype(np.int32)
+                    head = np.flatnonzero(np.append(True, kmers[1:] != kmers[:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(kmers[head]), pa.array(np.minimum.reduceat(mint, head)), pa.array(np.maximum.reduceat(mint, head))], names=["kmer", "a", "b"])
+
+    found = seqs.select("seq_id", "seq").mapInArrow(mints, "kmer long, a int, b int").groupBy("kmer").agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most")
+    return found.select(decode_kmer("kmer", k).alias("kmer"), "least", "most")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one side only, with ``side`` (left or right)."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows of one side only, as often as they are more there, with ``side`` (left or right). Each side is computed once; one aggregate."""
+    one = lambda df, n: df.select(*(F.col(f"`{c}`") for c in a.columns), F.lit(n).alias("__n"))
+    sums = one(a, 1).unionAll(one(b, -1)).groupBy(*(F.col(f"`{c}`") for c in a.columns)).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    return sums.select(*(F.col(f"`{c}`") for c in a.columns), F.when(F.col("__n") > 0, "left").otherwise("right").alias("side"), F.explode(F.expr("sequence(1L, abs(__n))")).alias("__i")).drop("__i")
 
 
 def verbose(sk: DataFrame, l: int) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,13 +216,19 @@ def sticky(score: np.ndarray, f: Fragments, k: int, l: int, rows: Callable) -> W
     """A minimizer stays until it leaves the window (then the rightmost smallest follows) or a strictly smaller l-mer enters."""
     w, n = k - l + 1, len(score)
     best = lowest(score, w, True)
-    after = np.full(n, w)  # to the first smaller l-mer
-    for j in range(w - 1, 0, -1):
-        np.copyto(after[: n - j], j, where=score[j:] < score[: n - j])
     place = np.arange(n)
-    enters = after < w
-    starts = place + np.where(enters, after - w + 1, 1)
-    then = np.where(enters, place + after, best[np.minimum(place + 1, len(best) - 1)])
+    starts, then = place + 1, best[np.minimum(place + 1, len(best) - 1)]
+    if w > 1:
+        # Only a window's rightmost smallest is ever taken, if not before a piece begins. For those, the first smaller l-mer to come.
+        taken = np.zeros(n, bool)
+        taken[best] = True
+        taken[np.minimum(f.begin[f.offset == 0][:, None] + np.arange(w), n - 1)] = True
+        nodes = np.flatnonzero(taken)
+        ahead = sliding_window_view(np.append(score, np.full(w, score.max())), w)[nodes][:, 1:] < score[nodes][:, None]
+        first = ahead.argmax(1)
+        enters = ahead[np.arange(len(nodes)), first]
+        nodes, smaller = nodes[enters], nodes[enters] + 1 + first[enters]
+        starts[nodes], then[nodes] = smaller - w + 1, smaller
     return Walk(f, k, w, np.where(starts <= f.last_kmers(k)[:n], then, n), starts, best[f.begin], True, rows)
 
 

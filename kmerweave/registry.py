@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from kmerweave import hash_sql
 from kmerweave.functions import dna
 from kmerweave.functions.scores import score_dim
-from kmerweave.operators import buckets, hashed
+from kmerweave.operators import buckets, hashed, pieces
 from kmerweave.operators.superkmers import superkmers
+from kmerweave.operators.syncmers import syncmer_positions
 from kmerweave.plans import relational
-from kmerweave.sources.sequences import reads, texts, tile
+from kmerweave.sources.sequences import joined_reads, read_fasta_pieces, reads, texts, tile, write_fasta
+from kmerweave.storage import new_path
 
-K, L = 31, 8
+K, L, LH = 31, 8, 9
 
 
 def _scalar(make):
@@ -77,8 +79,25 @@ def _with_tiles(spark, sf):
     whole = reads(spark, sf).withColumn("of", F.lit("reads")).unionByName(texts(spark, sf).withColumn("of", F.lit("texts")))
     whole = whole.select(F.xxhash64("of", "seq_id").alias("seq_id"), F.upper("seq").alias("seq"))
     tiles = tile(whole).withColumn("seq_id", F.xxhash64("seq_id", "length", "start", "strand")).select("seq_id", "seq")
-    every = whole.unionByName(tiles)
-    return buckets.crossbucket(buckets.distinct_kmers(superkmers(every, K, L, text=True), K))
+    return buckets.context_conflicts(whole.unionByName(tiles), K, L)
+
+
+#: Bases of a piece of the joined reads: far below production's, so that their sequences are cut in several places.
+PIECE = 100
+
+
+def _joined(cut):
+    """A family's superkmers of the joined reads, which come in parts and are cut in pieces."""
+    return lambda spark, sf: cut(pieces.of_parts(joined_reads(spark, sf), K, PIECE))
+
+
+def _fasta(spark, sf):
+    """Reads written as FASTA in lines of 60 bases, read again split at any line, and cut."""
+    path = new_path(spark, "reads-fasta")
+    write_fasta(reads(spark, sf), path, width=60)
+    found, records = read_fasta_pieces(spark, path, K)
+    sk = superkmers(found, K, L, mode="sticky")
+    return sk.join(records.select("seq_id", F.col("header").cast("bigint").alias("read")), "seq_id").select(F.col("read").alias("seq_id"), "start", "mint", "size", "mpos", "mint_is_rc")
 
 
 def _tiling(spark, sf):
@@ -149,9 +168,9 @@ QUERIES = {
     "pack_bytes": _scalar(lambda: [F.posexplode(dna.pack_bytes("seq")).alias("i", "byte")]),
     "packed_kmers": _scalar(lambda: [dna.get_kmer_value(dna.pack_words("seq"), 20, K).alias("value")]),
     "split_n": _fragments,
-    "syncmers_open": lambda spark, sf: relational.syncmer_positions(reads(spark, sf), 15, 5, [3]),
-    "syncmers_closed": lambda spark, sf: relational.syncmer_positions(reads(spark, sf), 15, 5, [0, 10]),
-    "syncmers_sampled": lambda spark, sf: relational.downsample(relational.syncmer_positions(reads(spark, sf), 15, 5, [0, 10]), 0.25),
+    "syncmers_open": lambda spark, sf: syncmer_positions(reads(spark, sf), 15, 5, [3]),
+    "syncmers_closed": lambda spark, sf: syncmer_positions(reads(spark, sf), 15, 5, [0, 10]),
+    "syncmers_sampled": lambda spark, sf: relational.downsample(syncmer_positions(reads(spark, sf), 15, 5, [0, 10]), 0.25),
     **{f"scores_{n}": _dim(f, m, l, s) for n, f, m, l, s in (("syncmer", "syncmer", "sticky", 8, 2), ("syncmer_l9", "syncmer", "sticky", 9, 2), ("msp", "syncmer", "msp", 8, 2), ("mspxor", "syncmer", "mspxor", 8, 2), ("mspxor_s3", "syncmer", "mspxor", 8, 3), ("uhs7", "uhs", "sticky", 7, 2), ("uhs8", "uhs", "sticky", 8, 2), ("uhs9", "uhs", "sticky", 9, 2), ("uhs11", "uhs", "sticky", 11, 2), ("uhs_mspxor", "uhs", "mspxor", 8, 2), ("kmc2", "kmc2", "sticky", 8, 2), ("lexicographic", "lexicographic", "sticky", 8, 2))},
     **{f"superkmers_{m}": _cut(mode=m) for m in ("sticky", "classical", "msp", "mspxor")},
     **{f"superkmers_{m}_forward": _cut(mode=m, canonical=False) for m in ("sticky", "classical", "msp", "mspxor")},
@@ -170,6 +189,13 @@ QUERIES = {
     "naive_syncmers_right": _hashed(hashed.naive_syncmers),
     "naive_syncmers_left": _hashed(hashed.naive_syncmers, rightmost=False),
     **{f"multi_minimizers_{n}": _hashed(hashed.multi_minimizers, n_hashes=n) for n in (2, 4, 8)},
+    "joined_mspxor": _joined(lambda p: superkmers(p, K, L)),
+    "joined_sticky": _joined(lambda p: superkmers(p, K, L, mode="sticky")),
+    "joined_kmc2": _joined(lambda p: superkmers(p, K, L, "kmc2", "sticky")),
+    "joined_quarantine_l14": _joined(lambda p: hashed.quarantine(p, K, 14)),
+    "joined_candidates_sticky": _joined(lambda p: hashed.candidate_syncmers(p, K, LH)),
+    "joined_multi_minimizers_2": _joined(lambda p: hashed.multi_minimizers(p, K, LH, 2)),
+    "fasta_sticky": _fasta,
     "bucket_counts": _counts,
     "bucket_stats": _stats(buckets.bucket_stats),
     "bucket_percentiles": _stats(buckets.percentiles),
@@ -182,6 +208,7 @@ QUERIES = {
     "context_independence": _with_tiles,
     "score_sum": _score_sum,
     "kmer_counts": _recount,
+    "kmer_counts_both_strands": lambda spark, sf: buckets.count_kmers(_both_strands(spark, sf), K),
     "kmer_counts_bucketed": lambda spark, sf: buckets.count_by_bucket(superkmers(reads(spark, sf), K, L, text=True), K),
 }
 
@@ -190,6 +217,10 @@ QUERIES = {
 READS = "reads as (select o_orderkey as seq_id, translate(" + " || ".join(f"md5(concat(o_orderkey, '-{i}'))" for i in range(5)) + ", '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from orders)"
 
 
+#: The reads of three order keys joined, in place of the reads.
+JOINED = READS.replace("o_orderkey as seq_id", "o_orderkey // 3 as c, o_orderkey as o", 1).replace("reads as", "single as", 1) + ", reads as (select c as seq_id, string_agg(seq, '' order by o) as seq from single group by c)"
+
+
 def _value(text: str, n: int, start: str = "0") -> str:
     return "(" + " + ".join(f"instr('CGT', substr({text}, cast({start} as bigint) + {i + 1}, 1))::bigint * {4 ** (n - 1 - i)}" for i in range(n)) + ")"
 
@@ -203,7 +234,7 @@ def _reverse(text: str) -> str:
 
 
 def _lmers_sql(l: int) -> str:
-    return f"lmers as (select seq_id, length(seq) as n, pos, {_value('seq', l, 'pos')} as lmer from (select seq_id, seq, unnest(range(0, length(seq) - {l - 1})) as pos from reads))"
+    return f"lmers as (select seq_id, n, pos, {_value('t', l)} as lmer from (select seq_id, length(seq) as n, pos, substr(seq, pos + 1, {l}) as t from (select seq_id, seq, unnest(range(0, length(seq) - {l - 1})) as pos from reads)))"
 
 
 def _good(v: str, l: int, s: int) -> str:
@@ -282,13 +313,10 @@ def _sticky_sql(score: str, l: int, mint: str = "canon", rc: str = "is_rc", sour
     )
 
 
-LH = 9
-
-
 def _islands(best: str) -> str:
     """runs(seq_id, start, p, size) of neighbouring k-mers of best(seq_id, pos, p) with one place."""
     return (
-        f"moved as (select *, coalesce(lag(p) over o <> p or lag(pos) over o <> pos - 1, true) as new from ({best}) where p is not null window o as (partition by seq_id order by pos)), "
+        f"best as materialized ({best}), moved as (select *, coalesce(lag(p) over o <> p or lag(pos) over o <> pos - 1, true) as new from best where p is not null window o as (partition by seq_id order by pos)), "
         "grouped as (select *, sum(new::int) over (partition by seq_id order by pos) as g from moved), "
         f"runs as (select seq_id, min(pos) as start, any_value(p) as p, max(pos) - min(pos) + {K} as size from grouped group by seq_id, g)"
     )
@@ -305,9 +333,14 @@ _OF_RUNS = f"select r.seq_id, start::bigint as start, canon::int as mint, size::
 _TEXTS = "texts as (select r.seq_id, start, size, p - start as mpos{more}, substr(seq, start + 1, size) as text from runs r join reads using (seq_id))"
 
 
-def _candidates_sql(mode: str) -> str:
+def _kept(l: int) -> str:
+    """lmers, evaluated once."""
+    return _lmers_sql(l).replace("lmers as (", "lmers as materialized (", 1)
+
+
+def _candidates_sql(mode: str, source: str = READS) -> str:
     rank = {"sticky": "case when c = 0 then 1 else 0 end", "classical": "0", "msp": "c + case when c = 0 then 4294967296 else 0 end", "mspxor": f"{XOR} + case when c = 0 then 4294967296 else 0 end"}[mode]
-    head = ", ".join((READS, _lmers_sql(LH), _seen(LH, f"case when {hash_sql.candidate('v', LH)} then {rank} end")))
+    head = ", ".join((source, _kept(LH), _seen(LH, f"case when {hash_sql.candidate('v', LH)} then {rank} end")))
     best = _best(_RIGHT, _RIGHT_BACK)
     if mode != "sticky":
         return f"with {head}, {_islands(best)} {_OF_RUNS}"
@@ -323,16 +356,16 @@ def _naive_sql(rightmost: bool) -> str:
     return f"with {head}, {_islands(best)}, {_TEXTS.format(more='')} select seq_id, start::bigint as start, 0::int as mint, size::int as size, ({mpos})::int as mpos, {flip} as mint_is_rc from texts"
 
 
-def _quarantine_sql() -> str:
+def _quarantine_sql(source: str = READS, l: int = LH) -> str:
     """CTEs up to q(seq_id, start, size, mpos, mint_is_rc, text)."""
     canon = lambda x: f"least({x}, {_reverse(x)})"
-    m = canon(f"substr(text, mpos + 1, {LH})")
-    there = lambda j: (f"{canon(f'substr(text, ({j} + 1)::bigint, {LH})')} = m", f"{canon(f'substr(text, (size - {LH} - {j} + 1)::bigint, {LH})')} = m")
-    mpos, flip = hash_sql.oriented(LH)
+    m = canon(f"substr(text, mpos + 1, {l})")
+    there = lambda j: (f"{canon(f'substr(text, ({j} + 1)::bigint, {l})')} = m", f"{canon(f'substr(text, (size - {l} - {j} + 1)::bigint, {l})')} = m")
+    mpos, flip = hash_sql.oriented(l)
     fwd, rev = there("j")
     return ", ".join((
-        READS, _lmers_sql(LH), _seen(LH, hash_sql.nthash("v", LH), "ubigint"),
-        f"keyed as (select seq_id, n, pos, min({_LEFT}) over o as a, min({_RIGHT}) over o as b from lmers join dims using (lmer) window o as (partition by seq_id order by pos rows between current row and {K - LH} following))",
+        source, _kept(l), _seen(l, hash_sql.nthash("v", l), "ubigint"),
+        f"keyed as (select seq_id, n, pos, min({_LEFT}) over o as a, min({_RIGHT}) over o as b from lmers join dims using (lmer) window o as (partition by seq_id order by pos rows between current row and {K - l} following))",
         f"best as (select seq_id, pos, cast(a % 2147483648 as bigint) as p, a % 2147483648 <> 2147483647 - b % 2147483648 as many from keyed where pos <= n - {K})",
         "moved as (select *, coalesce(lag(p) over (partition by seq_id order by pos) <> p, true) or many as new from best)",
         "grouped as (select *, sum(new::int) over (partition by seq_id order by pos) as g from moved)",
@@ -344,8 +377,8 @@ def _quarantine_sql() -> str:
     ))
 
 
-def _multi_sql(n: int) -> str:
-    parts = [READS, _lmers_sql(LH), _seen(LH, "0"), f"scrambled as materialized (select lmer, dims.canon, {', '.join(f's{j}' for j in range(n))} from dims join {hash_sql.schemes('(select distinct canon from dims)', n)} x on x.canon = dims.canon)"]
+def _multi_sql(n: int, source: str = READS) -> str:
+    parts = [source, _lmers_sql(LH), _seen(LH, "0"), f"scrambled as materialized (select lmer, dims.canon, {', '.join(f's{j}' for j in range(n))} from dims join {hash_sql.schemes('(select distinct canon from dims)', n)} x on x.canon = dims.canon)"]
     for j in range(n):
         key = f"s{j} * 2147483648 + pos"
         parts.append(f"m{j} as (select seq_id, n, pos, p, max(pos) over (partition by seq_id, p) as e from ({_best(key, _LEFT_BACK, 'lmers join scrambled using (lmer)')}))")
@@ -369,6 +402,7 @@ def _words(text: str) -> str:
 
 _DOCS_N = "docs as (select doc_id as seq_id, regexp_replace(replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), chr(10), 'N'), '[^acgtN]', '', 'g') as seq from documents)"
 _PARTS_N = "parts as (select seq_id, list_extract(p, i) as part, length(list_extract(p, i)) as len, sum(length(list_extract(p, i)) + 1) over (partition by seq_id order by i) - length(list_extract(p, i)) - 1 as o from (select seq_id, p, unnest(range(1, length(p) + 1)) as i from (select seq_id, string_split_regex(seq, '[Nn]') as p from docs)))"
+_DOCS = "reads as (select doc_id as seq_id, upper(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as seq from documents)"
 _BOTH = READS.replace("reads as", "one as", 1) + f", reads as (select seq_id * 2 as seq_id, seq from one union all select seq_id * 2 + 1, {_reverse('seq')} from one)"
 
 
@@ -376,6 +410,27 @@ def _crossbucket_sql(sk: str) -> str:
     return sk + f", kmers as (select substr(seq, pos + 1, {K}) as kmer, mint from (select seq_id, mint, unnest(range(start, start + size - {K - 1})) as pos from sk) join reads using (seq_id)) select least(kmer, {_reverse('kmer')}) as kmer, count(distinct mint) as mints from kmers group by 1 having count(distinct mint) > 1"
 
 
+def _context_sql() -> str:
+    """Conflicts of minimizers among overlapping tiles of reads and texts on both strands: 500 bases from every 400th, which hold each k-mer."""
+    whole = READS.replace("reads as", "one as", 1) + ", docs as (select regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g') as seq from documents), both_kinds as (select seq from one union all select upper(seq) from docs), "
+    strands = f"cut as (select substr(seq, p + 1, 500) as seq from (select seq, unnest(range(0, length(seq), 400)) as p from both_kinds)), tiles as (select unnest([seq, {_reverse('seq')}]) as seq from cut), reads as (select row_number() over () as seq_id, seq from tiles)"
+    found = f"kmers as (select substr(seq, pos + 1, {K}) as kmer, mint from (select seq_id, mint, unnest(range(start, start + size - {K - 1})) as pos from sk) join reads using (seq_id))"
+    return "with " + whole + strands + ", " + _superkmers_sql("mspxor") + ", " + found + f" select least(kmer, {_reverse('kmer')}) as kmer, min(mint) as least, max(mint) as most from kmers group by 1 having min(mint) <> max(mint)"
+
+
+def _forms_sql(name: str) -> str:
+    """CTEs up to sk, from windows over all l-mers, and other: the same superkmers from each k-mer's own l-mers, listed."""
+    l, score = SCORES[name]
+    listed = "[" + ", ".join(f"(score_{i})::hugeint * 64 + {i}" for i in range(K - l + 1)) + "]"
+    ahead = ", ".join(f"lead(score, {i}) over o as score_{i}" for i in range(K - l + 1))
+    return (
+        f"{READS}, {_superkmers_sql(name)}, scored as (select seq_id, n, pos, score, {ahead} from lmers join dims using (lmer) window o as (partition by seq_id order by pos)), "
+        f"found as (select seq_id, n, pos, pos + cast(list_min({listed}) % 64 as bigint) as p from scored where pos <= n - {K}), "
+        "grouped as (select seq_id, n, p, min(pos) as start, max(pos) as stop from found group by all), "
+        f"other as (select g.seq_id, start::bigint as start, canon::int as mint, (stop - start + {K})::int as size, (p - start)::int as mpos, is_rc as mint_is_rc from grouped g join lmers m on m.seq_id = g.seq_id and m.pos = g.p join dims d on d.lmer = m.lmer) "
+    )
+
+
 _R = _with(READS)
 
 def _everywhere_sql(length: int, values: str) -> str:
@@ -416,7 +471,9 @@ ORACLES = {
     "bucket_histogram": _with(_COUNTS) + "select bin::int as bin, (1::bigint << (bin - 1)::int) as low, (1::bigint << bin::int) - 1 as high, count(*) as minimizers, sum(kmers)::bigint as kmers, sum(kmers) * 100.0::double / sum(sum(kmers)) over () as percent from (select *, length(format('{:b}', kmers)) as bin from counts) group by bin",
     "bucket_top20": _with(_COUNTS) + "select * from counts order by kmers desc, mint limit 20",
     "kmers_of_superkmers": _with(_KMERS) + "select * from kmers",
-    "tiling_check": "with docs as (select doc_id as seq_id, length(regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'), '[^acgt]', '', 'g')) as n from documents) " + f"select seq_id, (n - {K - 1})::bigint as kmers, (n - {K - 1})::bigint as covered, true as tiles from docs where n >= {K}",
+    "tiling_check": _sticky_sql(SCORES["syncmer"][1], 8, source=_DOCS) + f", placed as (select seq_id, unnest(range(start, start + size - {K - 1})) as pos from sk), times as (select seq_id, pos, count(*) as c from placed group by all), "
+        f"covers as (select seq_id, sum(c)::bigint as covered, max(c) as most, count(*) as places from times where pos >= 0 group by seq_id) "
+        f"select seq_id, (length(seq) - {K - 1})::bigint as kmers, coalesce(covered, 0)::bigint as covered, coalesce(most = 1 and places = length(seq) - {K - 1}, false) as tiles from reads left join covers using (seq_id) where length(seq) >= {K}",
     "crossbucket_mspxor": _crossbucket_sql(_with(_BOTH, _superkmers_sql("mspxor"))),
     "crossbucket_sticky": _crossbucket_sql(_sticky_sql(SCORES["syncmer"][1], 8, source=_BOTH)),
     "superkmers_sticky": _sticky_sql(SCORES["syncmer"][1], 8) + "select * from sk",
@@ -427,15 +484,23 @@ ORACLES = {
     **{f"syncmer_sticky_l{l}": _sticky_sql(_good("v", l, 2), l) + "select * from sk" for l in (10, 12)},
     "superkmers_with_n": _with(_DOCS_N, _PARTS_N, f"reads as (select seq_id * 1048576 + o::bigint as seq_id, upper(part) as seq from parts where len >= {K})", _superkmers_sql("mspxor")) + "select seq_id // 1048576 as seq_id, start + seq_id % 1048576 as start, mint, size, mpos, mint_is_rc from sk",
     "syncmers_sampled": _R + ", closed as (" + _SYNC.format(p=_PARTS, t="1, 11") + "), " + hash_sql.xxh64("closed", 15) + f" select seq_id, pos, kmer from hashed where h < {int((2**64 - 1) * 0.25)}::uhugeint",
-    "hash_minimizers": _with(READS, _lmers_sql(LH), _seen(LH, hash_sql.nthash("v", LH), "ubigint"), _islands(_best(_LEFT, _LEFT_BACK))) + _OF_RUNS,
+    "hash_minimizers": _with(READS, _kept(LH), _seen(LH, hash_sql.nthash("v", LH), "ubigint"), _islands(_best(_LEFT, _LEFT_BACK))) + _OF_RUNS,
     "nthash_quarantine": _with(_quarantine_sql()) + "select seq_id, start, 0::int as mint, size, mpos, mint_is_rc from q",
     "nthash_verbose": _with(_quarantine_sql()) + f"select *, substr(sequence, mpos + 1, {LH}) as minimizer from (select seq_id, start, case when mint_is_rc then {_reverse('text')} else text end as sequence, mpos from q)",
     **{f"candidates_{m}": _candidates_sql(m) for m in ("sticky", "classical", "msp", "mspxor")},
     "naive_syncmers_right": _naive_sql(True),
     "naive_syncmers_left": _naive_sql(False),
     **{f"multi_minimizers_{n}": _multi_sql(n) for n in (2, 4, 8)},
-    "context_independence": _R + "select seq as kmer, 0::bigint as mints from reads where false",
-    "superkmers_forms_differ": "select 0::bigint as seq_id, 0::bigint as start, 0::int as mint, 0::int as size, 0::int as mpos, true as mint_is_rc, '' as side where false",
+    "context_independence": _context_sql(),
+    "superkmers_forms_differ": "with recursive " + _forms_sql("mspxor") + "select *, 'left' as side from (select * from sk except all select * from other) union all select *, 'right' as side from (select * from other except all select * from sk)",
+    "joined_mspxor": _with(JOINED, _superkmers_sql("mspxor")) + "select * from sk",
+    "joined_sticky": _sticky_sql(SCORES["syncmer"][1], 8, source=JOINED) + "select * from sk",
+    "joined_kmc2": _sticky_sql(SCORES["kmc2"][1], 8, rc="false", source=JOINED) + "select * from sk",
+    "joined_quarantine_l14": _with(_quarantine_sql(JOINED, 14)) + "select seq_id, start, 0::int as mint, size, mpos, mint_is_rc from q",
+    "joined_candidates_sticky": _candidates_sql("sticky", JOINED),
+    "joined_multi_minimizers_2": _multi_sql(2, JOINED),
+    "fasta_sticky": _sticky_sql(SCORES["syncmer"][1], 8) + "select * from sk",
+    "kmer_counts_both_strands": _R + f"select least(kmer, {_reverse('kmer')}) as kmer, 2 * count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1",
     "score_sum": _with(READS, _lmers_sql(L), _dims(*SCORES["mspxor"])) + "select sum(score)::varchar as total from lmers join dims using (lmer)",
     **dict.fromkeys(("kmer_counts", "kmer_counts_bucketed"), _R + f"select least(kmer, {_reverse('kmer')}) as kmer, count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1"),
 }

@@ -121,11 +121,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, offset, seq): parts of a sequence for each customer, the reads of its orders one after the other."""
-    key = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("bigint").alias("key"), F.col("o_custkey").cast("bigint").alias("seq_id"))
-    one = reads(spark, sf_dir).withColumnRenamed("seq_id", "key").join(key, "key")
-    before = F.row_number().over(Window.partitionBy("seq_id").orderBy("key")) - 1
-    return one.select("seq_id", (before * 160).cast("long").alias("offset"), "seq")
+    """(seq_id, offset, seq): parts of sequences, each of the reads of up to three order keys, one after the other."""
+    before = F.row_number().over(Window.partitionBy(F.expr("seq_id div 3")).orderBy("seq_id")) - 1
+    return reads(spark, sf_dir).select(F.expr("seq_id div 3").alias("seq_id"), (before * 160).cast("long").alias("offset"), "seq")
 
 
 def texts(spark: SparkSession, sf_dir: str, breaks: bool = False) -> DataFrame:
