@@ -116,9 +116,9 @@ def expand(packed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return ((packed["first"][of] << 2 * i) | rest >> 2 * (more[of] - i)) & (np.int64(1) << 2 * k) - 1, of
 
 
-def _packed_superkmers(data: np.ndarray, at: np.ndarray, k: int, l: int) -> tuple[np.ndarray, np.ndarray]:
+def _packed_superkmers(data: np.ndarray, at: np.ndarray, k: int, l: int, strands: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(minimizers, packed superkmers) of joined sequences in the mspxor mode, where equal canonical k-mers have one minimizer."""
-    row, start, mint, size, _, _ = cut(data, at, k, l, "syncmer", "mspxor", True, False, score_table("syncmer", "mspxor", l, 2 if l > 2 else 1))
+    row, start, mint, size, _, _ = cut(data, at, k, l, "syncmer", "mspxor", strands, False, score_table("syncmer", "mspxor", l, 2 if l > 2 else 1))
     out = np.empty(len(row), PACKED)
     if len(row):
         kmers = lmers(fragments(data, at, k, False).codes, k)
@@ -208,15 +208,15 @@ def count_kmers(seqs: DataFrame, k: int, most: int = 1 << 23) -> DataFrame:
     return _spelled(found, k)
 
 
-def context_conflicts(seqs: DataFrame, k: int, l: int) -> DataFrame:
+def context_conflicts(seqs: DataFrame, k: int, l: int, strands: bool = True) -> DataFrame:
     """(kmer, least, most) of canonical k-mers of (seq_id, seq) that have several minimizers in the mspxor mode, of these the least and the
-    largest: no rows, as the mode is context-free. Each chunk of bases gives a k-mer's least and largest, as numbers, which
+    largest: no rows, as the mode is context-free (without ``strands``, a k-mer and its reverse complement differ). Each chunk of bases gives a k-mer's least and largest, as numbers, which
     meet in one exchange."""
 
     def mints(batches):
         for batch in batches:
             for _, data, at in joined_bases(batch):
-                mint, packed = _packed_superkmers(data, at, k, l)
+                mint, packed = _packed_superkmers(data, at, k, l, strands)
                 if len(packed):
                     kmers, of = expand(packed, k)
                     order = np.argsort(kmers := _canonical(kmers, k), kind="stable")
