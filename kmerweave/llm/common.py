@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerweave.storage import shared_folder
+
 #: Rows that cross to Python at once, and the text bytes that one numpy pass works on.
 BATCH_ROWS, CHUNK_BYTES = 256, 1 << 20
 
@@ -24,18 +25,6 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all machines share. Where it is unset: one beside the
-    warehouse's tables, or a temporary one where driver and executors are one process."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-") if sc.master.startswith("local[") or sc.master == "local" else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """The frame as a table written to the shared folder and read again: it cuts the lineage, survives lost executors,
     and has a true size, where a checkpoint would carry its plan's estimate on from round to round."""
@@ -48,6 +37,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names: list[str]) -> list[F.Column]:
+    """Columns by their names as they are, dots and backticks too."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def stretch(text: str, of: str, most: int) -> F.Column:
+    """A text of at most ``most`` characters whole; of a longer one, a stretch of that length at most, of several of equal size, by a
+    hash of ``of``. For samples that pass through the driver, which so have a bounded size without any text being left out."""
+    parts = f"cast(ceil(length({text}) / {most}) as int)"
+    size = f"cast(ceil(length({text}) / {parts}) as int)"
+    return F.expr(f"case when length({text}) <= {most} then {text} else substring({text}, 1 + {size} * cast(pmod(xxhash64({of}), {parts}) as int), {size}) end")
+
+
 def mask(chars: bytes) -> np.ndarray:
     """Lookup of 256 flags: true for bytes that belong to a word, given those that part words."""
     out = np.ones(256, bool)

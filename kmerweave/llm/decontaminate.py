@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import ALNUM, LOWER, chunks, durable, find_words, hash_runs, hash_words, session, table
+from kmerweave.llm.common import ALNUM, LOWER, chunks, durable, find_words, hash_runs, hash_words, quoted, session, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, text_key long, n_words long, hits array<struct<start:long,stop:long>>, items array<long>"
@@ -141,7 +141,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars:
     if keep is None:
         rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("row"), text.alias("text"))
     else:
-        rows = docs.select(F.struct(*keep).alias("row"), text.alias("text"))
+        rows = docs.select(F.struct(*quoted(keep)).alias("row"), text.alias("text"))
     given = rows
     if blocks > 1:
         given = durable(rows.withColumn("number", F.monotonically_increasing_id()))

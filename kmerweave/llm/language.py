@@ -38,23 +38,30 @@ class ByteCNN:
         self.filters = [r.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.out = np.zeros((len(WIDTHS) * FILTERS, len(classes)), np.float32)
         self.bias = np.zeros(len(classes), np.float32)
+        self.known = None
+
+    def tables(self) -> list[list[np.ndarray]]:
+        """For each filter the rows of its bytes: of each two bytes one table of 65536 rows, of a last odd one 256."""
+        out = []
+        for f in self.filters:
+            lookups = [self.embed @ f[j] for j in range(len(f))]
+            pairs = [(lookups[j][:, None] + lookups[j + 1][None]).reshape(65536, FILTERS) for j in range(0, len(f) - 1, 2)]
+            out.append(pairs + lookups[-1:] * (len(f) % 2))
+        return out
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Largest responses (windows x filters) and where they are. A filter's response is a sum of looked-up rows,
         one for each of its bytes, since embedding and filter multiply out to a table of 256 rows."""
         best, where = [], []
-        for f in self.filters:
+        for f, rows in zip(self.filters, self.known or self.tables(), strict=True):
             w = len(f)
-            lookups = [self.embed @ f[j] for j in range(w)]
-            # Pairs of bytes share one lookup: 65536 rows for each two bytes.
-            pairs = [(lookups[j][:, None] + lookups[j + 1][None]).reshape(65536, FILTERS) for j in range(0, w - 1, 2)]
             two = x[:, :-1].astype(np.int32) * 256 + x[:, 1:]
             n = SPAN - w + 1
-            total = pairs[0][two[:, :n]]
-            for k in range(1, len(pairs)):
-                total += pairs[k][two[:, 2 * k : 2 * k + n]]
+            total = rows[0][two[:, :n]]
+            for k in range(1, w // 2):
+                total += rows[k][two[:, 2 * k : 2 * k + n]]
             if w % 2:
-                total += lookups[-1][x[:, w - 1 : w - 1 + n]]
+                total += rows[-1][x[:, w - 1 : w - 1 + n]]
             where.append(total.argmax(1))
             best.append(np.take_along_axis(total, where[-1][:, None], 1)[:, 0])
         return np.concatenate(best, 1), where
@@ -62,6 +69,7 @@ class ByteCNN:
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 6, batch: int = 128, rate: float = 0.01) -> ByteCNN:
         """Adam over shuffled mini-batches; gradients flow through the place of each largest response."""
         r = np.random.default_rng(5)
+        self.known = None
         params = [self.embed, *self.filters, self.out, self.bias]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(rounds if len(x) else 0):
@@ -92,8 +100,12 @@ class ByteCNN:
                     q -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.99**t)) + 1e-6)
         return self
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities of the classes for each window."""
+        """Log probabilities of the classes for each window. The tables are made once, as the fit is over."""
+        self.known = self.known or self.tables()
         out = np.zeros((len(x), len(self.classes)))
         for i in range(0, len(x), 1024):
             z = np.maximum(self.pooled(x[i : i + 1024])[0], 0) @ self.out + self.bias

@@ -18,6 +18,8 @@ IDS_TO_SEND = 400_000
 #: A pair goes on to the exact check unless its sketches differ in more bits than similarity 0.8 does in all but a
 #: few of a million cases.
 MARGIN = 5.0
+#: Rounds, at most, in which classes meet members of their buckets' commonest components.
+DRAWS = 12
 
 
 def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +136,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ex
     3. Each class meets one hub: of the central classes of its band buckets the one with which it shares most. Pairs
        whose sketches are near and whose full sets confirm it are linked, so a group of true copies becomes one component
        for a pair a class.
-    4. In buckets that hold more than one component, every class that is not in the bucket's commonest component
+    4. In rounds, each class outside its bucket's commonest component meets members of it drawn anew, one for each of its buckets, and
+       the nearest by sketch is confirmed, as long as that links a tenth of them: a group whose pairs lie about the threshold,
+       half of them links, halves what is left each round.
+    5. In buckets that hold more than one component then, every class that is not in the bucket's commonest component
        meets every class of another component whose sketches are near. The nearest such pair of each component is confirmed
        first; pairs that then lie within one component need not be. No pair is left out for the size of its bucket.
 
@@ -217,9 +222,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ex
     links = confirmed(hubs_of(posts.withColumn("component", F.col("id"))))
     parts = components(links)
     placed = mixed(posts, parts)
+    for turn in range(DRAWS):
+        outside = by_main(placed).where("component <> main")
+        left = outside.select("id").distinct().count()
+        if not left:
+            break
+        drawn = by_main(placed).where("component = main").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id"))["id"].alias("b"))
+        met = outside.select("bucket", F.col("id").alias("a")).join(drawn, "bucket").select("a", "b").distinct()
+        some = met.join(wide(sketches, "a"), "a").join(wide(sketches, "b"), "b").where(f"{sides} and {near}")
+        nearest = some.groupBy("a").agg(F.min(F.struct(F.expr(f"({apart(SKETCH // 64)}) / (n_a + n_b)").alias("d"), "b"))["b"].alias("b"))
+        new = confirmed(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = new.count()
+        if found:
+            links = links.union(new)
+            parts = components(links)
+            placed = mixed(posts, parts)
+        if 10 * found < left:
+            break
     # Whatever is not of a bucket's commonest component meets all others there; the sketches decide within the join.
-    main = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    known = placed.join(main, "bucket")
+    known = by_main(placed)
     left = known.where("component <> main").join(wide(sketches, "a"), known["id"] == F.col("a")).drop("id", "main").withColumnRenamed("component", "part_a")
     right = known.join(wide(sketches, "b"), known["id"] == F.col("b")).drop("id").selectExpr("*", "component as part_b").drop("component")
     met = left.join(right, (left["bucket"] == right["bucket"]) & F.expr(f"part_a <> part_b and (part_b = main or a < b) and {sides} and {near}"))
@@ -255,6 +276,12 @@ def mixed(posts: DataFrame, parts: DataFrame) -> DataFrame:
     return durable(placed.join(several, "bucket"))
 
 
+def by_main(placed: DataFrame) -> DataFrame:
+    """The rows with ``main``, their bucket's commonest component."""
+    main = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    return placed.join(main, "bucket")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")

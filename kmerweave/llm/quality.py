@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, hash_words, session, table
+from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, hash_words, session, stretch, table
 
 SCHEMA = "doc_id long, expected_grade double, tail double, grade int"
 DIMS = 1 << 13
@@ -83,10 +83,11 @@ class Ordinal:
         return self
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int, most: int = 4000) -> Ordinal:
-    """Fit on at most ``most`` rated rows (doc_id, grade from 0 to grades - 1), chosen by a hash of doc_id."""
+def train(docs: DataFrame, ratings: DataFrame, grades: int, most: int = 4000, most_chars: int = 65536) -> Ordinal:
+    """Fit on at most ``most`` rated rows (doc_id, grade from 0 to grades - 1), chosen by a hash of doc_id; a text of more than
+    ``most_chars`` characters gives one stretch of so many at most, so the sample in the driver has a bounded size."""
     keep = ratings.select(F.col("doc_id").cast("long").alias("id"), F.col("grade").cast("int").alias("grade")).where(f"id is not null and grade between 0 and {grades - 1}").orderBy(F.xxhash64("id"), "id", "grade").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(keep), "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(keep), "id").withColumn("text", stretch("text", "id", most_chars))
     got = [(t.encode(), y) for t, y in rows.orderBy(F.xxhash64("id"), "id", "grade", "text").select("text", "grade").limit(most).collect()]
     parts = [features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t, _ in got]
     x = (np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]), *(np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, int) for j in (1, 2)))

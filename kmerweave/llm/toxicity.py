@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, session, table
+from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, quoted, session, stretch, table
 
 #: Columns of the result.
 SCHEMA = "doc_id long, score double, gain long, windows long"
@@ -148,23 +148,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.center) / self.scale, np.ones(len(x))] @ self.weights, -30, 30)))
 
 
-#: Characters of the texts that a fit takes, so that its sample has a bounded size in the driver.
+#: Characters of a text that a fit takes, so that its sample has a bounded size in the driver; of longer ones it takes a stretch.
 LONGEST = 65536
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, most: int) -> list[tuple[bytes, int]]:
-    """At most ``most`` (text, label) rows with a label, chosen by a hash of doc_id, of those with texts of at most
-    LONGEST characters; null texts are empty."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, most: int, most_chars: int = LONGEST) -> list[tuple[bytes, int]]:
+    """At most ``most`` (text, label) rows with a label, chosen by a hash of doc_id; null texts are empty. A text of more than ``most_chars``
+    characters gives one stretch of so many at most, chosen by a hash of doc_id."""
     keep = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & usable("id"))
     keep = keep.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(f"text is null or length(text) <= {LONGEST}")
-    rows = rows.join(F.broadcast(keep), "id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(keep), "id").withColumn("text", stretch("text", "id", most_chars))
     return [((r["text"] or "").encode(), r["y"]) for r in rows.orderBy(F.xxhash64("id"), "id", "y", "text").limit(most).collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
-    """Fit on a sample of at most ``most`` labelled rows for which crc32(doc_id as text) mod 3 is not 1."""
-    rows = labelled(docs, labels, "toxic", lambda c: crc_mod(c, 3) != 1, most)
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = LONGEST) -> Model:
+    """Fit on a sample of at most ``most`` labelled rows for which crc32(doc_id as text) mod 3 is not 1, of ``most_chars`` characters each."""
+    rows = labelled(docs, labels, "toxic", lambda c: crc_mod(c, 3) != 1, most, most_chars)
     return Model([t for t, _ in rows], [y for _, y in rows])
 
 
@@ -177,7 +177,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
     the calibration there. Null doc_id and repeated rows: a row each. Without ``keep`` other columns are not read.
     """
     shared = session(docs).sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(F.struct(*quoted(keep)).alias("row"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long" if keep is None else f"row {rows.schema['row'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

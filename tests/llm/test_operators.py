@@ -448,6 +448,70 @@ def test_near_duplicates_hubs_and_exact(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, words=2, exact=True).collect()} == got
 
 
+@pytest.mark.parametrize("n", [400, 800])
+def test_near_duplicates_about_the_threshold(spark, monkeypatch, n):
+    """A group whose pairs lie about the threshold is joined with pairs in proportion to its classes."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(n):
+        w = base.copy()
+        for j in r.sample(range(200), 6):
+            w[j] = f"x{i}y{j}"
+        texts.append(" ".join(w))
+    pairs, write = [], near_dedup.durable
+
+    def counted(df):
+        out = write(df)
+        if {"a", "b"} <= set(out.columns):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "durable", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, words=2).collect()}
+    assert sum(pairs) <= 30 * n and max(pairs) <= 10 * n
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    parent = list(range(n))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same) and top(i) != top(j):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    assert got == {i: top(i) for i in range(n)}
+
+
+def test_fits_take_stretches_of_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"begin{i} " + "w " * (5000 * i) + f"end{i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, "toxic", lambda c: F.lit(True), 100, 4096)
+    assert len(rows) == 6 and all(0 < len(t) <= 4096 for t, _ in rows) and sorted(y for _, y in rows) == [0, 0, 0, 1, 1, 1]
+    assert toxicity.labelled(docs, labels, "toxic", lambda c: F.lit(True), 100, 4096) == rows
+
+
+def test_language_by_a_plain_network(two_tongues, spark):
+    """Scores of a forward pass that is written out: embedding, filter by filter and place by place, largest response, softmax, mean."""
+    model = language.train(two_tongues, most=40)
+    texts = [r.text for r in two_tongues.limit(3).collect()] + ["x", "É" * 300, "der und " * 100]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        data, logs = text.encode(), []
+        for at in range(0, len(data), language.SPAN):
+            e = model.embed[np.frombuffer(data[at : at + language.SPAN].ljust(language.SPAN, b"\0"), np.uint8)].astype(float)
+            pooled = [max(0.0, max(float((e[p : p + len(f)] * f[:, :, c]).sum()) for p in range(len(e) - len(f) + 1))) for f in model.filters for c in range(f.shape[2])]
+            z = np.array(pooled) @ model.out + model.bias
+            logs.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        mean = np.mean(logs, 0)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].lang_pred == model.classes[p.argmax()] and abs(got[i].score - p.max()) < 1e-3 and got[i].windows == len(logs)
+
+
 def test_toxicity_by_plain_compression(spark):
     r = random.Random(2)
     ordinary = [" ".join(r.choice("lorum ipsen dolar sitta amet".split()) + str(r.randrange(9)) for _ in range(50)) for _ in range(160)]

@@ -9,7 +9,7 @@ from kmerweave.llm import packing, toxicity
 
 SPACED = re.compile("[^\\x20\\x09-\\x0d]+")
 #: Names that the operators use themselves.
-NAMES = ["_id", "_key", "_kept", "id", "key", "kept", "row", "score", "gain", "windows", "hits", "items", "n_words", "number", "component_id", "text_key", "start"]
+NAMES = ["_id", "_key", "_kept", "id", "key", "kept", "row", "score", "gain", "windows", "hits", "items", "n_words", "number", "component_id", "text_key", "start", "a.b", "row.text"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in NAMES) + ", tags map<string,int>"
 
 
