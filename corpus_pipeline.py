@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerweave.llm import decontaminate, near_dedup, packing, substrings, toxicity
-from kmerweave.llm.common import shared_folder
+from kmerweave.llm.common import quoted
+from kmerweave.storage import shared_folder
 
 #: A document goes when its toxicity score is at least this.
 TOXIC = 0.7
@@ -22,7 +23,7 @@ TOXIC = 0.7
 def _keyed(docs: DataFrame) -> DataFrame:
     """The rows of docs in one struct, with what tells them apart for a join: doc_id (a null as the least number) and a
     hash of the text."""
-    return docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return docs.select(F.struct(*quoted(docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
