@@ -29,6 +29,7 @@ def base_from_ascii(c) -> Column:
 
 
 def complement(s) -> Column:
+    """Each base's partner, its case kept; whatever is no base, N and n too, stays as it is."""
     return F.translate(_col(s), "ACGTacgt", "TGCAtgca")
 
 
@@ -141,7 +142,7 @@ def register(spark) -> None:
     for name, body in {
         "dna_revcomp(s string) returns string": "reverse(translate(s, 'ACGTacgt', 'TGCAtgca'))",
         "dna_canonical(s string) returns string": "least(s, reverse(translate(s, 'ACGTacgt', 'TGCAtgca')))",
-        "dna_is_valid(s string) returns boolean": "s rlike '^[ACGTacgt]*$'",
+        "dna_is_valid(s string) returns boolean": r"s rlike r'^[ACGTacgt]*\z'",
         "dna_value(s string) returns bigint": "cast(conv(translate(regexp_replace(upper(s), '[^ACGT]', 'A'), 'ACGT', '0123'), 4, 10) as bigint)",
         "dna_decode(v bigint, n int) returns string": "translate(lpad(conv(cast(v as string), 10, 4), n, '0'), '0123', 'ACGT')",
     }.items():

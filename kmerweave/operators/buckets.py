@@ -61,6 +61,26 @@ def top_buckets(counts: DataFrame, n: int = 20) -> DataFrame:
     return counts.orderBy(F.desc("kmers"), "mint").limit(n)
 
 
+def report(counts: DataFrame, l: int, top: int = 20) -> DataFrame:
+    """(section, n, line): a written report of the buckets, to be ordered by section and n: totals, percentiles, the histogram and the
+    largest buckets by their minimizers' text. Some hundred rows at most, whatever the input."""
+    one = bucket_stats(counts)
+    names = ("minimizers", "kmers", "superkmers", "least", "median", "most")
+    totals = one.select(F.posexplode(F.array(*(F.concat_ws(" ", F.lit(c), F.col(c).cast("string")) for c in names))).alias("n", "line"))
+    parts = [
+        totals.select(F.lit(1).alias("section"), "n", "line"),
+        percentiles(counts).select(F.lit(2).alias("section"), F.col("p").alias("n"), F.concat_ws(" ", F.concat(F.lit("P"), "p"), "kmers").alias("line")),
+        histogram(counts).select(F.lit(3).alias("section"), F.col("bin").alias("n"), F.concat_ws(" ", F.concat_ws("-", "low", "high"), "minimizers", "kmers").alias("line")),
+        top_buckets(counts, top).select(F.lit(4).alias("section"), F.row_number().over(Window.orderBy(F.desc("kmers"), "mint")).alias("n"), F.concat_ws(" ", decode_kmer("mint", l), "kmers").alias("line")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def write_report(counts: DataFrame, l: int, path: str) -> None:
+    """The report's lines as one text file."""
+    report(counts, l).orderBy("section", "n").select("line").coalesce(1).write.text(path)
+
+
 def kmers_of(sk: DataFrame, k: int) -> DataFrame:
     """(seq_id, pos, kmer, mint): each superkmer's k-mers, from superkmers with their text. No shuffle."""
     at = sk.select("seq_id", "start", "mint", "text", F.explode(F.sequence(F.lit(0), F.col("size") - k)).alias("i"))

@@ -8,6 +8,9 @@ strands); the several schemes hash canonical l-mers with different seeds, and ea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -25,6 +28,23 @@ def check(k: int, l: int, longest: int, least: int = 1) -> None:
         raise ValueError(f"k >= l and {least} <= l <= {longest} are needed, not k={k}, l={l}")
 
 
+#: What cuts joined sequences or pieces, and the walk of the same rule where it carries state.
+Rule = tuple[Callable, Callable | None]
+
+
+def on_frames(rule: Callable[..., Rule]) -> Callable[..., DataFrame]:
+    """The operator of a rule (k, l, options): takes a frame before these, and the names of its columns, text and piece as
+    superkmers.each does. The rule itself stays at hand as ``rule``."""
+
+    @wraps(rule)
+    def operator(df: DataFrame, k: int, l: int, *args, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False, piece: int | None = None, **options) -> DataFrame:
+        cutter, walker = rule(k, l, *args, **options)
+        return each(df, k, cutter, id_col, seq_col, text, piece, walker)
+
+    operator.rule = rule
+    return operator
+
+
 def nthash(codes: np.ndarray, l: int) -> np.ndarray:
     """The canonical ntHash (the smaller strand's, unsigned) of the l-mer at each base."""
     n = max(0, len(codes) - l + 1)
@@ -73,7 +93,8 @@ def oriented(f, kmer, place, size, l: int, which):
     return np.where(flip, np.minimum(mpos, right), mpos), flip
 
 
-def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) -> DataFrame:
+@on_frames
+def quarantine(k: int, l: int, split_n: bool = False) -> Rule:
     """Leftmost smallest ntHash; a k-mer in which that hash stands more than once is parted from the one before.
     mint is 0; mpos and mint_is_rc are of the strand in which the minimizer stands nearer the start (for repeated
     hashes: where it is first met; ties by the smaller strand). l up to 31."""
@@ -105,7 +126,7 @@ def quarantine(df: DataFrame, k: int, l: int, split_n: bool = False, **cols) ->
         flip[found] = rev[hit] & (~fwd[hit] | smaller_back(f.codes, kmer[found], size[found]))
         return f.row[frag], kmer - f.begin[frag] + f.offset[frag], np.zeros(len(kmer), np.int64), size, first, flip
 
-    return each(df, k, cutter, **cols)
+    return cutter, None
 
 
 def _sized(f, values, l, kmer, place, frag, size, strands):
@@ -115,7 +136,8 @@ def _sized(f, values, l, kmer, place, frag, size, strands):
     return f.row[frag], kmer - f.begin[frag] + f.offset[frag], mint, size, place - kmer, rc
 
 
-def hash_minimizers(df: DataFrame, k: int, l: int, strands: bool = True, split_n: bool = False, **cols) -> DataFrame:
+@on_frames
+def hash_minimizers(k: int, l: int, strands: bool = True, split_n: bool = False) -> Rule:
     """Leftmost smallest canonical ntHash of each k-mer. l up to 15."""
     check(k, l, LONGEST_MINT)
 
@@ -125,10 +147,11 @@ def hash_minimizers(df: DataFrame, k: int, l: int, strands: bool = True, split_n
             return NONE
         return minted(f, lmers(f.codes, l), k, l, "hash", strands, *framed(nthash(f.codes, l), f, k, l, False))
 
-    return each(df, k, cutter, **cols)
+    return cutter, None
 
 
-def candidate_syncmers(df: DataFrame, k: int, l: int, mode: str = "sticky", strands: bool = True, split_n: bool = False, **cols) -> DataFrame:
+@on_frames
+def candidate_syncmers(k: int, l: int, mode: str = "sticky", strands: bool = True, split_n: bool = False) -> Rule:
     """Only canonical closed syncmers are candidates; k-mers without one give no row. l odd.
 
     classical: the rightmost candidate; msp, mspxor: the smallest canonical value (with mspxor scrambled), rightmost
@@ -186,10 +209,11 @@ def candidate_syncmers(df: DataFrame, k: int, l: int, mode: str = "sticky", stra
         at, of = spread(f.begin, f.end - f.begin - k + 1)
         return _sized(f, values, l, *runs(at, place[at], of, ok[at], k), strands)
 
-    return each(df, k, cutter, walker=walker if mode == "sticky" else None, **cols)
+    return cutter, walker if mode == "sticky" else None
 
 
-def naive_syncmers(df: DataFrame, k: int, l: int, rightmost: bool = True, split_n: bool = False, **cols) -> DataFrame:
+@on_frames
+def naive_syncmers(k: int, l: int, rightmost: bool = True, split_n: bool = False) -> Rule:
     """The rightmost or leftmost closed syncmer of each k-mer, homopolymers among them; k-mers without one give no row.
     mint is 0; mpos and mint_is_rc are of the strand in which the syncmer is nearer the start. l up to 31."""
     check(k, l, LONGEST, 3)
@@ -206,10 +230,11 @@ def naive_syncmers(df: DataFrame, k: int, l: int, rightmost: bool = True, split_
         mpos, flip = oriented(f, kmer, place, size, l, np.ones(len(kmer), bool))
         return f.row[frag], kmer - f.begin[frag] + f.offset[frag], np.zeros(len(kmer), np.int64), size, mpos, flip
 
-    return each(df, k, cutter, **cols)
+    return cutter, None
 
 
-def multi_minimizers(df: DataFrame, k: int, l: int, n_hashes: int = 2, strands: bool = True, split_n: bool = False, **cols) -> DataFrame:
+@on_frames
+def multi_minimizers(k: int, l: int, n_hashes: int = 2, strands: bool = True, split_n: bool = False) -> Rule:
     """Several hash schemes at once: each superkmer is the longest run that a scheme offers at its start (the first
     scheme of equals). n_hashes is 1, 2, 3, 4, 8 or 16, and k - l even."""
     if n_hashes not in (1, 2, 3, 4, 8, 16) or (k - l) % 2:
@@ -247,4 +272,4 @@ def multi_minimizers(df: DataFrame, k: int, l: int, n_hashes: int = 2, strands:
         path = walker(data, offsets)
         return path.rows(*path.travel(*entered)) if path else NONE
 
-    return each(df, k, cutter, walker=walker, **cols)
+    return cutter, walker

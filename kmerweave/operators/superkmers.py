@@ -278,19 +278,19 @@ def check(k: int, l: int, family: str, mode: str) -> None:
         raise ValueError(f"{family} has the sticky mode only")
 
 
-def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str = "mspxor", canonical: bool = True, split_n: bool = False, s: int = 2, scores: list[int] | None = None, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False, piece: int | None = None) -> DataFrame:
+def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str = "mspxor", canonical: bool = True, split_n: bool = False, s: int = 2, scores: list[int] | DataFrame | None = None, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False, piece: int | None = None) -> DataFrame:
     """The superkmers of each sequence: SCHEMA, with ``text`` also each one's bases, in no order.
 
     One narrow pass: a task reads Arrow batches of sequences and cuts them in numpy, so that nothing is exploded to
-    bases or shuffled. mpos is relative to start. scores replaces the family's table (4^l numbers). Sequences shorter
-    than k, empty or null give no rows.
+    bases or shuffled. mpos is relative to start. scores replaces the family's table: 4^l numbers, or a frame (lmer, score) as
+    ``score_array`` takes it. Sequences shorter than k, empty or null give no rows.
 
     A sequence is cut by one task, unless ``piece`` is given: then it is cut in pieces of so many bases by any number of tasks,
     with the same rows. df may hold pieces itself, as ``pieces.of_parts`` and FASTA files give them. See ``pieces.cut_pieces``.
     """
     check(k, l, family, mode)
-    own = np.array(scores, np.int64) if scores is not None else None
-    table = lambda: score_table(family, mode, l, s) if own is None else own
+    own = None if scores is None else df.sparkSession.sparkContext.broadcast(score_array(scores, l) if isinstance(scores, DataFrame) else np.array(scores, np.int64))
+    table = lambda: score_table(family, mode, l, s) if own is None else own.value
 
     def cutter(data: np.ndarray, at: np.ndarray, *entered) -> tuple[np.ndarray, ...]:
         return cut(data, at, k, l, family, mode, canonical, split_n, table(), *entered)
@@ -301,6 +301,20 @@ def superkmers(df: DataFrame, k: int, l: int, family: str = "syncmer", mode: str
     return each(df, k, cutter, id_col, seq_col, text, piece, walker if mode == "sticky" else None)
 
 
+def score_array(scores: DataFrame, l: int) -> np.ndarray:
+    """The scores of all 4^l l-mers from a frame (lmer, score), for every mode; of several scores of one l-mer the smallest holds, and
+    l-mers without one come behind all others. The array goes to all tasks: at most 134 MB, as l is at most 12. What comes through the
+    driver is checked against that size first."""
+    rows = scores.select(F.col("lmer").cast("long").alias("lmer"), F.col("score").cast("long").alias("score")).where(f"lmer between 0 and {4**l - 1} and score is not null").groupBy("lmer").agg(F.min("score").alias("score"))
+    got = rows.toArrow()
+    lmer, score = np.asarray(got["lmer"]), np.asarray(got["score"])
+    if len(score) and int(score.min()) < 0:
+        raise ValueError("scores are 0 or more")
+    out = np.full(4**l, int(score.max()) + 1 if len(score) else 0, np.int64)
+    out[lmer] = score
+    return out
+
+
 def each(df: DataFrame, k: int, cutter, id_col: str = "seq_id", seq_col: str = "seq", text: bool = False, piece: int | None = None, walker=None) -> DataFrame:
     """SCHEMA rows of a cutter (joined bases, their offsets -> row, start, mint, size, mpos, mint_is_rc), over Arrow batches;
     with ``text`` also the superkmers' bases. Short and null sequences are left to the cutter: a filter before the pass

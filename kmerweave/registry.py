@@ -165,6 +165,8 @@ QUERIES = {
     "ry_patterns": _scalar(lambda: [dna.lmer_to_ry(F.substring("seq", 1, L)).alias("ry"), dna.ry_revcomp(dna.lmer_to_ry(F.substring("seq", 1, L)), L).alias("ry_rc")]),
     "pack_words": _scalar(lambda: [F.posexplode(dna.pack_words("seq")).alias("i", "word")]),
     "pack_words_rc": _scalar(lambda: [F.posexplode(dna.pack_words("seq", "reverse")).alias("i", "word")]),
+    "complements": lambda spark, sf: texts(spark, sf, breaks=True).select("seq_id", dna.complement("seq").alias("complement")),
+    "pack_words_rc_with_n": lambda spark, sf: reads(spark, sf).select("seq_id", F.replace("seq", F.lit("ACG"), F.lit("NCG")).alias("seq")).select("seq_id", F.posexplode(dna.pack_words("seq", "reverse")).alias("i", "word")),
     "pack_bytes": _scalar(lambda: [F.posexplode(dna.pack_bytes("seq")).alias("i", "byte")]),
     "packed_kmers": _scalar(lambda: [dna.get_kmer_value(dna.pack_words("seq"), 20, K).alias("value")]),
     "split_n": _fragments,
@@ -201,6 +203,7 @@ QUERIES = {
     "bucket_percentiles": _stats(buckets.percentiles),
     "bucket_histogram": _stats(buckets.histogram),
     "bucket_top20": _stats(buckets.top_buckets),
+    "bucket_report": _stats(lambda counts: buckets.report(counts, L)),
     "kmers_of_superkmers": partial(_kmers, mode="mspxor"),
     "tiling_check": _tiling,
     "crossbucket_mspxor": lambda spark, sf: buckets.crossbucket(_kmers(spark, sf, "mspxor", _both_strands)),
@@ -454,6 +457,8 @@ ORACLES = {
     "ry_patterns": _R + "select seq_id, " + " + ".join(f"(substr(seq, {i + 1}, 1) in ('C', 'T'))::bigint * {2 ** (7 - i)}" for i in range(8)) + " as ry, " + " + ".join(f"(substr(seq, {i + 1}, 1) in ('A', 'G'))::bigint * {2**i}" for i in range(8)) + " as ry_rc from reads",
     "pack_words": _R + _words("seq"),
     "pack_words_rc": _R + _words(_reverse("seq")),
+    "complements": _with(_DOCS_N) + "select seq_id, translate(seq, 'ACGTacgt', 'TGCAtgca') as complement from docs",
+    "pack_words_rc_with_n": _R + _words("reverse(translate(replace(seq, 'ACG', 'NCG'), 'ACGTN', 'TGCAT'))"),
     "pack_bytes": _R + "select seq_id, i::int as i, (" + " + ".join(f"instr('CGT', substr(seq, 4 * i + {j + 1}, 1)) * {4**j}" for j in range(4)) + ")::int as byte from (select seq_id, seq, unnest(range(0, (length(seq) + 3) // 4)) as i from reads)",
     "packed_kmers": _R + f"select seq_id, {_value('seq', K, '20')} as value from reads",
     "split_n": _with(_DOCS_N, _PARTS_N) + f'select seq_id, o::bigint as "offset", len::bigint as length from parts where len >= {K}',
@@ -470,6 +475,12 @@ ORACLES = {
     "bucket_percentiles": _with(_COUNTS) + "select p::int as p, kmers from (select kmers, row_number() over (order by kmers) - 1 as i, count(*) over () as n from counts) join (select unnest([1, 5, 25, 50, 75, 90, 95, 99]) as p) on i = n * p // 100",
     "bucket_histogram": _with(_COUNTS) + "select bin::int as bin, (1::bigint << (bin - 1)::int) as low, (1::bigint << bin::int) - 1 as high, count(*) as minimizers, sum(kmers)::bigint as kmers, sum(kmers) * 100.0::double / sum(sum(kmers)) over () as percent from (select *, length(format('{:b}', kmers)) as bin from counts) group by bin",
     "bucket_top20": _with(_COUNTS) + "select * from counts order by kmers desc, mint limit 20",
+    "bucket_report": _with(_COUNTS + ", placed as (select kmers, row_number() over (order by kmers) - 1 as i, count(*) over () as n from counts)") + """
+        select 1 as section, n::int as n, line from (select unnest(range(6)) as n, unnest(['minimizers ' || count(*), 'kmers ' || sum(kmers), 'superkmers ' || sum(superkmers), 'least ' || min(kmers),
+            'median ' || (select kmers from placed where i = n // 2), 'most ' || max(kmers)]) as line from counts)
+        union all select 2, p::int, 'P' || p || ' ' || kmers from placed join (select unnest([1, 5, 25, 50, 75, 90, 95, 99]) as p) on i = n * p // 100
+        union all select 3, bin::int, (1::bigint << (bin - 1)::int) || '-' || ((1::bigint << bin::int) - 1) || ' ' || count(*) || ' ' || sum(kmers) from (select *, length(format('{:b}', kmers)) as bin from counts) group by bin
+        union all select 4, n::int, """ + " || ".join(f"substr('ACGT', ((mint >> {2 * (L - 1 - i)}) & 3) + 1, 1)" for i in range(L)) + """ || ' ' || kmers from (select *, row_number() over (order by kmers desc, mint) as n from counts) where n <= 20""",
     "kmers_of_superkmers": _with(_KMERS) + "select * from kmers",
     "tiling_check": _sticky_sql(SCORES["syncmer"][1], 8, source=_DOCS) + f", placed as (select seq_id, unnest(range(start, start + size - {K - 1})) as pos from sk), times as (select seq_id, pos, count(*) as c from placed group by all), "
         f"covers as (select seq_id, sum(c)::bigint as covered, max(c) as most, count(*) as places from times where pos >= 0 group by seq_id) "
