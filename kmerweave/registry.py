@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerweave import hash_sql
-from kmerweave.functions import dna
+from kmerweave.functions import dna, scores
 from kmerweave.functions.scores import score_dim
 from kmerweave.operators import buckets, hashed, pieces
 from kmerweave.operators.superkmers import superkmers
@@ -250,7 +250,7 @@ def _uhs(v: str, l: int) -> str:
 
     ry = "(" + " + ".join(f"(({v} >> {2 * i}) & 1) * {2**i}" for i in range(l)) + ")"
     back = "(" + " + ".join(f"(1 - (({v} >> {2 * i}) & 1)) * {2 ** (l - 1 - i)}" for i in range(l)) + ")"
-    among = "(" + ", ".join(UHS_PATTERNS[l].split()) + ")"
+    among = "(" + ", ".join(map(str, UHS_PATTERNS[l])) + ")"
     return f"(case when {v} in (0, {4**l - 1}) then 1 when {ry} in {among} or {back} in {among} then 0 else 1 end)"
 
 
@@ -263,7 +263,7 @@ def _tie(base: str, tie: str) -> str:
     return f"({base}) * 2147483648 + (({tie}) & 2147483647)"
 
 
-XOR = f"xor(c, {0xACE5ACE5})"
+XOR = f"xor(c, {scores.XOR})"
 SCORES = {
     "syncmer": (8, _good("v", 8, 2)),
     "syncmer_l9": (9, _good("v", 9, 2)),
