@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ TEMPLATES = [
     ("mozilla public license version 2 0", "mpl-2.0", "mozilla public license version 2 0"),
 ]
 
-#: Words of all templates together that one scan takes.
-MAX_TEMPLATE_WORDS = 20_000
+#: Groups that the index's words fall into by hash, so that a lookup meets a few of them.
+SHELVES = 256
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -45,28 +47,30 @@ def words(text: str = "text"):
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
+def listed(vocabulary) -> str:
+    """Words as SQL literals. Words hold no quotes; what does can't be met and is left out."""
+    return ", ".join(f"'{w}'" for w in vocabulary if not set(w) & {"'", "\\"}) or "''"
+
+
 def rarity(docs: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency, over all documents, of the words that templates use: as many counts as those."""
-    found = docs.select(F.explode(F.array_intersect(words(), F.array(*map(F.lit, vocabulary)))).alias("word")).groupBy("word").count()
+    found = docs.select(words().alias("words")).select(F.explode(F.expr(f"array_distinct(filter(words, w -> w in ({listed(vocabulary)})))")).alias("word")).groupBy("word").count()
     seen = {r["word"]: r["count"] for r in found.collect()}
     return {w: 1.0 / (1 + seen.get(w, 0)) for w in vocabulary}
 
 
-def postings(idf: dict[str, float], phrases: dict[str, str], templates: list[tuple[str, str, str]]):
-    """The index as one constant map: word to array of (at, words, key, n, label, exact).
-
-    A template stands under the rarest word of its key phrase, which must be there (a phrase is its own key); ``at`` is that
-    word's place in the template, ``key`` and ``n`` the place and length of the key phrase.
-    """
-    index: dict[str, list] = {}
+def postings(idf: dict[str, float], phrases: dict[str, str], templates: list[tuple[str, str, str]]) -> tuple[list, list]:
+    """(templates, postings): templates as (t, words, key, n, label, exact), ``key`` and ``n`` the place and length of the key phrase, which must
+    be there (a phrase is its own key); postings as (word, t, at, nth, last): the two rarest words of each key phrase, rarest first, at
+    their places in the template; ``last`` marks the last of its template."""
+    known, posts = [], []
     for text, label, phrase, exact in [*((t, label, t, True) for t, label in phrases.items()), *((*t, False) for t in templates)]:
         ws, ks = text.split(), phrase.split()
-        key = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks)
-        at = max(range(key, key + len(ks)), key=lambda i: (idf[ws[i]], -i))
-        index.setdefault(ws[at], []).append((at, ws, key, len(ks), label, exact))
-    names = ("at", "words", "key", "n", "label", "exact")
-    posting = lambda p: F.struct(*(F.array(*map(F.lit, v)).alias(c) if c == "words" else F.lit(v).alias(c) for c, v in zip(names, p, strict=True)))
-    return index, F.create_map(*(x for w, ps in index.items() for x in (F.lit(w), F.array(*map(posting, ps)))))
+        key, t = next(i for i in range(len(ws)) if ws[i : i + len(ks)] == ks), len(known)
+        known.append((t, ws, key, len(ks), label, exact))
+        rare = sorted(range(key, key + len(ks)), key=lambda i: (-idf[ws[i]], i))[:2]
+        posts += [(ws[at], t, at, nth, nth == len(rare)) for nth, at in enumerate(rare, 1)]
+    return known, posts
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str, str]] | None = None, least: float = 0.7) -> DataFrame:
@@ -76,25 +80,40 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     phrases, found array<struct<start,label,share>> for the templates of which at least ``least`` of the words stand
     at their relative positions with the key phrase whole.
 
-    A document's words are looked up in the index, where each template stands under the rarest word of its key phrase over
-    the corpus. A hit gives the one place where that template would start; the key phrase is compared there and the
-    template's other words are met at their relative positions. The index is a constant of the plan, as large as the
-    templates given (a bounded list, MAX_TEMPLATE_WORDS words); the plan's expressions don't grow with it. All happens within a row, so
-    neither common words nor large groups move any data; the only shuffle counts the templates' own words.
+    The index is a table of postings (word, template, place): the two words of highest inverse document frequency over the corpus of
+    each template's key phrase. A document's words that it holds are looked up; a hit says where the template would start, and the starts
+    that the postings of a template's both words give are intersected. There the key phrase is compared, and the template's other
+    words are met at their relative positions. Index and templates are two literals of the plan, as large as the templates given;
+    the plan's expressions don't grow with them. All happens within a row, so neither common words nor large groups move any
+    data; the only shuffle counts the templates' own words.
 
     Null or empty text: no words, nothing found. Null doc_id and repeated rows: a row each. Other columns aren't read.
     """
-    phrases, templates = phrases or PHRASES, templates or TEMPLATES
-    texts = [w for t in [*phrases, *(t for t, _, _ in templates)] for w in t.split()]
-    if len(texts) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates of {len(texts)} words, over {MAX_TEMPLATE_WORDS}")
-    index, constant = postings(rarity(docs, sorted(set(texts))), phrases, templates)
+    phrases, templates, spark = phrases or PHRASES, templates or TEMPLATES, docs.sparkSession
+    vocabulary = sorted({w for t in [*phrases, *(t for t, _, _ in templates)] for w in t.split()})
+    known, posts = postings(rarity(docs, vocabulary), phrases, templates)
+    many, longest = len(known), max(len(t[1]) for t in known)
+    shelf = lambda w: F.pmod(F.xxhash64(w), F.lit(SHELVES)).cast("int")
+    # SHELVES maps from words to their postings, and the templates by number: two literals, which the optimizer reads once.
+    shelf_of = {r["word"]: r["shelf"] for r in spark.createDataFrame([(w,) for w in {p[0] for p in posts}], "word string").select("word", shelf(F.col("word")).alias("shelf")).collect()}
+    shelves: list[dict] = [{} for _ in range(SHELVES)]
+    for word, t, at, nth, last in posts:
+        shelves[shelf_of[word]].setdefault(word, []).append({"t": t, "at": at, "nth": nth, "last": last})
+    index = F.from_json(F.lit(json.dumps(shelves)), "array<map<string,array<struct<t:bigint,at:int,nth:int,last:boolean>>>>")
+    kept = F.from_json(F.lit(json.dumps([dict(zip(("words", "key", "n", "label", "exact"), t[1:], strict=True)) for t in known])), "array<struct<words:array<string>,key:int,n:int,label:string,exact:boolean>>")
+
+    held = ", ".join(sorted({w for w, *_ in posts}))
     rows = docs.select("doc_id", words().alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*index), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("hits", F.when(F.arrays_overlap("words", F.array(*map(F.lit, index))), at))
-    starts = lambda i: F.transform(constant[F.get("words", i)], lambda p: F.struct((i - p["at"]).alias("start"), p.alias("t")))
+    rows = rows.withColumn("hits", F.expr(f"filter(transform(words, (w, i) -> case when w in ({listed(held.split(', '))}) then i end), i -> i is not null)"))
+    # A start of a template in one number: (start + longest) * many + template.
+    place = lambda i, p: (i - p["at"] + longest).cast("long") * many + p["t"]
+    posted = lambda w: F.element_at(F.get(index, shelf(w)), w)
+    starts = lambda which: F.flatten(F.transform("hits", lambda i: F.transform(F.filter(posted(F.get("words", i)), which), lambda p: place(i, p))))
+    some_hits = F.size("hits") > 0
+    rows = rows.withColumn("starts", F.when(some_hits, F.array_intersect(starts(lambda p: p["nth"] == 1), starts(lambda p: p["last"]))))
+    met = F.transform("starts", lambda c: F.struct((F.floor(c / F.lit(many)) - longest).cast("int").alias("start"), F.get(kept, (c % many).cast("int")).alias("t")))
     same = lambda c: (c["start"] + c["t"]["key"] >= 0) & (F.slice("words", F.greatest(c["start"] + c["t"]["key"], F.lit(0)) + 1, c["t"]["n"]) == F.slice(c["t"]["words"], c["t"]["key"] + 1, c["t"]["n"]))
-    rows = rows.withColumn("met", F.filter(F.flatten(F.transform("hits", starts)), same))
+    rows = rows.withColumn("met", F.filter(met, same))
 
     def notice(c):
         there = F.size(F.filter(F.transform(c["t"]["words"], lambda w, i: F.get("words", c["start"] + i).eqNullSafe(w)), lambda x: x))

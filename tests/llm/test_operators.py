@@ -143,8 +143,17 @@ def test_licenses_by_sql(spark, tmp_path):
         c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
         want = c.sql(f"select {', '.join(got.columns)} from ({ORACLES['op2_licenses']})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
-    with pytest.raises(ValueError):
-        licenses.scan(got.selectExpr("doc_id", "labels as text"), templates=[("a b " * 20_000, "x", "a b")])
+
+
+def test_many_and_long_templates(spark):
+    """Lists of any size, each template found by its own two words; quotes in a template are no words."""
+    r = random.Random(9)
+    some = [" ".join(f"t{r.randrange(4000)}" for _ in range(40)) for _ in range(700)]
+    templates = [(t, f"x{i}", " ".join(t.split()[10:14])) for i, t in enumerate(some)] + [("it's quoted", "q", "it's quoted"), ("long " * 30_000 + "end of it", "long", "end of it")]
+    texts = [some[5], "so " + some[699] + " it", " ".join(some[7].split()[3:]), " ".join(some[8].split()[:12]), "long " * 30_000 + "end of it", "end of it", "it's quoted", "word " * 50_000 + some[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(f.start, f.label, round(f.share, 3)) for f in r.found] for r in licenses.scan(df, templates=templates).collect()}
+    assert got == {0: [(0, "x5", 1.0)], 1: [(1, "x699", 1.0)], 2: [(-3, "x7", 0.925)], 3: [], 4: [(0, "long", 1.0)], 5: [], 6: [], 7: [(50_000, "x3", 1.0)]}
 
 
 # 3 decontamination
@@ -497,8 +506,8 @@ def test_fits_take_stretches_of_long_texts(spark):
 
 def test_language_by_a_plain_network(two_tongues, spark):
     """Scores of a forward pass that is written out: embedding, filter by filter and place by place, largest response, softmax, mean."""
-    model = language.train(two_tongues, most=40)
-    texts = [r.text for r in two_tongues.limit(3).collect()] + ["x", "É" * 300, "der und " * 100]
+    model = language.train(spark.createDataFrame(two_tongues, "doc_id long, text string, lang string"), most=40)
+    texts = [t for _, t, _ in two_tongues[:3]] + ["x", "É" * 300, "der und " * 100]
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     for i, text in enumerate(texts):
         data, logs = text.encode(), []
