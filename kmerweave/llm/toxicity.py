@@ -61,7 +61,7 @@ def grams(text: bytes, sizes: tuple[int, ...] = (5, 6, 7)) -> np.ndarray:
 
 
 def pick(toxic: list[bytes], ordinary: list[bytes], most: int = 128, contrast: float = 12.0) -> list[bytes]:
-    """Strings for the toxic dictionary: byte n-grams that are at least ``contrast`` times as frequent in toxic texts
+    """What toxic texts favour: byte n-grams that are at least ``contrast`` times as frequent in toxic texts
     (by document, smoothed), taken one after another by how many toxic texts they reach that have few so far."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic:
@@ -92,23 +92,44 @@ def pick(toxic: list[bytes], ordinary: list[bytes], most: int = 128, contrast: f
     return out
 
 
+def spans(texts: list[bytes], strings: list[bytes], around: int = 4) -> list[bytes]:
+    """The stretches of the texts, words parted by one space, that hold one of the strings: it and ``around`` bytes on either side."""
+    out = []
+    for text in texts:
+        plain = b" " + PARTING.sub(b" ", text) + b" "
+        for string in strings:
+            at = plain.find(string)
+            while at >= 0:
+                out.append(plain[max(0, at - around) : at + len(string) + around])
+                at = plain.find(string, at + 1)
+    return out
+
+
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes | None:
+    """The dictionary that zstandard's trainer makes from the samples; None where they are too few."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return None
+
+
 class Model:
     """Two dictionaries and a calibrated threshold function of what the toxic one saves on a text's windows.
 
-    Both dictionaries end with the same ordinary text, as zstandard's trainer picks it; the toxic one is preceded by strings
-    that toxic texts favour, so that a window's two lengths differ by those alone. Few labels of one kind: the
-    score is the share of label 1.
+    zstandard's trainer makes one dictionary from ordinary text and one from the spans of toxic texts that hold what these favour (the
+    rest of a toxic text is ordinary). The ordinary dictionary also follows the toxic one, so that a window's two lengths
+    differ by what was learned from toxic text alone. Few labels of one kind: the score is the share of label 1.
     """
 
-    def __init__(self, texts: list[bytes], labels: list[int], dictionary_bytes: int = 32768):
+    def __init__(self, texts: list[bytes], labels: list[int], dictionary_bytes: int = 32768, toxic_bytes: int = 3072):
         texts = [t.lower() for t in texts]
         toxic, ordinary = ([t for t, y in zip(texts, labels, strict=True) if y == k] for k in (1, 0))
         pieces = [t[i : i + 200] for t in ordinary for i in range(0, len(t), 200)]
-        try:
-            base = zstandard.train_dictionary(dictionary_bytes, pieces, k=64, d=6).as_bytes()
-        except (zstandard.ZstdError, ValueError):  # too few texts to train from
-            base = b" ".join(pieces)[:dictionary_bytes] or b"        "
-        self.ordinary, self.toxic = base, b"".join(reversed(pick(toxic, ordinary))) + base
+        base = trained(pieces, dictionary_bytes, 64, 6) or b" ".join(pieces)[:dictionary_bytes] or b"        "
+        strings = pick(toxic, ordinary)
+        favoured = spans(toxic, strings)
+        learned = (trained(favoured, toxic_bytes, 16, 8) if len(favoured) >= 100 else None) or b"".join(reversed(strings))
+        self.ordinary, self.toxic = base, learned + base
         data = b"".join(texts)
         x = self.features(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))[0]
         y = np.array(labels, float)
