@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from kmerweave.storage import shared_folder
+from kmerweave.storage import new_path
 
 #: Rows that cross to Python at once, and the text bytes that one numpy pass works on.
 BATCH_ROWS, CHUNK_BYTES = 256, 1 << 20
@@ -28,7 +27,7 @@ def session(df: DataFrame) -> SparkSession:
 def durable(df: DataFrame) -> DataFrame:
     """The frame as a table written to the shared folder and read again: it cuts the lineage, survives lost executors,
     and has a true size, where a checkpoint would carry its plan's estimate on from round to round."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +41,11 @@ def quoted(names: list[str]) -> list[F.Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def beside_row(rows: DataFrame, rest: str) -> StructType:
+    """The schema of a pass that hands the struct ``row`` on and adds columns; whatever the names in it are."""
+    return StructType([StructField("row", rows.schema["row"].dataType), *StructType.fromDDL(rest).fields])
+
+
 def stretch(text: str, of: str, most: int) -> F.Column:
     """A text of at most ``most`` characters whole; of a longer one, a stretch of that length at most, of several of equal size, by a
     hash of ``of``. For samples that pass through the driver, which so have a bounded size without any text being left out."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import ALNUM, LOWER, chunks, durable, find_words, hash_runs, hash_words, quoted, session, table
+from kmerweave.llm.common import ALNUM, LOWER, beside_row, chunks, durable, find_words, hash_runs, hash_words, quoted, session, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, text_key long, n_words long, hits array<struct<start:long,stop:long>>, items array<long>"
@@ -170,7 +170,7 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, max_item_chars:
                     hits = [[{"start": a, "stop": b} for a, b in merged(s)] for s in spans]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(hits, kind), pa.array([sorted(o) for o in owners], pa.list_(pa.int64()))], names=["row", "n_words", "hits", "items"])
 
-        return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_words long, hits array<struct<start:long,stop:long>>, items array<long>")
+        return rows.mapInArrow(run, beside_row(rows, "n_words long, hits array<struct<start:long,stop:long>>, items array<long>"))
 
     scans = []
     for k in range(blocks):

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerweave.llm.common import LOWER, SPACED, chunks, crc_mod, find_words, quoted, session, stretch, table
+from kmerweave.llm.common import LOWER, SPACED, beside_row, chunks, crc_mod, find_words, quoted, session, stretch, table
 
 #: Columns of the result.
 SCHEMA = "doc_id long, score double, gain long, windows long"
@@ -199,7 +199,7 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
     """
     shared = session(docs).sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if keep is None else docs.select(F.struct(*quoted(keep)).alias("row"), F.col("text").cast("string").alias("text"))
-    kind = "doc_id long" if keep is None else f"row {rows.schema['row'].dataType.simpleString()}"
+    first = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -207,10 +207,9 @@ def rate(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
         for batch in batches:
             for part, data, at in chunks(batch):
                 x, best, total = m.features(data, at, packers)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(x)), pa.array(best), pa.array(total)], names=[kind.split()[0], "score", "gain", "windows"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(x)), pa.array(best), pa.array(total)], names=[first, "score", "gain", "windows"])
 
-    out = rows.mapInArrow(run, f"{kind}, score double, gain long, windows long")
-    return out
+    return rows.mapInArrow(run, SCHEMA if keep is None else beside_row(rows, "score double, gain long, windows long"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
