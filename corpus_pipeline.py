@@ -7,14 +7,12 @@ the stage's operator defines.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerweave.llm import decontaminate, near_dedup, packing, substrings, toxicity
 from kmerweave.llm.common import quoted
-from kmerweave.storage import shared_folder
+from kmerweave.storage import new_path, remove, scratch
 
 #: A document goes when its toxicity score is at least this.
 TOXIC = 0.7
@@ -68,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet beside the checkpoints and read again."""
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet beside the checkpoints and read again. When a stage is written, the tables that it
+    made on its way and those of the stage before are removed; the last one's rows stay, as the result reads them."""
+    docs, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = new_path(spark, f"corpus-{i}-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if was:
+            remove(spark, was)
+        docs, was = spark.read.parquet(path), path
     return docs
