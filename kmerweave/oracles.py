@@ -302,6 +302,11 @@ ORACLES = {
     "joined_candidates_sticky": _candidates_sql("sticky", JOINED),
     "joined_multi_minimizers_2": _multi_sql(2, JOINED),
     "fasta_sticky": _sticky_sql(SCORES["syncmer"][1], 8) + "select * from sk",
+    "line_reads": _R + "select seq from reads",
+    "read_tiles": _R + f"""
+        , spans as (select seq_id, seq, len, unnest(list_distinct(list_append(range(0, length(seq) - len + 1, len // 3), length(seq) - len))) as start from (select *, unnest([100, 150, 200, 500]) as len from reads) where length(seq) >= len)
+        select seq_id, len::int as length, start::int as start, strand, case when strand = '+' then t else {_reverse('t')} end as seq
+        from (select seq_id, len, start, substr(seq, start + 1, len) as t, unnest(['+', '-']) as strand from spans)""",
     "kmer_counts_both_strands": _R + f"select least(kmer, {_reverse('kmer')}) as kmer, 2 * count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1",
     "score_sum": _with(READS, _lmers_sql(L), _dims(*SCORES["mspxor"])) + "select sum(score)::varchar as total from lmers join dims using (lmer)",
     **dict.fromkeys(("kmer_counts", "kmer_counts_bucketed"), _R + f"select least(kmer, {_reverse('kmer')}) as kmer, count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1"),

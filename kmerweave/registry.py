@@ -14,7 +14,7 @@ from kmerweave.operators.superkmers import superkmers
 from kmerweave.operators.syncmers import syncmer_positions
 from kmerweave.oracles import K, LH, ORACLES, L  # noqa: F401  ORACLES for those who take queries and SQL from one place
 from kmerweave.plans import relational
-from kmerweave.sources.sequences import joined_reads, read_fasta_pieces, reads, texts, tile, write_fasta
+from kmerweave.sources.sequences import joined_reads, read_fasta_pieces, read_lines, reads, texts, tile, write_fasta
 from kmerweave.storage import new_path
 
 
@@ -98,6 +98,13 @@ def _fasta(spark, sf):
     return sk.join(records.select("seq_id", F.col("header").cast("bigint").alias("read")), "seq_id").select(F.col("read").alias("seq_id"), "start", "mint", "size", "mpos", "mint_is_rc")
 
 
+def _line_reads(spark, sf):
+    """Reads written as FASTA of one line each and read again line by line."""
+    path = new_path(spark, "reads-lines")
+    write_fasta(reads(spark, sf), path)
+    return read_lines(spark, path).select("seq")
+
+
 def _tiling(spark, sf):
     seqs = texts(spark, sf)
     return buckets.tiling(superkmers(seqs, K, L, mode="sticky"), seqs, K)
@@ -196,6 +203,8 @@ QUERIES = {
     "joined_candidates_sticky": _joined(lambda p: hashed.candidate_syncmers(p, K, LH)),
     "joined_multi_minimizers_2": _joined(lambda p: hashed.multi_minimizers(p, K, LH, 2)),
     "fasta_sticky": _fasta,
+    "line_reads": _line_reads,
+    "read_tiles": lambda spark, sf: tile(reads(spark, sf)),
     "bucket_counts": _counts,
     "bucket_stats": _stats(buckets.bucket_stats),
     "bucket_percentiles": _stats(buckets.percentiles),
