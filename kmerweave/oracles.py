@@ -234,24 +234,19 @@ def _everywhere_sql(length: int, values: str) -> str:
 ORACLES = {
     "revcomp": _R + f"select seq_id, {_reverse('seq')} as rc from reads",
     "revcomp_min": _R + f"select seq_id, seq < {_reverse('seq')} as smaller from reads",
-    "canonical_kmers": _R + f"select seq_id, least(substr(seq, 1, {K}), {_reverse(f'substr(seq, 1, {K})')}) as kmer from reads",
-    "valid_bases": "select doc_id, regexp_full_match(substr(translate(lower(text), 'abcdefghij', 'acgtacgtac'), 1, 1), '[ACGTacgt]*') as valid from documents",
     "valid_texts": "select doc_id, regexp_full_match(translate(lower(text), 'abcdefghij', 'acgtacgtac'), '[ACGTacgt]*') as valid from documents",
     "valid_words": "select doc_id, (i - 1)::int as i, regexp_full_match(list_extract(w, i), '[ACGTacgt]*') as valid from (select doc_id, w, unnest(range(1, length(w) + 1)) as i from (select doc_id, string_split(translate(lower(text), 'abcdefghij', 'acgtacgtac'), ' ') as w from documents))",
     "canonical_kmers_all": _everywhere_sql(K, f"least(part, {_reverse('part')}) as kmer"),
     "encode_bases_all": _everywhere_sql(1, "instr('CGT', part)::bigint as code, instr('CGT', part)::bigint as bits"),
     "ry_patterns_all": _everywhere_sql(L, " + ".join(f"(substr(part, {i + 1}, 1) in ('C', 'T'))::bigint * {2 ** (7 - i)}" for i in range(8)) + " as ry, " + " + ".join(f"(substr(part, {i + 1}, 1) in ('A', 'G'))::bigint * {2**i}" for i in range(8)) + " as ry_rc"),
     "packed_kmers_all": _everywhere_sql(K, f"{_value('part', K)} as value"),
-    "encode_bases": _R + "select seq_id, instr('CGT', substr(seq, 5, 1))::bigint as code, instr('CGT', substr(seq, 5, 1))::bigint as bits from reads",
     "encode_lmers": _with(READS, _lmers_sql(L)) + "select seq_id, pos::int as pos, lmer from lmers",
     "canonical_lmers": _with(READS, _lmers_sql(L)) + f"select seq_id, pos::int as pos, least(lmer, {_rc('lmer', L)}) as canon from lmers",
-    "ry_patterns": _R + "select seq_id, " + " + ".join(f"(substr(seq, {i + 1}, 1) in ('C', 'T'))::bigint * {2 ** (7 - i)}" for i in range(8)) + " as ry, " + " + ".join(f"(substr(seq, {i + 1}, 1) in ('A', 'G'))::bigint * {2**i}" for i in range(8)) + " as ry_rc from reads",
     "pack_words": _R + _words("seq"),
     "pack_words_rc": _R + _words(_reverse("seq")),
     "complements": _with(_DOCS_N) + "select seq_id, translate(seq, 'ACGTacgt', 'TGCAtgca') as complement from docs",
     "pack_words_rc_with_n": _R + _words("reverse(translate(replace(seq, 'ACG', 'NCG'), 'ACGTN', 'TGCAT'))"),
     "pack_bytes": _R + "select seq_id, i::int as i, (" + " + ".join(f"instr('CGT', substr(seq, 4 * i + {j + 1}, 1)) * {4**j}" for j in range(4)) + ")::int as byte from (select seq_id, seq, unnest(range(0, (length(seq) + 3) // 4)) as i from reads)",
-    "packed_kmers": _R + f"select seq_id, {_value('seq', K, '20')} as value from reads",
     "split_n": _with(_DOCS_N, _PARTS_N) + f'select seq_id, o::bigint as "offset", len::bigint as length from parts where len >= {K}',
     "syncmers_open": _R + _SYNC.format(p=_PARTS, t="4"),
     "syncmers_closed": _R + _SYNC.format(p=_PARTS, t="1, 11"),
@@ -311,3 +306,6 @@ ORACLES = {
     "score_sum": _with(READS, _lmers_sql(L), _dims(*SCORES["mspxor"])) + "select sum(score)::varchar as total from lmers join dims using (lmer)",
     **dict.fromkeys(("kmer_counts", "kmer_counts_bucketed"), _R + f"select least(kmer, {_reverse('kmer')}) as kmer, count(*) as count from (select substr(seq, pos + 1, {K}) as kmer from (select seq, unnest(range(0, length(seq) - {K - 1})) as pos from reads)) group by 1"),
 }
+
+#: Names under which the whole job of an operator was first registered for one place of a text.
+ORACLES |= {one: ORACLES[every] for one, every in (("valid_bases", "valid_texts"), ("encode_bases", "encode_bases_all"), ("ry_patterns", "ry_patterns_all"), ("canonical_kmers", "canonical_kmers_all"), ("packed_kmers", "packed_kmers_all"))}

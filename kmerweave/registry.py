@@ -156,24 +156,19 @@ def _verbose(spark, sf):
 QUERIES = {
     "revcomp": _scalar(lambda: [dna.revcomp("seq").alias("rc")]),
     "revcomp_min": _scalar(lambda: [dna.is_revcomp_min("seq").alias("smaller")]),
-    "canonical_kmers": _scalar(lambda: [dna.canonical_kmer(F.substring("seq", 1, K)).alias("kmer")]),
-    "valid_bases": lambda spark, sf: spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", dna.is_valid(F.substring(F.translate(F.lower("text"), "abcdefghij", "acgtacgtac"), 1, 1)).alias("valid")),
     "valid_texts": _valid_texts,
     "valid_words": _valid_words,
     "canonical_kmers_all": _everywhere(K, lambda: [dna.canonical_kmer("part").alias("kmer")]),
     "encode_bases_all": _everywhere(1, lambda: [dna.encode_base("part").cast("bigint").alias("code"), dna.base_from_ascii("part").cast("bigint").alias("bits")]),
     "ry_patterns_all": _everywhere(L, lambda: [dna.lmer_to_ry("part").alias("ry"), dna.ry_revcomp(dna.lmer_to_ry("part"), L).alias("ry_rc")]),
     "packed_kmers_all": _everywhere(K, lambda: [dna.get_kmer_value("words", "pos", K).alias("value")], lambda: [dna.pack_words("seq").alias("words")]),
-    "encode_bases": _scalar(lambda: [dna.encode_base(F.substring("seq", 5, 1)).cast("bigint").alias("code"), dna.base_from_ascii(F.substring("seq", 5, 1)).cast("bigint").alias("bits")]),
     "encode_lmers": _lmers(lambda: ["lmer"]),
     "canonical_lmers": _lmers(lambda: [F.least("lmer", dna.revcomp_value(dna.decode_kmer("lmer", L), 0, L)).alias("canon")]),
-    "ry_patterns": _scalar(lambda: [dna.lmer_to_ry(F.substring("seq", 1, L)).alias("ry"), dna.ry_revcomp(dna.lmer_to_ry(F.substring("seq", 1, L)), L).alias("ry_rc")]),
     "pack_words": _scalar(lambda: [F.posexplode(dna.pack_words("seq")).alias("i", "word")]),
     "pack_words_rc": _scalar(lambda: [F.posexplode(dna.pack_words("seq", "reverse")).alias("i", "word")]),
     "complements": lambda spark, sf: texts(spark, sf, breaks=True).select("seq_id", dna.complement("seq").alias("complement")),
     "pack_words_rc_with_n": lambda spark, sf: reads(spark, sf).select("seq_id", F.replace("seq", F.lit("ACG"), F.lit("NCG")).alias("seq")).select("seq_id", F.posexplode(dna.pack_words("seq", "reverse")).alias("i", "word")),
     "pack_bytes": _scalar(lambda: [F.posexplode(dna.pack_bytes("seq")).alias("i", "byte")]),
-    "packed_kmers": _scalar(lambda: [dna.get_kmer_value(dna.pack_words("seq"), 20, K).alias("value")]),
     "split_n": _fragments,
     "syncmers_open": lambda spark, sf: syncmer_positions(reads(spark, sf), 15, 5, [3]),
     "syncmers_closed": lambda spark, sf: syncmer_positions(reads(spark, sf), 15, 5, [0, 10]),
@@ -221,3 +216,6 @@ QUERIES = {
     "kmer_counts_both_strands": lambda spark, sf: buckets.count_kmers(_both_strands(spark, sf), K),
     "kmer_counts_bucketed": lambda spark, sf: buckets.count_by_bucket(superkmers(reads(spark, sf), K, L, text=True), K),
 }
+
+#: Names under which the whole job of an operator was first registered for one place of a text.
+QUERIES |= {one: QUERIES[every] for one, every in (("valid_bases", "valid_texts"), ("encode_bases", "encode_bases_all"), ("ry_patterns", "ry_patterns_all"), ("canonical_kmers", "canonical_kmers_all"), ("packed_kmers", "packed_kmers_all"))}
