@@ -68,3 +68,31 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = buckets.bucket_counts(superkmers(seqs, 31, 8), 31)
     assert buckets.symmetric_difference(spark.table("bucket_stream"), want).count() == 0
+
+
+def test_values_by_numbers(spark):
+    from kmerweave.functions import dna
+    from kmerweave.plans.relational import lmers
+
+    bits = lambda s: int("".join("01"[c in "CT"] for c in s), 2)
+    value = lambda s: sum("ACGT".index(c) * 4**i for i, c in enumerate(reversed(s)))
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seq = "acgTTGNACGGTAéCCATGACCTTGACGGATTACAGATTACA"
+    as_bases = "".join(c if c in "ACGT" else "A" for c in seq.upper())
+    df = spark.createDataFrame([(1, seq), (2, "ACG"), (3, None), (4, "")], "seq_id long, seq string")
+    for n in (1, 8, 31):
+        rows = lmers(df, n).select("seq_id", "pos", "lmer", dna.back_value("lmer", n), dna.value_to_ry("lmer", n).alias("ry")).withColumn("rc", dna.ry_revcomp("ry", n)).collect()
+        want = [(i, p, value(x), value(back(x)), bits(x), bits(back(x))) for i, s in ((1, as_bases), (2, "ACG")) for p in range(len(s) - n + 1) for x in (s[p : p + n],)]
+        assert sorted(tuple(r) for r in rows) == want
+
+
+def test_reads_are_dealt_to_all_tasks(spark, tmp_path):
+    """One small file of keys no longer means one task for all their l-mers, and l-mers are made without texts for each place."""
+    from kmerweave.registry import QUERIES
+
+    spark.range(40).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("canonical_lmers", "ry_patterns", "canonical_kmers"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() == 4
+        tops = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        assert "conv(" not in tops and "translate(" not in tops
