@@ -150,3 +150,30 @@ def test_fasta_in_lines(spark, tmp_path):
     assert sorted((r["record"], r["offset"], r["seq"]) for r in parts.collect()) == [(0, 0, "ACGT"), (0, 4, "ACGT"), (0, 8, "AC"), (1, 0, "AC"), (2, 0, "ACGT")]
     assert sorted((r["header"], r["length"]) for r in records.collect()) == [("5", 10), ("6", 2), ("7", 4)]
     assert pieces.holds_pieces(sequences.read_fasta_pieces(spark, f"{tmp_path}/f", 3)[0])
+
+
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_crossbucket_by_packed_runs(spark, most):
+    """The rows of the form that makes a text for each k-mer, without it, also where a bucket is looked through in several goes."""
+    df = frame(spark, [s for s in SEQS if s and s.isupper()]).repartition(3)
+    for mode in ("sticky", "mspxor"):
+        want = sorted(tuple(r) for r in buckets.crossbucket(buckets.kmers_of(superkmers(df, 31, 8, mode=mode, text=True), 31)).collect())
+        got = buckets.crossbucket_of(df, 31, 8, mode, most)
+        assert sorted(tuple(r) for r in got.collect()) == want and bool(want) == (mode == "sticky")
+        assert "HashAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_conflicts_in_tiles(spark):
+    """Tiles are cut beside their sequence and compared with it: same rows as if they were sequences, and only what differs is sent."""
+    df = frame(spark, SEQS)
+    tiles = sequences.tile(df.select("seq_id", F.upper("seq").alias("seq"))).select("seq_id", "seq")
+    for strands in (True, False):
+        want = sorted(tuple(r) for r in buckets.context_conflicts(df.unionByName(tiles), 31, 8, strands).collect())
+        assert sorted(tuple(r) for r in buckets.context_conflicts(df, 31, 8, strands, (100, 150, 200, 500), 60).collect()) == want
+        assert bool(want) != strands
+
+
+def test_hot_counts_alone_meet_again(spark, tmp_path):
+    """Counts of whole buckets are neither written nor exchanged when some bucket is split."""
+    plan = buckets.count_kmers(frame(spark, SEQS), 31, 60)._jdf.queryExecution().toString()
+    assert "/counts-" not in plan and "split" in plan
