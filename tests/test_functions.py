@@ -96,3 +96,18 @@ def test_reads_are_dealt_to_all_tasks(spark, tmp_path):
         assert df.rdd.getNumPartitions() == 4
         tops = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
         assert "conv(" not in tops and "translate(" not in tops
+
+
+def test_tables_of_long_lmers_are_small():
+    """Making a table takes little more than the table, as each Python worker makes its own."""
+    import tracemalloc
+
+    from kmerweave.functions.scores import score_table
+
+    for family, size in (("syncmer", 1), ("lexicographic", 4), ("kmc2", 4)):
+        score_table.cache_clear()
+        tracemalloc.start()
+        table = score_table(family, "sticky", 10)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert table.nbytes == size * 4**10 and peak < table.nbytes + 24 * 2**20
