@@ -98,3 +98,24 @@ def test_long_sequences_meet_many_tasks(spark):
     assert made.count() == -(-(300_000 - 30) // 4096) and made.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
     for mode in ("sticky", "msp"):
         assert sorted(map(tuple, superkmers(one, 31, 8, mode=mode, piece=4096).collect())) == sorted(map(tuple, superkmers(one, 31, 8, mode=mode).collect()))
+
+
+def test_borders_are_looked_at_together():
+    """All borders of many pieces take the calls that one takes, not some for each piece, and give what each gives alone."""
+    from kmerweave.functions.scores import score_table
+    from kmerweave.operators import superkmers as sk
+
+    n, size = 200, 165
+    seq = np.frombuffer((random_dna(n // 2 * size, 12) + "ACAC" * (n // 2 * size // 4) + "A" * size * 2).encode(), np.uint8)[: n * size]
+    at = np.arange(n + 1) * size
+    lead, own = np.arange(n) % 5 > 0, np.full(n, 100)
+    for family in ("syncmer", "kmc2"):
+        path = sk.walk(seq, at, 31, 8, family, True, False, score_table(family, "sticky", 8))
+        calls = []
+        reach = path.reach
+        path.reach = lambda *a, f=reach: calls.append(1) or f(*a)
+        border = at[:-1] + lead + own
+        crossed, count, ways = path.leavings(border, lead.astype(np.int64), own, pieces.CONTEXT)
+        assert len(calls) == 3 and len(crossed) == n and set(count.tolist()) <= {1, 24}
+        together = np.split(ways, np.cumsum(count)[:-1])
+        assert all((a == path.leaving(int(b), int(c), int(d), pieces.CONTEXT)).all() for a, b, c, d in zip(together, border, lead, own, strict=True))
