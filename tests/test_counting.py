@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from kmerweave import registry
 from kmerweave.operators import buckets, pieces, syncmers
 from kmerweave.operators.superkmers import superkmers
 from kmerweave.plans import relational
@@ -95,6 +96,32 @@ def test_syncmers_refuse(spark):
             syncmers.syncmer_positions(frame(spark, SEQS), k, s, offsets)
 
 
+@pytest.mark.parametrize("l", [1, 2, 5, 8, 11])
+def test_lmer_counts(spark, monkeypatch, l):
+    """Counted without a row for each l-mer, also in sequences of several chunks."""
+    monkeypatch.setattr(buckets, "CHUNK", 64)
+    df = frame(spark, [*SEQS, "acgTTGNACGGTAéCC" * 9, "ACGTACG", "ACGTACGT"]).repartition(3)
+    want = relational.lmers(df, l).groupBy("lmer").agg(F.count("*").alias("n"))
+    got = buckets.count_lmers(df, l)
+    rows = [tuple(r) for r in got.collect()]
+    assert rows and sorted(rows) == sorted(tuple(r) for r in want.collect())
+    assert buckets.count_lmers(df.limit(0), l).collect() == []
+
+
+def test_scores_make_no_row_for_each_lmer(spark, tmp_path):
+    spark.range(1, 40).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("score_sum", "scores_uhs11"):
+        assert "Generate" not in registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_score_sum_passes_64_bits(spark, monkeypatch):
+    """At 54 million reads there are 8 * 10^9 l-mers with scores about 2^31."""
+    counts = spark.createDataFrame([(i, 1 << 34, (1 << 32) - 1 - i) for i in range(3)], "lmer long, n long, score long")
+    monkeypatch.setattr(registry, "_dim", lambda *a: lambda spark, sf: counts)
+    (row,) = registry.QUERIES["score_sum"](spark, "").collect()
+    assert row["total"] == str(sum((1 << 34) * ((1 << 32) - 1 - i) for i in range(3)))
+
+
 # --- FASTA ---
 
 
