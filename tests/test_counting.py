@@ -179,6 +179,64 @@ def test_fasta_in_lines(spark, tmp_path):
     assert pieces.holds_pieces(sequences.read_fasta_pieces(spark, f"{tmp_path}/f", 3)[0])
 
 
+def plain_fasta(text):
+    """(header, bases) of each record."""
+    out = []
+    for line in text.split("\n"):
+        if line.startswith(">"):
+            out.append([line[1:].strip(), ""])
+        elif out:
+            out[-1][1] += line.strip()
+    return [tuple(r) for r in out]
+
+
+@pytest.mark.parametrize("batch,bases", [(1, 1 << 16), (3, 3), (3, 50), (10_000, 50)])
+def test_fasta_of_any_lines(spark, tmp_path, small_splits, monkeypatch, batch, bases):
+    """Text before the first header, blank lines, > within a line, letters of several bytes, and a file without records, in batches of
+    any size; whole records are those of one split, and only others are exchanged."""
+    rng = random.Random(batch * bases)
+    parts = [">a  b \n", ">\n", ">é\n", "\n", "  \r\n", "ACé\n", " AC>GT\t\n", "G\n"] + [random_dna(n, n) + "\n" for n in (1, 30, 90)]
+    texts = {f"{i}.fa": "AC\nGT\n" * (i == 1) + "".join(rng.choice(parts) for _ in range(120)) for i in range(1, 4)} | {"0.fa": "ACGT\n\nGG\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    monkeypatch.setattr(sequences, "_fasta", lambda spark, path, _, f=sequences._fasta: f(spark, path, bases))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found, records = sequences.fasta_parts(spark, str(tmp_path))
+        want = {(f"{i}.fa", n): r for i in range(1, 4) for n, r in enumerate(plain_fasta(texts[f"{i}.fa"]))}
+        name = F.element_at(F.split("file", "/"), -1).alias("name")
+        got = [tuple(r) for r in records.select(name, "record", "header", "length").collect()]
+        assert sorted(got) == sorted((*at, h, len(s)) for at, (h, s) in want.items())
+        joined = {}
+        for r in sorted(tuple(r) for r in found.select(name, "record", "offset", "seq").collect()):
+            assert r[2] == len(joined.get(r[:2], ""))
+            joined[r[:2]] = joined.get(r[:2], "") + r[3]
+        assert joined == {at: s for at, (_, s) in want.items() if s}
+        whole, _, others = sequences.read_fasta_apart(spark, str(tmp_path), 31, 60)
+        ids = {((int(f[0]) - 1) << 40) + n: r for (f, n), r in want.items()}
+        apart = {r["seq_id"]: (r["header"], r["seq"]) for r in whole.collect()}
+        assert apart and apart == {i: ids[i] for i in apart} and all(len(s) <= 60 for _, s in apart.values())
+        rest = {r["seq_id"]: (r["header"], r["length"]) for r in others.collect()}
+        assert rest == {i: (h, len(s)) for i, (h, s) in ids.items() if i not in apart} and apart.keys() | rest.keys() == ids.keys()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_whole_fasta_records_are_not_exchanged(spark, tmp_path):
+    """Short records that one split holds are cut where they are read; the rows that place the splits are broadcast."""
+    spark.range(1, 400).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    met = []
+    whole = registry.read_fasta_apart
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(registry, "read_fasta_apart", lambda *a: met.append(whole(*a)) or met[-1])
+        got = registry.QUERIES["fasta_sticky"](spark, str(tmp_path))
+    want = superkmers(sequences.reads(spark, str(tmp_path)), 31, 8, mode="sticky")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "hashpartitioning" not in met[0][0]._jdf.queryExecution().executedPlan().toString()
+    assert met[0][0].count() > 350 and met[0][0].count() + met[0][2].count() == 399
+
+
 @pytest.mark.parametrize("most", [1 << 22, 50])
 def test_crossbucket_by_packed_runs(spark, most):
     """The rows of the form that makes a text for each k-mer, without it, also where a bucket is looked through in several goes."""
