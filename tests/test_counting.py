@@ -262,3 +262,34 @@ def test_hot_counts_alone_meet_again(spark, tmp_path):
     """Counts of whole buckets are neither written nor exchanged when some bucket is split."""
     plan = buckets.count_kmers(frame(spark, SEQS), 31, 60)._jdf.queryExecution().toString()
     assert "/counts-" not in plan and "split" in plan
+
+
+@pytest.mark.parametrize("k,l", [(31, 8), (21, 5), (4, 3), (40, 8)])
+@pytest.mark.parametrize("most", [1 << 23, 60])
+def test_counts_by_bucket(spark, k, l, most):
+    """Superkmers go as packed bases, also long ones, hot buckets and repeats; only k-mers over 62 bits go as texts."""
+    seqs = [s.upper() if s else s for s in SEQS] * 5
+    sk = superkmers(frame(spark, seqs).repartition(3), k, l, text=True)
+    got = buckets.count_by_bucket(sk, k, most)
+    rows = got.collect()
+    assert {r["kmer"]: r["count"] for r in rows} == plain_counts(seqs, k) and len(rows) == len(plain_counts(seqs, k))
+    assert ("Generate" in got._jdf.queryExecution().toString()) == (k > 31)
+    one = spark.createDataFrame([(7, "ACGTTGCAAC" * 30, 300), (7, "ACG", 3)], "mint int, text string, size int")
+    if k < 31:
+        assert {r["kmer"]: r["count"] for r in buckets.count_by_bucket(one, k, most).collect()} == plain_counts(["ACGTTGCAAC" * 30, "ACG"], k)
+
+
+def dealt_bytes(spark, seqs, k, packs):
+    rows = frame(spark, seqs).coalesce(1).mapInArrow(lambda batches: buckets._blobs(batches, packs, k), buckets.DEALT)
+    return rows.selectExpr("sum(length(packed) - 128)", "sum(n)").first()  # 128: how many superkmers there are of each length
+
+
+def test_superkmers_are_dealt_by_their_bases(spark):
+    """Two bits a base, and both strands' superkmers once with a number of times."""
+    one = [random_dna(20_000, 7)]
+    both = [*one, one[0][::-1].translate(RC)]
+    packs = lambda batch: (buckets._packed_superkmers(data, at, 31, 8) for _, data, at in buckets.joined_bases(batch))
+    size, kmers = dealt_bytes(spark, one, 31, packs)
+    n = superkmers(frame(spark, one), 31, 8).count()
+    assert kmers == 19_970 and size < 16 * n  # each bucket's number of times, 4 bytes, is for one or two superkmers only
+    assert dealt_bytes(spark, both, 31, packs)[1] < 1.02 * kmers
