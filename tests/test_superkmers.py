@@ -207,3 +207,50 @@ def test_sql_function_with_options(spark, named, options):
     got = spark.sql(f"select seq_id, s.* from option_seqs, lateral superkmers(seq, 31, {l}, 'syncmer', 'msp', {named}) s")
     want = superkmers(seqs, 31, l, mode="msp", **options).select(got.columns)
     assert want.count() and sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("k,l", [(31, 8), (9, 9), (9, 3), (40, 5)])
+def test_window_form_is_narrow(spark, k, l):
+    """Windows of any size, over the borders of words, without a shuffle or a sort of l-mers; repeats, short and odd texts."""
+    seqs = ["A" * 90, "AC" * 60, "acgt3NT1" * 15, random_dna(331, 5), random_dna(k, 1), random_dna(k - 1, 2), "", None, "ACGTTGCA" * 9 + "TTTTTTTT"]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    for mode in ("classical", "msp", "mspxor"):
+        got = relational.superkmers(df, score_dim(spark, "syncmer", mode, l), k, l, rightmost=mode == "classical")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, superkmers(df, k, l, mode=mode).collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan and "Sort" not in plan
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_forms_are_compared_beside_their_sequences(spark, monkeypatch, batch):
+    """Each row that either form has otherwise, also several at one place and ones of sequences without k-mers; nothing else is exchanged."""
+    seqs = [random_dna(100 + i, i) for i in range(5)] + ["ACG", None, "", random_dna(400, 9)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").coalesce(1)
+    dim = score_dim(spark, "syncmer", "mspxor", 8)
+
+    def wrong(data, at, *rest):
+        row, start, mint, size, mpos, rc = cut(data, at, *rest)
+        mint = np.where(size == 44, mint + 1, mint)
+        kept = np.append(np.flatnonzero(size != 40), np.flatnonzero(size == 39))  # some left out, some twice
+        short = np.flatnonzero(np.diff(at) == 3)  # and one where there is no k-mer
+        return (np.append(row[kept], short), *(np.append(x[kept], np.full(len(short), 1, x.dtype)) for x in (start, mint, size, mpos, rc)))
+
+    def made(f):
+        rows = []
+        for i, s in enumerate(seqs):
+            data = np.frombuffer((s or "").encode(), np.uint8)
+            rows += [(i, *x) for x in zip(*(x.tolist() for x in f(data, np.array([0, len(data)]), 31, 8, "syncmer", "mspxor", True, False, score_table("syncmer", "mspxor", 8))[1:]))]
+        return spark.createDataFrame(rows, "seq_id long, start long, mint int, size int, mpos int, mint_is_rc boolean")
+
+    want = sorted(map(tuple, buckets.symmetric_difference(made(wrong), made(cut)).collect()))
+    assert len(want) > 3 and {r[-1] for r in want} == {"left", "right"}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert relational.unlike(df, dim, 31, 8, "syncmer", "mspxor").count() == 0
+        monkeypatch.setattr(relational, "cut", wrong)
+        got = relational.unlike(df, dim, 31, 8, "syncmer", "mspxor")
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, buckets.more_on_a_side(got, "n").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
