@@ -293,3 +293,29 @@ def test_superkmers_are_dealt_by_their_bases(spark):
     n = superkmers(frame(spark, one), 31, 8).count()
     assert kmers == 19_970 and size < 16 * n  # each bucket's number of times, 4 bytes, is for one or two superkmers only
     assert dealt_bytes(spark, both, 31, packs)[1] < 1.02 * kmers
+
+
+def test_counts_write_nothing(spark):
+    """The sizes of buckets come from a pass of their own, not from a written table; and hot buckets are read from the exchange of the others."""
+    got = buckets.count_kmers(frame(spark, SEQS), 31)
+    assert "parquet" not in got._jdf.queryExecution().toString().lower()
+    hot = buckets.count_kmers(frame(spark, SEQS), 31, 60)
+    assert "parquet" not in hot._jdf.queryExecution().toString().lower()
+    hot.collect()
+    assert "ReusedExchange" in hot._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_claims_share_their_superkmer(spark):
+    """Both strands' claims go with the bases once, two bytes each; a record of a run was 21 bytes."""
+    one = random_dna(20_000, 7)
+
+    def packs(batch):
+        for _, data, at in buckets.joined_bases(batch):
+            place, _, spot = buckets._claims(data, at, 31, 8, "sticky", True)
+            yield buckets._claimed_runs(data, 31, 8, True, place, spot, place < 0)
+
+    size, kmers = dealt_bytes(spark, [one, one[::-1].translate(RC)], 31, packs)
+    assert 19_970 < kmers <= 2 * 19_970
+    data = buckets.np.frombuffer((one + one[::-1].translate(RC)).encode(), "u1")
+    place, _, spot = buckets._claims(data, buckets.np.array([0, 20_000, 40_000]), 31, 8, "sticky", True)
+    assert size < 10 * len(buckets._claimed_runs(data, 31, 8, True, place, spot, place < 0)[2])
